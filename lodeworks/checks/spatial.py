@@ -155,8 +155,8 @@ _VALID = "SELECT prow, pcol, CASE WHEN val <> -9999 THEN val END AS val FROM pix
 
 @query(over(
     ["collar", "pixels"],
-    f"""SELECT hole_id, {r('val')} AS val FROM at LEFT JOIN valid USING (prow, pcol)""",
-    at=_AT, valid=_VALID,
+    f"""SELECT hole_id, {r('val')} AS val FROM spot LEFT JOIN valid USING (prow, pcol)""",
+    spot=_AT, valid=_VALID,
 ))
 def raster_samples(spark, sf):
     sampled = raster.sample_pixels(_places(spark, sf), view(spark, sf, "pixels"), [MAGNETIC])
@@ -165,8 +165,8 @@ def raster_samples(spark, sf):
 
 @query(over(
     ["collar", "pixels"],
-    f"""SELECT hole_id, {r('val')} AS val FROM at LEFT JOIN valid USING (prow, pcol)""",
-    at=_AT, valid=_VALID,
+    f"""SELECT hole_id, {r('val')} AS val FROM spot LEFT JOIN valid USING (prow, pcol)""",
+    spot=_AT, valid=_VALID,
 ))
 def raster_tile_samples(spark, sf):
     tiles = raster.tiles_from_pixels(view(spark, sf, "pixels"))
@@ -178,7 +178,7 @@ def raster_tile_samples(spark, sf):
     ["collar", "pixels"],
     f"""SELECT collar.hole_id, {r('coalesce(val, m)')} AS r_tmi FROM collar
       LEFT JOIN v USING (hole_id) CROSS JOIN (SELECT quantile_cont(val, 0.5) AS m FROM v)""",
-    at=_AT, valid=_VALID, v="SELECT hole_id, val FROM at LEFT JOIN valid USING (prow, pcol)",
+    spot=_AT, valid=_VALID, v="SELECT hole_id, val FROM spot LEFT JOIN valid USING (prow, pcol)",
 ))
 def raster_layer(spark, sf):
     places = _places(spark, sf)
@@ -191,9 +191,9 @@ def raster_layer(spark, sf):
     ["collar", "pixels"],
     f"""SELECT hole_id, {r('coalesce(avg(val),0e0)')} AS mean,
       {r('coalesce(stddev_pop(val),0e0)')} AS std, {r('coalesce(max(val),0e0)')} AS max
-    FROM at LEFT JOIN valid v ON v.prow BETWEEN at.prow-1 AND at.prow+1
-      AND v.pcol BETWEEN at.pcol-1 AND at.pcol+1 GROUP BY hole_id""",
-    at=_AT, valid=_VALID,
+    FROM spot LEFT JOIN valid v ON v.prow BETWEEN spot.prow-1 AND spot.prow+1
+      AND v.pcol BETWEEN spot.pcol-1 AND spot.pcol+1 GROUP BY hole_id""",
+    spot=_AT, valid=_VALID,
 ))
 def raster_focal_statistics(spark, sf):
     stats = raster.focal_statistics(
@@ -204,8 +204,8 @@ def raster_focal_statistics(spark, sf):
 @query(over(
     ["collar"],
     """SELECT 'tmi' AS raster_id, count(*) AS points,
-      count(*) FILTER (prow < 0 OR prow > 49 OR pcol < 0 OR pcol > 39) AS outside FROM at""",
-    at=_AT,
+      count(*) FILTER (prow < 0 OR prow > 49 OR pcol < 0 OR pcol > 39) AS outside FROM spot""",
+    spot=_AT,
 ))
 def raster_bounds(spark, sf):
     return raster.outside_bounds(_places(spark, sf), MAGNETIC)

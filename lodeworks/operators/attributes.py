@@ -6,11 +6,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from lodeworks.functions.naming import match_oxide
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def oxide_of(names: pd.Series) -> pd.Series:
     """Canonical oxide per name; meant for distinct names, not for every row."""
     return names.map(match_oxide, na_action="ignore")

@@ -124,10 +124,12 @@ def running_totals(
     if buckets > 1:
         shares = [i / buckets for i in range(1, buckets)]
         inner = sorted(set(df.approxQuantile(order, shares, 1 / (4 * buckets))))
-    splits = [-float("inf"), *inner, float("inf")]
-    marked = Bucketizer(splits=splits, inputCol=order, outputCol="_bucket").transform(df)
+    marked = df.withColumn("_bucket", F.lit(0.0))
+    if inner:
+        splits = [-float("inf"), *inner, float("inf")]
+        marked = Bucketizer(splits=splits, inputCol=order, outputCol="_bucket").transform(df)
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    # One row per bucket: len(splits) - 1 rows, whatever the size of df.
+    # One row per bucket, so this window never sees the rows of df.
     earlier = W.orderBy(direction("_bucket")).rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         marked.groupBy("_bucket").agg(*[F.sum(s).alias(s) for s in sums])

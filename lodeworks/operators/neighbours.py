@@ -26,6 +26,11 @@ BOXES_PER_BOX = 16
 # exactly from the site count before the join is planned.
 BROADCAST_BOXES = 50_000
 CURVE_BITS = 31
+# Coordinate range the curve resolves: degrees, or metres of a projected zone.
+DEGREES = 360.0
+METRES = 2e7
+# Fewer boxes than this are cheaper to work out again than to write.
+SMALL_LEVEL = 4096
 
 
 def _spread(bits: Column) -> Column:
@@ -37,32 +42,28 @@ def _spread(bits: Column) -> Column:
     return bits
 
 
-def _curve_key(df: DataFrame) -> Column:
-    box = df.agg(
-        F.min("x").alias("x0"), F.max("x").alias("x1"),
-        F.min("y").alias("y0"), F.max("y").alias("y1"),
-    ).first()
+def _curve_key(extent: float) -> Column:
+    """Interleaved bits of both coordinates, cut to -extent..extent.
 
-    def cell(c, low, high):
-        steps = float(2**CURVE_BITS - 1)
-        width = (high - low) or 1.0
-        return F.floor((F.col(c) - F.lit(low)) / F.lit(width) * F.lit(steps)).cast("long")
+    Coordinates beyond the extent are still found, only less well packed.
+    """
+    steps = float(2**CURVE_BITS - 1)
 
-    if box["x0"] is None:
-        return F.lit(0).cast("long")
-    return _spread(cell("x", box["x0"], box["x1"])).bitwiseOR(
-        F.shiftleft(_spread(cell("y", box["y0"], box["y1"])), 1)
-    )
+    def cell(c):
+        inside = F.greatest(F.least(F.col(c), F.lit(extent)), F.lit(-extent))
+        return F.floor((inside + F.lit(extent)) * F.lit(steps / (2 * extent))).cast("long")
+
+    return _spread(cell("x")).bitwiseOR(F.shiftleft(_spread(cell("y")), 1))
 
 
-def _in_runs(points: DataFrame, size: int, label: str) -> tuple[DataFrame, int]:
+def _in_runs(points: DataFrame, size: int, extent: float, label: str) -> tuple[DataFrame, int]:
     """Number points along the curve and cut them into runs of ``size``.
 
     Returns the staged points with a ``run`` column, and the number of runs.
     """
     order = ["_curve", *[c for c in ("x", "y", "site_id") if c in points.columns]]
     sorted_points = (
-        points.withColumn("_curve", _curve_key(points))
+        points.withColumn("_curve", _curve_key(extent))
         .repartitionByRange(*order).sortWithinPartitions(*order)
         .withColumn("_place", F.monotonically_increasing_id())
     )
@@ -131,13 +132,14 @@ def _pruned(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def nearest_by_place(
-    places: DataFrame, sites: DataFrame, k: int, payload: list[str] = ()
+    places: DataFrame, sites: DataFrame, k: int, payload: list[str] = (),
+    extent: float = DEGREES,
 ) -> DataFrame:
     """The k nearest sites of every distinct place.
 
     ``places`` has x, y; ``sites`` has site_id, x, y and the payload columns.
     Distances are Euclidean in the coordinates' own unit; equal distances go to
-    the smaller site id. Returns x, y and ``near``, an array of at most k
+    the smaller site id. ``extent`` is DEGREES or METRES. Returns x, y and ``near``, an array of at most k
     structs (d, site_id, payload...) in that order.
     """
     located = sites.filter("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
@@ -147,34 +149,41 @@ def nearest_by_place(
         located.select("site_id", "x", "y", *payload)
         .withColumn("_n", F.row_number().over(same_spot)).filter(F.col("_n") <= k).drop("_n")
     )
-    points, site_runs = _in_runs(usable, SITE_RUN, "sites")
+    points, site_runs = _in_runs(usable, SITE_RUN, extent, "sites")
     distinct = (
         places.select("x", "y")
         .filter("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)").distinct()
     )
-    wanted, _ = _in_runs(distinct, QUERY_RUN, "places")
+    wanted, _ = _in_runs(distinct, QUERY_RUN, extent, "places")
 
-    leaves = stage_table(_boxes(points, F.col("run")), "site-boxes")
+    leaves = _boxes(points, F.col("run"))
+    if site_runs > SMALL_LEVEL:
+        leaves = stage_table(leaves, "site-boxes")
     levels = [(leaves, site_runs)]
     while levels[-1][1] > 1:
         below, size = levels[-1]
         parents = _boxes(below, F.expr(f"box div {BOXES_PER_BOX}"))
         levels.append((parents, math.ceil(size / BOXES_PER_BOX)))
 
+    if len(levels) > 1:
+        levels.pop()  # the single box over everything decides nothing
     frontier = wanted.groupBy(F.col("run").alias("qrun")).agg(
         F.min("x").alias("qx0"), F.max("x").alias("qx1"),
         F.min("y").alias("qy0"), F.max("y").alias("qy1"),
-    ).withColumn("at", F.lit(0).cast("long"))
-    for boxes, size in reversed(levels[:-1] or levels):
-        children = boxes.withColumn("at", F.expr(f"box div {BOXES_PER_BOX}"))
+    ).withColumn("first", F.lit(0).cast("long"))
+    for boxes, size in reversed(levels):
+        # Boxes under one parent are numbered in a row; numbers past the end
+        # find no partner in the join.
+        last = F.col("first") + F.lit(BOXES_PER_BOX - 1)
+        asked = frontier.withColumn("box", F.explode(F.sequence("first", last))).drop("first")
         if size <= BROADCAST_BOXES:
-            children = F.broadcast(children)
-        frontier = (
-            _pruned(frontier.join(children, "at"), k)
-            .select("qrun", "qx0", "qx1", "qy0", "qy1", F.col("box").alias("at"), "bound")
+            boxes = F.broadcast(boxes)
+        kept = _pruned(asked.join(boxes, "box"), k)
+        run_pairs = kept.select("qrun", F.col("box").alias("run"))
+        frontier = kept.select(
+            "qrun", "qx0", "qx1", "qy0", "qy1",
+            (F.col("box") * F.lit(BOXES_PER_BOX)).alias("first"),
         )
-        run_pairs = frontier.select("qrun", F.col("at").alias("run"), "bound")
-        frontier = frontier.drop("bound")
 
     # A run is at most SITE_RUN points, so both arrays are of fixed size.
     packed_sites = points.groupBy("run").agg(
@@ -195,11 +204,11 @@ def nearest_by_place(
             *[member[p].alias(p) for p in payload],
         )
 
-    best_of_run = F.slice(F.array_sort(F.transform("members", measured)), 1, k)
+    best_of_run = F.slice(F.sort_array(F.transform("members", measured)), 1, k)
     return (
         candidates.select("spot.x", "spot.y", best_of_run.alias("best"))
         .groupBy("x", "y")
-        .agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("near"))
+        .agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("near"))
     )
 
 
