@@ -83,11 +83,8 @@ def _fit_all(train: DataFrame, features, label, learners, prepare: Callable):
     preparation = prepare(train, features, label, rows)
     # The boosted learner reads its input once per round, so it is kept, in no
     # more tasks than its rows are worth.
-    prepared = preparation.transform(train)
     tasks = max(1, math.ceil(rows / ROWS_PER_TASK))
-    if tasks < prepared.rdd.getNumPartitions():
-        prepared = prepared.coalesce(tasks)
-    prepared = prepared.persist()
+    prepared = preparation.transform(train).coalesce(tasks).persist()
     try:
         models = {
             name: fitted_learner(prepared, name, learner, label, features)
