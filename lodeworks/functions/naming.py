@@ -113,8 +113,15 @@ def normal_name(text: Column) -> Column:
     return F.translate(F.lower(text), " -", "__")
 
 
+def word_array(words: list[str]) -> Column:
+    """A constant array of plain words."""
+    return F.expr("array(" + ", ".join(f"'{w}'" for w in words) + ")")
+
+
+def words_in(text: Column, words: list[str]) -> Column:
+    """The words of the list that occur in the text, in list order."""
+    return F.filter(word_array(words), lambda w: text.contains(w))
+
+
 def contains_any(text: Column, words: list[str]) -> Column:
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | text.contains(word)
-    return hit
+    return F.exists(word_array(words), lambda w: text.contains(w))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -107,14 +107,15 @@ def out_of_fold(
     folds = sorted(r[fold] for r in df.select(fold).distinct().collect())
     keep = [key, label, fold]
 
-    @inheritable_thread_target(df.sparkSession)
     def one(number):
         train = df.filter(F.col(fold) != number)
         preparation, models = _fit_all(train, features, label, learners, prepare)
         return _predict(preparation, models, df.filter(F.col(fold) == number), keep)
 
+    # Each task gets its own copy of the job properties.
+    tasks = [inheritable_thread_target(df.sparkSession)(partial(one, n)) for n in folds]
     with ThreadPool(min(parallel, len(folds))) as pool:
-        parts = pool.map(one, folds)
+        parts = pool.map(lambda task: task(), tasks)
     return stage_table(reduce(DataFrame.unionByName, parts), "out-of-fold")
 
 

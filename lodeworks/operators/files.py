@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodeworks import fixedvalues as fv
 from lodeworks.functions.naming import (
-    contains_any, file_extension, file_name, file_stem, folder_name, normal_name,
+    contains_any, file_extension, file_name, file_stem, folder_name, normal_name, words_in,
 )
 from lodeworks.functions.numeric import half_even
 
@@ -48,74 +48,64 @@ def retention_class(ext: Column) -> Column:
     )
 
 
-def _name_points(stem: Column, layer: str) -> Column:
-    words = fv.NAME_WORDS.get(layer, [])
-    if not words:
-        return F.lit(0)
-    # The first word of the list that occurs decides the points.
-    return F.coalesce(
-        *[F.when(stem.contains(w), F.lit(10 if w in fv.STRONG_NAME_WORDS else 3))
-          for w in words],
-        F.lit(0),
-    )
-
-
-def _header_points(header: Column, layer: str) -> Column:
-    words = fv.HEADER_WORDS.get(layer, [])
-    hits = [F.when(header.contains(w), 2).otherwise(0) for w in words]
-    return reduce(lambda a, b: a + b, hits, F.lit(0))
-
-
 def classified(listing: DataFrame) -> DataFrame:
-    """Add layer, confidence, the score map and up to four reasons per file."""
+    """Add layer, confidence, the score map and up to four reasons per file.
+
+    The first word of a layer's list that occurs in the name decides its name
+    points; the first layer that lists the extension gets the extension points;
+    every header word counts.
+    """
     named = with_name_parts(listing)
-    ext, stem = F.col("ext"), F.col("stem")
+    ext = F.col("ext")
     header = F.coalesce(F.lower("header"), F.lit("")) if "header" in listing.columns else F.lit("")
-    ext_layer = lookup(ext, fv.EXTENSION_LAYERS, F.lit(None).cast("string"))
-    scenic = contains_any(stem, fv.NAME_WORDS["satellite"])
-    is_image = ext.isin(fv.IMAGE_EXTENSIONS)
     reads_header = ext.isin(fv.HEADER_EXTENSIONS)
+    found = named.withColumns({
+        "_ext_layer": lookup(ext, fv.EXTENSION_LAYERS, F.lit(None).cast("string")),
+        **{f"_name_{layer}": F.try_element_at(words_in(F.col("stem"), words), F.lit(1))
+           for layer, words in fv.NAME_WORDS.items()},
+        **{f"_head_{layer}": F.when(reads_header, words_in(header, words))
+           for layer, words in fv.HEADER_WORDS.items()},
+    })
+    is_image, scenic = ext.isin(fv.IMAGE_EXTENSIONS), F.col("_name_satellite").isNotNull()
+    extra = {
+        "satellite": F.when(is_image & scenic, 5).otherwise(0),
+        "geophysics": F.when(is_image & ~scenic, 2).otherwise(0),
+    }
     points, reasons = {}, []
     for layer in fv.LAYERS:
-        by_name = _name_points(stem, layer)
-        by_ext = F.when(F.col("_ext_layer") == layer, 2).otherwise(0)
-        by_header = F.when(reads_header, _header_points(header, layer)).otherwise(0)
-        score = by_name + by_ext + by_header
-        if layer == "satellite":
-            score = score + F.when(is_image & scenic, 5).otherwise(0)
-        if layer == "geophysics":
-            score = score + F.when(is_image & ~scenic, 2).otherwise(0)
-        points[layer] = score
-    for layer, words in fv.NAME_WORDS.items():
-        word = F.coalesce(*[F.when(stem.contains(w), F.lit(w)) for w in words])
+        score = F.when(F.col("_ext_layer") == layer, 2).otherwise(0)
+        if layer in fv.NAME_WORDS:
+            word = F.col(f"_name_{layer}")
+            score = score + F.when(word.isin(fv.STRONG_NAME_WORDS), 10).when(
+                word.isNotNull(), 3).otherwise(0)
+        if layer in fv.HEADER_WORDS:
+            score = score + F.coalesce(F.size(f"_head_{layer}"), F.lit(0)) * 2
+        points[f"_p_{layer}"] = score + extra.get(layer, F.lit(0))
+    for layer in fv.NAME_WORDS:
+        word = F.col(f"_name_{layer}")
         reasons.append(F.when(word.isNotNull(), F.format_string(
             f"filename contains '%s': {layer}", word)))
     reasons.append(F.when(F.col("_ext_layer").isNotNull(), F.format_string(
         "extension '%s': %s", ext, F.col("_ext_layer"))))
-    for layer, words in fv.HEADER_WORDS.items():
-        found = F.filter(
-            F.array(*[F.when(header.contains(w), F.lit(w)) for w in words]),
-            lambda w: w.isNotNull(),
-        )
-        reasons.append(F.when(reads_header & (F.size(found) > 0), F.format_string(
-            f"columns %s: {layer}", F.array_join(F.slice(found, 1, 3), ", "))))
-    scored = named.withColumn("_ext_layer", ext_layer).withColumns(
-        {f"_p_{layer}": p for layer, p in points.items()}
-    )
-    best = F.greatest(*[F.col(f"_p_{layer}") for layer in fv.LAYERS])
-    total = reduce(lambda a, b: a + b, [F.col(f"_p_{layer}") for layer in fv.LAYERS])
+    for layer in fv.HEADER_WORDS:
+        words = F.col(f"_head_{layer}")
+        reasons.append(F.when(F.size(words) > 0, F.format_string(
+            f"columns %s: {layer}", F.array_join(F.slice(words, 1, 3), ", "))))
+    scored = found.withColumns(points)
+    best = F.greatest(*[F.col(p) for p in points])
+    total = reduce(lambda a, b: a + b, [F.col(p) for p in points])
     # Equal scores go to the layer listed first.
     winner = F.coalesce(*[
         F.when(F.col(f"_p_{layer}") == best, F.lit(layer)) for layer in fv.LAYERS
     ])
-    return scored.withColumns({
-        "layer": winner,
-        "confidence": half_even(best / F.greatest(total, F.lit(1)), 2),
-        "scores": F.create_map(*[
+    return scored.select(
+        *named.columns, winner.alias("layer"),
+        half_even(best / F.greatest(total, F.lit(1)), 2).alias("confidence"),
+        F.create_map(*[
             x for layer in fv.LAYERS for x in (F.lit(layer), F.col(f"_p_{layer}"))
-        ]),
-        "reasons": F.slice(F.filter(F.array(*reasons), lambda r: r.isNotNull()), 1, 4),
-    }).drop("_ext_layer", *[f"_p_{layer}" for layer in fv.LAYERS])
+        ]).alias("scores"),
+        F.slice(F.filter(F.array(*reasons), lambda r: r.isNotNull()), 1, 4).alias("reasons"),
+    )
 
 
 def layer_groups(files: DataFrame) -> DataFrame:
