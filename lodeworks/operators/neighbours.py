@@ -31,6 +31,8 @@ DEGREES = 360.0
 METRES = 2e7
 # Fewer boxes than this are cheaper to work out again than to write.
 SMALL_LEVEL = 4096
+# Query runs one task compares with their candidate sites.
+RUNS_PER_TASK = 256
 
 
 def _spread(bits: Column) -> Column:
@@ -154,7 +156,7 @@ def nearest_by_place(
         places.select("x", "y")
         .filter("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)").distinct()
     )
-    wanted, _ = _in_runs(distinct, QUERY_RUN, extent, "places")
+    wanted, query_runs = _in_runs(distinct, QUERY_RUN, extent, "places")
 
     leaves = _boxes(points, F.col("run"))
     if site_runs > SMALL_LEVEL:
@@ -179,7 +181,8 @@ def nearest_by_place(
         if size <= BROADCAST_BOXES:
             boxes = F.broadcast(boxes)
         kept = _pruned(asked.join(boxes, "box"), k)
-        run_pairs = kept.select("qrun", F.col("box").alias("run"))
+        run_pairs = kept.select(
+            "qrun", F.col("box").alias("run"), "bound", "x0", "x1", "y0", "y1")
         frontier = kept.select(
             "qrun", "qx0", "qx1", "qy0", "qy1",
             (F.col("box") * F.lit(BOXES_PER_BOX)).alias("first"),
@@ -192,9 +195,19 @@ def nearest_by_place(
     packed_places = wanted.groupBy(F.col("run").alias("qrun")).agg(
         F.collect_list(F.struct("x", "y")).alias("spots")
     )
+    # Few bytes but much arithmetic per row: adaptive execution would put a small
+    # search into one task, so its pairs are dealt out first.
+    slots = places.sparkSession.sparkContext.defaultParallelism
+    if query_runs < slots * RUNS_PER_TASK:
+        run_pairs = run_pairs.repartition(slots)
+    c = F.col
+    away_x = _gap(c("spot.x"), c("spot.x"), c("x0"), c("x1"))
+    away_y = _gap(c("spot.y"), c("spot.y"), c("y0"), c("y1"))
     candidates = (
         run_pairs.join(packed_sites, "run").join(packed_places, "qrun")
-        .select("members", F.explode("spots").alias("spot"))
+        .withColumn("spot", F.explode("spots"))
+        .filter(c("bound").isNull() | (away_x * away_x + away_y * away_y <= c("bound")))
+        .select("members", "spot")
     )
 
     def measured(member: Column) -> Column:
