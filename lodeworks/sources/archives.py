@@ -5,11 +5,13 @@ from __future__ import annotations
 import io
 import tarfile
 import zipfile
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeworks.functions.naming import standard_names
 from lodeworks.session import stage_table
 
 MEMBER_SCHEMA = "archive string, member string, depth int, content binary, problem string"
@@ -81,3 +83,28 @@ def expand_archives(spark: SparkSession, paths: list[str], max_depth: int = 4) -
         if level.isEmpty():
             return done
     return done.unionByName(level.withColumn("problem", F.lit("nested too deep")))
+
+
+def member_table(members: DataFrame) -> DataFrame:
+    """Delimited archive members of any header as one all-text table.
+
+    Member contents are decoded as UTF-8, or as Latin-1 where that fails, and
+    split to lines by the tasks that hold them.
+    """
+    text = F.when(
+        F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")
+    ).otherwise(F.decode("content", "ISO-8859-1"))
+    lines = members.filter(F.col("content").isNotNull()).select(
+        F.split(F.regexp_replace(text, r"\r", ""), "\n").alias("lines")
+    ).select(F.col("lines")[0].alias("header"), F.explode(
+        F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("line"))
+    rows = stage_table(lines.filter(F.trim("line") != ""), "member-lines")
+    headers = sorted(r[0] for r in rows.select("header").distinct().collect())
+    tables = []
+    for header in headers:
+        names = standard_names([c.strip().strip('"') for c in header.split(",")])
+        schema = ", ".join(f"`{n}` string" for n in names)
+        parsed = rows.filter(F.col("header") == header).select(
+            F.from_csv("line", schema).alias("row"))
+        tables.append(parsed.select("row.*"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
