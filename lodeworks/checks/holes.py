@@ -424,7 +424,8 @@ def column_statistics(spark, sf):
     totals=TOTALS,
 ))
 def grade_quantiles(spark, sf):
-    rows = holes.add_interval_totals(view(spark, sf, "assay")).select("treo", "fe2o3_ppm")
+    rows = stage_table(holes.add_interval_totals(view(spark, sf, "assay")).select(
+        "treo", "fe2o3_ppm"), "grades")
     found = exact_quantiles(rows, ["treo", "fe2o3_ppm"], [0.7, 0.95, 0.99])
     out = [(c, p, q) for c, qs in found.items() for p, q in zip([0.7, 0.95, 0.99], qs)]
     return settled(spark.createDataFrame(out, "name string, p double, q double"))

@@ -11,6 +11,8 @@ from lodeworks.functions.geodesy import (
 )
 from lodeworks.functions.spectral import spectral_indices
 from lodeworks.operators import grid, neighbours, polygons, raster
+from lodeworks.operators.places import in_degrees
+from lodeworks.plans.holes import geology_matrix as geology_features
 from lodeworks.plans.surface import grid_features
 from lodeworks.session import stage_table
 from lodeworks.sources.tables import view
@@ -148,6 +150,26 @@ def polygon_join(spark, sf):
     return polygons.join_polygons(_places(spark, sf), layer, "hole_id", names).drop("x", "y")
 
 
+@query()
+def geology_matrix(spark, sf):
+    """Matrix with alteration flags, geology levels and scaled grades."""
+    return geology_features(
+        view(spark, sf, "collar"), view(spark, sf, "assay"), view(spark, sf, "alteration"),
+        _layer(spark, sf), ["unit_name"])
+
+
+@query(over(
+    ["collar"],
+    f"""SELECT hole_id, {r('lon', 6)} AS lon, {r('lat', 6)} AS lat FROM collar""",
+))
+def projected_collar(spark, sf):
+    """Collar given in metres, recognised as such and brought back to degrees."""
+    metres = to_utm(view(spark, sf, "collar"), ZONE, south=True, x="e", y="n").select(
+        "hole_id", F.col("e").alias("lon"), F.col("n").alias("lat"))
+    placed = in_degrees(stage_table(metres, "metres"), ZONE, south=True)
+    return settled(placed.select("hole_id", "lon", "lat"), 6)
+
+
 _AT = """SELECT hole_id, CAST(floor((lat - (-28.8e0))/(-0.002e0)) AS INT) AS prow,
   CAST(floor((lon-122.5e0)/0.0025e0) AS INT) AS pcol FROM collar WHERE lon IS NOT NULL"""
 _VALID = "SELECT prow, pcol, CASE WHEN val <> -9999 THEN val END AS val FROM pixels"

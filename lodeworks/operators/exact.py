@@ -9,38 +9,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Rows one aggregation buffer may see before the bracketed form takes over, and
-# rows one ordered bucket aims at.
-BUFFER_ROWS = 2_000_000
+# Values (rows times columns) one aggregation buffer may hold before the bracketed
+# form takes over, and rows one ordered bucket aims at.
+BUFFER_VALUES = 4_000_000
 BUCKET_ROWS = 1_000_000
 
 
 def exact_quantiles(
     df: DataFrame, columns: list[str], probabilities: list[float],
-    buffer_rows: int = BUFFER_ROWS,
+    buffer_values: int = BUFFER_VALUES,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of numeric columns, NULL skipped.
 
-    Up to ``buffer_rows`` rows the built-in exact aggregate holds every distinct
-    value. Beyond that, approximate quantiles bracket each target rank, counts
-    prove that the rank lies inside, and only the bracket is sorted. Returns
-    one short list per column (a bounded driver-side result).
+    Up to ``buffer_values`` values the built-in exact aggregate holds all distinct
+    ones. Beyond that, approximate quantiles bracket each target rank, counts
+    prove that the rank lies inside, and only the bracket is sorted. ``df`` is read a few times, so stage what is dear.
+    Returns one short list per column (a bounded driver-side result).
     """
     if not columns:
         return {}
     rows = df.count()
-    if rows <= buffer_rows:
+    if rows * len(columns) <= buffer_values:
         wanted = F.array(*[F.lit(p) for p in probabilities])
         found = df.agg(
             *[F.percentile(F.col(f"`{c}`").cast("double"), wanted).alias(c) for c in columns]
         ).first()
         return {c: list(found[c] or [None] * len(probabilities)) for c in columns}
-    return _bracketed(df, columns, probabilities, rows, buffer_rows)
+    return _bracketed(df, columns, probabilities, rows, buffer_values)
 
 
-def _bracketed(df, columns, probabilities, rows, buffer_rows):
+def _bracketed(df, columns, probabilities, rows, buffer_values):
     doubles = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
-    margin = min(0.01, buffer_rows / (8.0 * rows))
+    margin = min(0.01, buffer_values / (8.0 * rows * len(columns)))
     while True:
         edges = []
         for p in probabilities:

@@ -10,13 +10,14 @@ from lodeworks.functions.geochem import (
     centroid_distance, depth_score, label_scale, range_scaled, scaled_label,
 )
 from lodeworks.operators.columns import (
-    imputed, log_scaled, matrix_columns, medians, numeric_features, without_leakage,
+    imputed, log_scaled, matrix_columns, medians, numeric_features, one_hot, without_leakage,
 )
 from lodeworks.operators.exact import exact_quantiles, quantile
 from lodeworks.operators.holes import (
-    add_interval_totals, alteration_counts, hole_aggregates, hole_master, known_holes,
+    add_interval_totals, alteration_counts, alteration_flags, hole_aggregates, hole_master,
     pivot_attributes,
 )
+from lodeworks.operators.polygons import join_polygons
 from lodeworks.session import stage_table
 
 
@@ -28,9 +29,9 @@ def build_master(
     """One row per hole from intervals, extra attributes and alteration text."""
     aggregates = hole_aggregates(add_interval_totals(assay))
     pivoted = pivot_attributes(extra, list(extra_attributes), "_geo") if extra is not None else None
-    counts = (
-        alteration_counts(known_holes(alteration, collar)) if alteration is not None else None
-    )
+    # Counting before the join also drops texts of unknown holes, without a
+    # semi-join that would have to move every text.
+    counts = alteration_counts(alteration) if alteration is not None else None
     master = hole_master(collar, aggregates, pivoted, counts)
     if "fromdepth_min" in master.columns:
         master = master.withColumn("depth_score", depth_score(F.col("fromdepth_min"), ladder))
@@ -99,3 +100,33 @@ def feature_matrix(
     if log:
         filled = log_scaled(filled, features)
     return filled.select(*matrix_columns(filled.columns, features)), features
+
+
+def geology_matrix(
+    collar: DataFrame, assay: DataFrame, alteration: DataFrame, layer: DataFrame,
+    attributes: list[str],
+) -> DataFrame:
+    """The staged-script matrix: flags, geology levels, scaled grade, medians filled.
+
+    Ratios enter by their mean only, and the finer depth ladder applies.
+    """
+    aggregates = hole_aggregates(add_interval_totals(assay), ratios_by_mean_only=True)
+    master = hole_master(collar, aggregates).join(alteration_flags(alteration), "hole_id", "left")
+    placed = master.withColumns({"x": F.col("lon"), "y": F.col("lat")})
+    points = placed.select("hole_id", "x", "y")
+    geology = join_polygons(points, layer, "hole_id", attributes).drop("x", "y")
+    master = stage_table(placed.join(geology, "hole_id", "left"), "geology-master")
+    p95 = label_p95(master)
+    scaled = master.withColumns({
+        "depth_score": depth_score(F.col("fromdepth_min"), "matrix"),
+        "treo_norm": F.coalesce(scaled_label(F.col("treo_max"), p95), F.lit(0.0)),
+    })
+    for attribute in attributes:
+        scaled = one_hot(scaled, f"geol_{attribute}")
+    features = [
+        c for c in scaled.columns
+        if c.endswith(("_max", "_mean", "_score", "_norm", "_min")) or c == "maxdepth"
+        or c.startswith(("alt_", *[f"geol_{a}_" for a in attributes]))
+    ]
+    filled = imputed(scaled, medians(scaled, features))
+    return filled.select(*matrix_columns(filled.columns, features))

@@ -18,7 +18,7 @@ def test_bracketed_quantiles_equal_numpy(spark, hot):
     rows = [(float(x), None if i % 11 == 0 else float(y)) for i, (x, y) in enumerate(zip(a, b))]
     df = spark.createDataFrame(rows, "a double, b double").repartition(5)
     shares = [0.0, 0.25, 0.5, 0.7, 0.95, 1.0]
-    found = exact_quantiles(df, ["a", "b"], shares, buffer_rows=300)
+    found = exact_quantiles(df, ["a", "b"], shares, buffer_values=600)
     kept = [y for _, y in rows if y is not None]
     np.testing.assert_allclose(found["a"], np.quantile(a, shares), rtol=1e-12)
     np.testing.assert_allclose(found["b"], np.quantile(kept, shares), rtol=1e-9)
@@ -31,7 +31,7 @@ def test_empty_column_has_no_quantile(spark):
     assert exact_quantiles(df, ["a", "b"], [0.5]) == {"a": [1.5], "b": [None]}
     many = spark.range(900).select(F.col("id").cast("double").alias("a"),
                                    F.lit(None).cast("double").alias("b"))
-    assert exact_quantiles(many, ["a", "b"], [0.5], buffer_rows=100) == {
+    assert exact_quantiles(many, ["a", "b"], [0.5], buffer_values=200) == {
         "a": [449.5], "b": [None]}
 
 
