@@ -150,12 +150,38 @@ def polygon_join(spark, sf):
     return polygons.join_polygons(_places(spark, sf), layer, "hole_id", names).drop("x", "y")
 
 
-@query()
+@query(over(
+    ["collar", "assay", "alteration", "polygons"],
+    f"""SELECT hole_id, deposit, {r("coalesce(alt_clay, m_clay, 0e0)")} AS alt_clay,
+      {r("coalesce(alt_weath, m_weath, 0e0)")} AS alt_weath,
+      {r("coalesce(elevation, m_elev, 0e0)")} AS elevation,
+      CASE WHEN fromdepth_min IS NULL THEN 0.5e0 WHEN fromdepth_min<20 THEN 1e0
+        WHEN fromdepth_min<50 THEN 0.95e0 WHEN fromdepth_min<80 THEN 0.85e0
+        WHEN fromdepth_min<150 THEN 0.65e0 WHEN fromdepth_min<300 THEN 0.45e0 ELSE 0.25e0 END
+        AS depth_score,
+      {r("coalesce(least(greatest(treo_max/p95,0e0),1e0),0e0)", 6)} AS treo_norm,
+      CASE WHEN unit = 'NATION_12' THEN 1e0 ELSE 0e0 END AS geol_unit_name_NATION_12,
+      CASE WHEN unit IS NULL THEN 1e0 ELSE 0e0 END AS geol_unit_name_unknown
+    FROM m LEFT JOIN alt USING (hole_id) LEFT JOIN geo USING (hole_id) CROSS JOIN s""",
+    totals=TOTALS, m=HOLE,
+    alt="""SELECT hole_id,
+      max(CASE WHEN lower(attributevalue) LIKE '%clay%' THEN 1e0 ELSE 0e0 END) AS alt_clay,
+      max(CASE WHEN lower(attributevalue) LIKE '%weath%' THEN 1e0 ELSE 0e0 END) AS alt_weath
+      FROM alteration GROUP BY hole_id""",
+    geo="""SELECT c.hole_id, min_by(p.unit_name, p.poly_id) AS unit FROM collar c JOIN polygons p
+      ON lon >= xmin AND lon < xmax AND lat >= ymin AND lat < ymax GROUP BY c.hole_id""",
+    s="""SELECT quantile_cont(treo_max, 0.95) AS p95, quantile_cont(alt_clay, 0.5) AS m_clay,
+      quantile_cont(alt_weath, 0.5) AS m_weath, quantile_cont(elevation, 0.5) AS m_elev
+      FROM m LEFT JOIN alt USING (hole_id)""",
+))
 def geology_matrix(spark, sf):
     """Matrix with alteration flags, geology levels and scaled grades."""
-    return geology_features(
+    matrix = geology_features(
         view(spark, sf, "collar"), view(spark, sf, "assay"), view(spark, sf, "alteration"),
         _layer(spark, sf), ["unit_name"])
+    return settled(matrix.select(
+        "hole_id", "deposit", "alt_clay", "alt_weath", "elevation", "depth_score", "treo_norm",
+        "geol_unit_name_NATION_12", "geol_unit_name_unknown"), treo_norm=6)
 
 
 @query(over(
@@ -270,14 +296,40 @@ def prediction_grid(spark, sf):
     return settled(grid.grid_points(spark, spec).drop("cell_id"), 7)
 
 
-@query()
+_COARSE = {k: t.replace("100e0", "250e0") for k, t in _GRID.items()}
+
+
+@query(over(
+    ["collar", "assay", "pixels"],
+    f"""SELECT grow, gcol, {r('tmax')} AS idw_treo_max, {r('tmean')} AS idw_treo_mean,
+      {r('conf', 6)} AS idw_conf, {r('near_m')} AS nearest_m,
+      {r('coalesce(v, (SELECT quantile_cont(v, 0.5) FROM px))')} AS g_tmi,
+      {r('(lon-lon0)/(lon1-lon0+1e-9)', 6)} AS coord_lon_norm,
+      {r('(lat-lat0)/(lat1-lat0+1e-9)', 6)} AS coord_lat_norm
+    FROM est JOIN px USING (grow, gcol) CROSS JOIN e""",
+    totals=TOTALS, hole=HOLE, **_COARSE,
+    px="""SELECT grow, gcol, CASE WHEN val <> -9999 THEN val END AS v FROM cells
+      LEFT JOIN pixels ON prow = floor((lat+28.8e0)/(-0.002e0))
+      AND pcol = floor((lon-122.5e0)/0.0025e0)""",
+    d="""SELECT grow, gcol, c.lon, c.lat, h.treo_max, h.treo_mean, h.hole_id,
+      sqrt((h.lon-c.lon)*(h.lon-c.lon)+(h.lat-c.lat)*(h.lat-c.lat)) AS d
+      FROM cells c JOIN hole h ON h.treo_max IS NOT NULL AND h.lon IS NOT NULL""",
+    k="""SELECT *, 1/pow(greatest(d*111320,1e-6),2) AS w FROM d QUALIFY row_number() OVER
+      (PARTITION BY grow, gcol ORDER BY d, hole_id) <= 8""",
+    est="""SELECT grow, gcol, lon, lat, sum(w*treo_max)/sum(w) AS tmax,
+      sum(w*treo_mean)/sum(w) AS tmean, min(d)*111320 AS near_m,
+      1/(1+greatest(min(d)*111320,1e-6)/100) AS conf FROM k GROUP BY ALL""",
+))
 def grid_feature_table(spark, sf):
     """Grid features at 250 m: raster, interpolated grades, nearest hole, place."""
     features = grid_features(
         stage_table(hole_table(spark, sf), "grid-holes"), view(spark, sf, "pixels"),
         [MAGNETIC], ["treo_max", "treo_mean"], resolution_m=250.0,
     )
-    return settled(features, 5)
+    return settled(features.select(
+        "grow", "gcol", "idw_treo_max", "idw_treo_mean", "idw_conf", "nearest_m", "g_tmi",
+        "coord_lon_norm", "coord_lat_norm",
+    ), idw_conf=6, coord_lon_norm=6, coord_lat_norm=6)
 
 
 def _surface_spec():

@@ -119,16 +119,18 @@ def running_totals(
     the totals of the buckets before. ``df`` holds one row per value of
     ``order``, so no bucket can be swamped by one value.
     """
-    buckets = max(1, math.ceil(df.count() / bucket_rows))
+    direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    buckets = math.ceil(df.count() / bucket_rows)
     inner = []
     if buckets > 1:
         shares = [i / buckets for i in range(1, buckets)]
         inner = sorted(set(df.approxQuantile(order, shares, 1 / (4 * buckets))))
-    marked = df.withColumn("_bucket", F.lit(0.0))
-    if inner:
-        splits = [-float("inf"), *inner, float("inf")]
-        marked = Bucketizer(splits=splits, inputCol=order, outputCol="_bucket").transform(df)
-    direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    if not inner:
+        # At most one bucket of rows: one ordered task is enough.
+        whole = W.orderBy(direction(order)).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return df.withColumns({f"{s}_run": F.sum(s).over(whole) for s in sums})
+    splits = [-float("inf"), *inner, float("inf")]
+    marked = Bucketizer(splits=splits, inputCol=order, outputCol="_bucket").transform(df)
     # One row per bucket, so this window never sees the rows of df.
     earlier = W.orderBy(direction("_bucket")).rowsBetween(W.unboundedPreceding, -1)
     offsets = (
