@@ -129,7 +129,7 @@ def _pruned(pairs: DataFrame, k: int) -> DataFrame:
         })
         .withColumn("covered", F.sum("held").over(nearest_first))
         .withColumn("bound", F.min(F.when(c("covered") >= k, c("far"))).over(per_run))
-        .filter(c("bound").isNull() | (c("near") <= c("bound")))
+        .filter(c("bound").isNull() | (c("near") <= c("bound") * F.lit(1 + 1e-9)))
     )
 
 
@@ -203,26 +203,26 @@ def nearest_by_place(
     c = F.col
     away_x = _gap(c("spot.x"), c("spot.x"), c("x0"), c("x1"))
     away_y = _gap(c("spot.y"), c("spot.y"), c("y0"), c("y1"))
-    candidates = (
+    dx, dy = c("member.x") - c("px"), c("member.y") - c("py")
+    square = dx * dx + dy * dy
+    # The bound of a run holds for each of its places; the slack covers rounding.
+    bound = c("bound") * F.lit(1 + 1e-9)
+    pairs = (
         run_pairs.join(packed_sites, "run").join(packed_places, "qrun")
-        .withColumn("spot", F.explode("spots"))
-        .filter(c("bound").isNull() | (away_x * away_x + away_y * away_y <= c("bound")))
-        .select("members", "spot")
-    )
-
-    def measured(member: Column) -> Column:
-        dx, dy = member["x"] - F.col("spot.x"), member["y"] - F.col("spot.y")
-        return F.struct(
-            F.sqrt(dx * dx + dy * dy).alias("d"), member["site_id"].alias("site_id"),
-            *[member[p].alias(p) for p in payload],
-        )
-
-    best_of_run = F.slice(F.sort_array(F.transform("members", measured)), 1, k)
-    return (
-        candidates.select("spot.x", "spot.y", best_of_run.alias("best"))
-        .groupBy("x", "y")
-        .agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("near"))
+        .select("members", "bound", "x0", "x1", "y0", "y1", F.explode("spots").alias("spot"))
+        .filter(c("bound").isNull() | (away_x * away_x + away_y * away_y <= bound))
+        .select("bound", c("spot.x").alias("px"), c("spot.y").alias("py"),
+                F.explode("members").alias("member"))
+        .filter(c("bound").isNull() | (square <= bound))
+        .select(
+            "px", "py", F.sqrt(square).alias("d"), c("member.site_id").alias("site_id"),
+            *[c(f"member.{p}").alias(p) for p in payload])
     )
+    nearest_first = W.partitionBy("px", "py").orderBy("d", "site_id")
+    # Spark cuts every place to k rows before the shuffle, and again after it.
+    best = pairs.withColumn("_n", F.row_number().over(nearest_first)).filter(c("_n") <= k)
+    return best.groupBy(c("px").alias("x"), c("py").alias("y")).agg(
+        F.sort_array(F.collect_list(F.struct("d", "site_id", *payload))).alias("near"))
 
 
 def nearest_sites(
