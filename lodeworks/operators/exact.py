@@ -5,21 +5,27 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodeworks.functions.numeric import nan_to_null
+
 # Values (rows times columns) one aggregation buffer may hold before the bracketed
 # form takes over, and rows one ordered bucket aims at.
 BUFFER_VALUES = 4_000_000
 BUCKET_ROWS = 1_000_000
 
 
+def _number(column: str) -> Column:
+    return nan_to_null(F.col(f"`{column}`").cast("double"))
+
+
 def exact_quantiles(
     df: DataFrame, columns: list[str], probabilities: list[float],
     buffer_values: int = BUFFER_VALUES,
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles of numeric columns, NULL skipped.
+    """Linearly interpolated quantiles of numeric columns, NULL and NaN skipped.
 
     Up to ``buffer_values`` values the built-in exact aggregate holds all distinct
     ones. Beyond that, approximate quantiles bracket each target rank, counts
@@ -32,14 +38,14 @@ def exact_quantiles(
     if rows * len(columns) <= buffer_values:
         wanted = F.array(*[F.lit(p) for p in probabilities])
         found = df.agg(
-            *[F.percentile(F.col(f"`{c}`").cast("double"), wanted).alias(c) for c in columns]
+            *[F.percentile(_number(c), wanted).alias(c) for c in columns]
         ).first()
         return {c: list(found[c] or [None] * len(probabilities)) for c in columns}
     return _bracketed(df, columns, probabilities, rows, buffer_values)
 
 
 def _bracketed(df, columns, probabilities, rows, buffer_values):
-    doubles = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
+    doubles = df.select(*[_number(c).alias(c) for c in columns])
     margin = min(0.01, buffer_values / (8.0 * rows * len(columns)))
     while True:
         edges = []

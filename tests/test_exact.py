@@ -35,6 +35,15 @@ def test_empty_column_has_no_quantile(spark):
         "a": [449.5], "b": [None]}
 
 
+def test_nan_is_skipped_at_any_size(spark):
+    value = F.when(F.col("id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("id") * 1.0)
+    df = spark.range(900).select(value.alias("a"))
+    expected = np.quantile([i for i in range(900) if i % 3], [0.5, 0.9])
+    for limit in (100, 10_000):
+        found = exact_quantiles(df, ["a"], [0.5, 0.9], buffer_values=limit)["a"]
+        np.testing.assert_allclose(found, expected)
+
+
 @pytest.mark.parametrize("descending", [False, True])
 def test_running_totals_over_many_buckets(spark, descending):
     df = spark.range(2000).select((F.col("id") * 37 % 2003).cast("double").alias("v"),
