@@ -40,7 +40,7 @@ WITH RECURSIVE tokens AS (
 shingles AS (
   SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN []
     WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')))
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
     END) AS s FROM tokens),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 shared AS (
@@ -49,9 +49,9 @@ shared AS (
 links AS (
   SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
   WHERE 100 * k >= 85 * (x.n + y.n - k)),
-both AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+ends AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach(node, low) AS (
-  SELECT a, a FROM both UNION SELECT b.b, r.low FROM reach r JOIN both b ON b.a = r.node
+  SELECT a, a FROM ends UNION SELECT b.b, r.low FROM reach r JOIN ends b ON b.a = r.node
   WHERE r.low < b.b),
 lowest AS (SELECT node, min(low) AS low FROM reach GROUP BY node)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(low, d.doc_id) AS component_id,
@@ -66,3 +66,79 @@ def op4_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeworks.llm.neardup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+SUBSTRING_SQL = r"""
+WITH tokens AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, p, array_to_string(w[p:p + 34], ' ') AS s FROM (
+    SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS p FROM tokens WHERE len(w) >= 35)),
+again AS (
+  SELECT doc_id, p FROM windows SEMI JOIN (
+    SELECT s FROM windows GROUP BY s HAVING count(*) > 1) r ON windows.s = r.s),
+gone AS (SELECT doc_id, list(DISTINCT i) AS g FROM (
+  SELECT doc_id, unnest(range(p, p + 35)) AS i FROM again) GROUP BY doc_id)
+SELECT t.doc_id, len(w) AS n_words, coalesce(len(g), 0) AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN g IS NULL THEN w ELSE list_transform(list_filter(
+    range(1, len(w) + 1), lambda i: NOT list_contains(g, i)), lambda i: w[i]) END, ' '), '')) AS kept_sha256
+FROM tokens t LEFT JOIN gone ON gone.doc_id = t.doc_id
+"""
+
+
+@query(SUBSTRING_SQL)
+def op6_substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that repeated 35-word windows take from each document, and what is left."""
+    from lodeworks.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query()
+def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of ids and decoded text per document."""
+    import public_tokenizers
+
+    from lodeworks.llm.bpe import token_digests
+
+    return token_digests(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query()
+def op2_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and shard of every document among 64 shards."""
+    from lodeworks.llm.sharding import place
+
+    shards = [f"shard-{i:03d}" for i in range(64)]
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return place(documents, ["doc_id"], shards)
+
+
+WARC_SQL = """
+WITH hashed AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+parts AS (SELECT *, list_transform(range(0, 8), lambda i:
+    ('0x' || substr(h, 5 * i + 1, 5))::BIGINT) AS p FROM hashed),
+coded AS (SELECT page_id, html, array_to_string(list_transform(p, lambda v: concat(
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 15) & 31) + 1, 1),
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 10) & 31) + 1, 1),
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 5) & 31) + 1, 1),
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v & 31) + 1, 1))), '') AS d FROM parts),
+first AS (SELECT d, max(page_id) AS top FROM coded GROUP BY d)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, c.d AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM coded c JOIN first f ON c.d = f.d
+"""
+
+
+@query(WARC_SQL)
+def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records and read back through the index."""
+    from lodeworks.llm.warc import read_records, write_archives
+
+    index = write_archives(table(spark, sf_dir, "pages"))
+    return read_records(index, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
