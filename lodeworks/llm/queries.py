@@ -142,3 +142,36 @@ def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = write_archives(table(spark, sf_dir, "pages"))
     return read_records(index, with_payload=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op1_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, word for word or re-parameterised."""
+    from lodeworks.llm.decontam import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op8_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each page, trigrams learnt from all documents."""
+    from lodeworks.llm.langid import identify, train
+
+    return identify(table(spark, sf_dir, "pages"), train(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op9_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate secrets of all documents with the forest's verdict."""
+    from lodeworks.llm.secret_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity, grade and verdict per document."""
+    from lodeworks.llm.toxicity import grade_documents, train
+
+    documents = table(spark, sf_dir, "documents")
+    return grade_documents(documents, train(documents, table(spark, sf_dir, "labels")))
