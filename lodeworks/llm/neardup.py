@@ -6,10 +6,11 @@ coordinate k is the least pi over the set after the ring is turned by k. Documen
 agree on a band of coordinates share a bucket; links are confirmed on full sets.
 
 Copies are one node from the start. Buckets are not turned into pairs: their members are
-compared with one leader, and only buckets that then still hold several components take
-further leaders, until every member that could add a link has led. A group of any size thus
-costs a few comparisons a member, and no link between candidates is lost. The chance that
-two documents at the limit share no bucket is (1 - 0.85^rows)^bands, 4e-7 as set.
+compared with one leader each. Only buckets that then still hold several components are
+looked at whole, in blocks of bounded size: members outside a block's largest component are
+compared with all others there, and only links that join components come out. So no link
+between candidates is lost that could change a component. The chance that two documents at
+the limit share no bucket is (1 - 0.85^rows)^bands, 4e-7 as set.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ SHINGLE = 5
 BANDS, ROWS = 25, 5
 #: Links need 100 * shared shingles >= PERCENT * all shingles.
 PERCENT = 85
-#: Leaders a bucket takes in each round after the first.
-LEADERS = 32
+#: Shingles that a block of bucket members holds on average; pairs of blocks meet in one task.
+BLOCK_SHINGLES = 1 << 20
 _CHUNK = 1 << 16
 
 
@@ -178,28 +179,53 @@ def _ties(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame | None
         .join(sizes, "low").where(_similar_size(percent))
         .select(F.col("low").alias("a"), F.col("node").alias("b")), "pairs")
     links = stage_table(_linked(tested, texts, percent), "confirmed")
-    led = members.where("node = low").select("bucket", "node")
-    while True:
-        found = components(links)
-        labelled = members.join(found, "node", "left").select(
-            "bucket", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
-        split = labelled.groupBy("bucket").agg(
-            F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        active = stage_table(labelled.join(split.select("bucket"), "bucket"), "active")
-        leaders = stage_table(
-            active.join(led, ["bucket", "node"], "left_anti")
-            .groupBy("bucket", F.pmod(F.hash("node"), F.lit(LEADERS)).alias("slot"))
-            .agg(F.min(F.struct("node", "n_shingles", "component")).alias("x"))
-            .select("bucket", F.col("x.node").alias("leader"), F.col("x.n_shingles").alias("m"),
-                    F.col("x.component").alias("led_component")), "leaders")
-        if leaders.isEmpty():
-            return found
-        new = stage_table(
-            active.join(leaders, "bucket")
-            .where("component <> led_component").withColumn("n", F.col("n_shingles"))
-            .where(_similar_size(percent))
-            .select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b"))
-            .distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.union(new)
-        links = stage_table(links.union(_linked(new, texts, percent)), "confirmed")
-        led = led.union(leaders.select("bucket", F.col("leader").alias("node")))
+    found = stage_table(components(links), "components")
+    labelled = members.join(found, "node", "left").select(
+        "bucket", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
+    split = labelled.groupBy("bucket").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"),
+        F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
+    # two members have been compared; more may be linked past the leader
+    split = split.where("low <> high and members > 2").select(
+        "bucket", F.ceil(F.col("shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    own = F.pmod(F.hash("node"), F.col("blocks"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    blocks = (
+        labelled.join(split, "bucket").withColumn("own", own).withColumn("other", other)
+        .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                F.col("node").alias("doc_id"), "component")
+        .join(texts, "doc_id")
+    )
+    more = blocks.groupBy("bucket", "i", "j").applyInArrow(
+        _closer(percent), "a long, b long").distinct()
+    return components(links.union(more))
+
+
+def _closer(percent: int):
+    """Links that tie together the components of a block of bucket members."""
+    def close(table: pa.Table) -> pa.Table:
+        ids, labels = (table.column(x).to_numpy() for x in ("doc_id", "component"))
+        sets = shingle_sets(table.column("text").combine_chunks())
+        sizes = np.array([len(s) for s in sets], np.int64)
+        _, places = np.unique(np.concatenate(sets), return_inverse=True)
+        starts = np.cumsum(sizes) - sizes
+        label = np.unique(labels, return_inverse=True)[1]
+        pairs = []
+        held = np.zeros(int(places.max()) + 1, bool)
+        # the members of all components but the largest meet every member
+        for x in np.argsort(np.bincount(label)[label], kind="stable"):
+            largest = np.bincount(label).argmax()
+            if label[x] == largest:
+                continue
+            own = places[starts[x]:starts[x] + sizes[x]]
+            held[own] = True
+            shared = np.add.reduceat(held[places], starts, dtype=np.int64)
+            held[own] = False
+            near = 100 * shared >= percent * (sizes + sizes[x] - shared)
+            for other in np.unique(label[near & (label != label[x])]):
+                y = np.flatnonzero(near & (label == other))[0]
+                pairs.append((ids[x], ids[y]))
+                label[label == other] = label[x]
+        return pa.table({k: pa.array([p[i] for p in pairs], pa.int64()) for i, k in enumerate("ab")})
+
+    return close
