@@ -239,14 +239,16 @@ def version_deltas(spark, sf):
 
 @query(over(
     ["registry", "collar"],
-    """SELECT deposit FROM registry WHERE version > 20
-      EXCEPT SELECT deposit FROM registry WHERE version <= 3""",
+    """SELECT deposit FROM registry WHERE 20 * version > (SELECT max(version) FROM registry)
+      EXCEPT SELECT deposit FROM registry
+      WHERE 20 * version <= (SELECT max(version) FROM registry)""",
 ))
 def deposits_added(spark, sf):
     rows = view(spark, sf, "registry")
-    old = rows.filter("version <= 3").select("deposit").distinct()
-    return rows.filter("version > 20").select("deposit").distinct().join(
-        old, "deposit", "left_anti")
+    last = rows.agg(F.max("version")).first()[0]
+    late = 20 * F.col("version") > F.lit(last)
+    old = rows.filter(~late).select("deposit").distinct()
+    return rows.filter(late).select("deposit").distinct().join(old, "deposit", "left_anti")
 
 
 @query(over(
@@ -459,11 +461,11 @@ def file_sizes(spark, sf):
 
 
 @query(
-    r"""SELECT doc_id, array_to_string(cols, '|') AS columns, len(cols)::INT AS n,
+    r"""SELECT doc_id, array_to_string(cols[1:25], '|') AS columns, len(cols)::INT AS n,
       len(list_filter(cols, lambda c: regexp_matches(c,
         'ce|la|nd|pr|sm|eu|treo|tree|ree|lree|hree|rare earth|rare_earth')))::INT AS flagged
     FROM (SELECT doc_id, list_transform(string_split(regexp_replace(lower(
-        split_part(text, chr(10), 1)), '^\s+|\s+$', '', 'g'), ',')[1:25],
+        split_part(text, chr(10), 1)), '^\s+|\s+$', '', 'g'), ','),
       lambda c: regexp_replace(regexp_replace(c, '^\s+|\s+$', '', 'g'), '^"+|"+$', '', 'g'))
       AS cols FROM documents)"""
 )
@@ -472,7 +474,7 @@ def header_sniff(spark, sf):
     first = F.substring_index("text", "\n", 1)
     columns = fl.header_columns(first)
     return table(spark, sf, "documents").select("doc_id", columns.alias("cols")).select(
-        "doc_id", F.array_join("cols", "|").alias("columns"), F.size("cols").alias("n"),
+        "doc_id", F.array_join(F.slice("cols", 1, fl.SHOWN_COLUMNS), "|").alias("columns"), F.size("cols").alias("n"),
         F.size(fl.rare_earth_headers(F.col("cols"))).alias("flagged"))
 
 
@@ -487,7 +489,8 @@ def json_shapes(spark, sf):
     text = (
         F.when(kind == 0, F.col("props"))
         .when(kind == 1, F.concat(F.lit("["), "props", F.lit(","), "props", F.lit("]")))
-        .otherwise(F.lit("[1, 2, 3]"))
+        .otherwise(F.concat_ws("", F.lit("["), F.length("props"), F.lit(","), "event_id", F.lit(","),
+                               "user_id", F.lit("]")))
     )
     return table(spark, sf, "events").select("event_id", fl.json_shape(text).alias("shape"))
 
@@ -597,7 +600,7 @@ def feature_importances(spark, sf):
 def permutation_impacts(spark, sf):
     ensemble, _ = _trained(spark, sf)
     _, _, features, frame = _frame(spark, sf)
-    return ens.permutation_impact(ensemble, frame, "y", features[:5])
+    return ens.permutation_impact(ensemble, frame, "y", features).limit(5)
 
 
 @query()

@@ -332,31 +332,32 @@ def grid_feature_table(spark, sf):
     ), idw_conf=6, coord_lon_norm=6, coord_lat_norm=6)
 
 
-def _surface_spec():
-    return grid.GridSpec(0.0, 0.0, 1.0, 1.0, cols=40, rows=50)
-
-
 @query(over(
     ["pixels"],
     f"""SELECT ox, oy, {r('CASE WHEN bool_or(w > 0 AND v IS NULL) THEN 0e0 ELSE '
       'least(greatest(sum(coalesce(v,0e0)*w),0e0),1e0) END', 6)} AS heat
     FROM corners LEFT JOIN nodes USING (grow, gcol) GROUP BY ox, oy""",
     nodes="SELECT prow AS grow, pcol AS gcol, (val % 100)/100e0 AS v FROM pixels "
-          "WHERE val > 0 AND prow < 50",
-    o="""SELECT ox, oy, ox*(39e0/119) AS gx, oy*(49e0/119) AS gy
-      FROM range(120) a(ox), range(120) b(oy)""",
-    q="""SELECT *, least(floor(gx), 38) AS c0, least(floor(gy), 48) AS r0 FROM o""",
+          "WHERE val > 0",
+    size="SELECT max(prow) AS r, max(pcol) AS c FROM pixels",
+    o="""SELECT ox, oy, r, c, ox*(c*1e0/299) AS gx, oy*(r*1e0/299) AS gy
+      FROM size, range(300) a(ox), range(300) b(oy)""",
+    q="""SELECT *, least(floor(gx), c - 1) AS c0, least(floor(gy), r - 1) AS r0 FROM o""",
     corners="""SELECT ox, oy, CAST(r0+dr AS INT) AS grow, CAST(c0+dc AS INT) AS gcol,
       (CASE WHEN dc=1 THEN gx-c0 ELSE 1-(gx-c0) END)
       *(CASE WHEN dr=1 THEN gy-r0 ELSE 1-(gy-r0) END) AS w
       FROM q, range(2) a(dr), range(2) b(dc)""",
 ))
 def smooth_surface(spark, sf):
-    nodes = view(spark, sf, "pixels").filter("val > 0 AND prow < 50").select(
+    """All pixels, extent taken from them, drawn at 300 x 300."""
+    pixels = view(spark, sf, "pixels")
+    last = pixels.agg(F.max("prow").alias("r"), F.max("pcol").alias("c")).first()
+    spec = grid.GridSpec(0.0, 0.0, 1.0, 1.0, cols=last["c"] + 1, rows=last["r"] + 1)
+    nodes = pixels.filter("val > 0").select(
         F.col("prow").alias("grow"), F.col("pcol").alias("gcol"),
         (F.col("val") % 100 / 100).alias("heat"),
     )
-    return settled(grid.resampled(spark, nodes, _surface_spec(), "heat", size=120), 6)
+    return settled(grid.resampled(spark, nodes, spec, "heat", size=300), 6)
 
 
 @query(over(

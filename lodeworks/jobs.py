@@ -21,7 +21,7 @@ from lodeworks.streaming.watcher import Watcher
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="lodeworks")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("inventory", "storage", "run", "infer", "retrain", "watch"):
+    for name in ("inventory", "storage", "run", "infer", "retrain", "watch", "reconcile"):
         command = commands.add_parser(name)
         command.add_argument("folder", help="folder with the input files")
         command.add_argument("--root", required=True, help="folder for results and models")
@@ -70,10 +70,13 @@ def main(argv: list[str] | None = None) -> None:
         print(retrain(spark, options.root, intake.deposit, intake.inputs).status)
     else:
         def job(deposit: str) -> dict:
-            return train(f"{options.folder}/{deposit}", deposit).metrics
+            return train(watcher.folder_of(deposit), deposit).metrics
 
         watcher = Watcher(spark, options.folder, f"{options.root}/watch", job)
-        watcher.start(f"{options.root}/watch-checkpoint").awaitTermination()
+        if options.command == "reconcile":
+            print(*watcher.reconcile(), sep="\n")
+        else:
+            watcher.watch(f"{options.root}/watch-checkpoint")
 
 
 if __name__ == "__main__":

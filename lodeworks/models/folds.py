@@ -25,14 +25,16 @@ def hashed_fold(key: Column, folds: int, seed: int = SEED) -> Column:
 def spatial_groups(
     holes: DataFrame, key: str = "hole_id", rows: int | None = None, seed: int = SEED
 ) -> DataFrame:
-    """Add ``group``: spatial clusters, or one group per hole when holes are few.
+    """Add ``group``: spatial clusters, or one group per located hole when those are few.
 
     Holes without coordinates form one more group of their own.
     """
     located = holes.filter("lon IS NOT NULL AND lat IS NOT NULL")
     rows = located.count() if rows is None else rows
     if rows < MIN_HOLES_FOR_GROUPS:
-        return holes.withColumn("group", F.col(key).cast("string"))
+        placed = F.col("lon").isNotNull() & F.col("lat").isNotNull()
+        return holes.withColumn(
+            "group", F.when(placed, F.col(key).cast("string")).otherwise("unplaced"))
     k = min(MAX_GROUPS, rows // HOLES_PER_GROUP)
     assembler = VectorAssembler(inputCols=["lon", "lat"], outputCol="_place")
     model = KMeans(k=k, seed=seed, featuresCol="_place", predictionCol="_cluster").fit(

@@ -19,6 +19,7 @@ REGISTRY = (
     "deposit string, trained_at timestamp, version string, model_path string, n_holes long,"
     " cv_r2 double, roc_auc double, is_global boolean"
 )
+GLOBALS = "version string, marked_at timestamp"
 METADATA = (
     "version string, trained_at timestamp, deposit string, deposits array<string>,"
     " features array<string>, names array<string>, n_holes long, p95 double, cv_r2 double,"
@@ -98,19 +99,23 @@ def is_compatible(bundle: Bundle | None, features: list[str]) -> bool:
 
 
 class Registry:
-    """Append-only table of trained versions below ``root``."""
+    """Append-only tables below ``root``: trained versions, and marks of the global one."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.path = f"{root.rstrip('/')}/registry"
+        self.marks_path = f"{root.rstrip('/')}/globals"
 
     def table(self) -> DataFrame:
+        return self._read(self.path, REGISTRY)
+
+    def _read(self, path: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(REGISTRY).parquet(self.path)
+            return self.spark.read.schema(schema).parquet(path)
         except AnalysisException as error:
             if "PATH_NOT_FOUND" not in str(error):
                 raise
-            return self.spark.createDataFrame([], REGISTRY)
+            return self.spark.createDataFrame([], schema)
 
     def _append(self, row) -> None:
         self.spark.createDataFrame([row], REGISTRY).coalesce(1).write.mode("append").parquet(
@@ -124,27 +129,30 @@ class Registry:
         ))
 
     def set_global(self, version: str) -> None:
-        """Make an earlier version the global model, as a new row."""
-        row = self.table().filter(F.col("version") == version).first()
-        if row is None:
+        """Make an earlier version the global model; the versions stay as they are."""
+        if self.table().filter(F.col("version") == version).isEmpty():
             raise ValueError(f"unknown version {version}")
-        now = new_version()[1]
-        self._append((*[row[c] if c != "trained_at" else now for c in row.asDict()][:-1], True))
+        self.spark.createDataFrame([(version, new_version()[1])], GLOBALS).coalesce(1).write.mode(
+            "append").parquet(self.marks_path)
 
     def deposits(self) -> list[str]:
         return sorted(r[0] for r in self.table().select("deposit").distinct().collect())
 
     def latest_path(self, deposit: str | None = None) -> str | None:
-        """Newest bundle of the deposit, else the newest global one."""
-        def newest(chosen):
+        """Newest bundle of the deposit, else the one marked or trained as global last."""
+        marks = self._read(self.marks_path, GLOBALS).groupBy("version").agg(
+            F.max("marked_at").alias("marked_at"))
+        trained = F.when(F.col("is_global"), F.col("trained_at"))
+        rows = self.table().join(marks, "version", "left").withColumn(
+            "_global_at", F.greatest("marked_at", trained))
+
+        def newest(chosen, order):
             return F.max_by(
-                F.when(chosen, F.col("model_path")),
-                F.when(chosen, F.struct("trained_at", "version")),
-            )
+                F.when(chosen, F.col("model_path")), F.when(chosen, F.struct(order, "version")))
 
-        found = self.table().agg(
-            newest(F.col("deposit") == F.lit(deposit)).alias("own"),
-            newest(F.col("is_global")).alias("shared"),
+        found = rows.agg(
+            newest(F.col("deposit") == F.lit(deposit), "trained_at").alias("own"),
+            newest(F.col("_global_at").isNotNull(), "_global_at").alias("shared"),
         ).first()
         return found["own"] or found["shared"]
 

@@ -15,6 +15,8 @@ from lodeworks.functions.numeric import nan_to_null
 # form takes over, and rows one ordered bucket aims at.
 BUFFER_VALUES = 4_000_000
 BUCKET_ROWS = 1_000_000
+# Accuracy of approximate quantiles: errors of one part in so many.
+SKETCH = 1000
 
 
 def _number(column: str) -> Column:
@@ -29,7 +31,9 @@ def exact_quantiles(
 
     Up to ``buffer_values`` values the built-in exact aggregate holds all distinct
     ones. Beyond that, approximate quantiles bracket each target rank, counts
-    prove that the rank lies inside, and only the bracket is sorted. ``df`` is read a few times, so stage what is dear.
+    prove that the rank lies inside, brackets are narrowed until they are small,
+    and only those are sorted. ``df`` is read a few times, so stage what is dear.
+    A column without values gives None for each quantile.
     Returns one short list per column (a bounded driver-side result).
     """
     if not columns:
@@ -45,41 +49,52 @@ def exact_quantiles(
 
 
 def _bracketed(df, columns, probabilities, rows, buffer_values):
+    """Quantiles by brackets that are narrowed until their rows fit one ordered task.
+
+    Sketches have a fixed error, so driver and tasks hold the same few numbers for
+    any number of rows; a bracket narrows some hundred times a round.
+    """
     doubles = df.select(*[_number(c).alias(c) for c in columns])
-    margin = min(0.01, buffer_values / (8.0 * rows * len(columns)))
-    while True:
-        edges = []
-        for p in probabilities:
-            edges += [max(p - 2 * margin, 0.0), min(p + 2 * margin, 1.0)]
-        cuts = doubles.approxQuantile(columns, edges, margin)
-        brackets = {
-            (c, i): (cuts[j][2 * i], cuts[j][2 * i + 1])
-            for j, c in enumerate(columns) if cuts[j]
-            for i in range(len(probabilities))
-        }
-        counts = doubles.agg(
-            F.count(F.lit(1)).alias("rows"),
-            *[F.count(F.col(f"`{c}`")).alias(f"n_{j}") for j, c in enumerate(columns)],
-            *[
-                F.count_if(F.col(f"`{c}`") < F.lit(low)).alias(f"below_{columns.index(c)}_{i}")
-                for (c, i), (low, _) in brackets.items()
-            ],
-            *[
-                F.count_if(F.col(f"`{c}`").between(F.lit(low), F.lit(high)))
-                .alias(f"inside_{columns.index(c)}_{i}")
-                for (c, i), (low, high) in brackets.items()
-            ],
-        ).first()
-        targets, proven = {}, True
-        for c, i in brackets:
-            j = columns.index(c)
-            rank = probabilities[i] * (counts[f"n_{j}"] - 1)
-            below, inside = counts[f"below_{j}_{i}"], counts[f"inside_{j}_{i}"]
-            proven &= below <= math.floor(rank) and math.ceil(rank) < below + inside
-            targets[(c, i)] = (rank, below)
-        if proven:
-            break
-        margin = min(margin * 4, 0.5)
+    filled = doubles.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{j}") for j, c in enumerate(columns)]).first()
+    sizes = {c: filled[f"n{j}"] for j, c in enumerate(columns)}
+    keys = [(c, i) for c in columns if sizes[c] for i in range(len(probabilities))]
+    if not keys:
+        return {c: [None] * len(probabilities) for c in columns}
+    limit = max(buffer_values // len(keys), 1)
+    brackets = {k: (-math.inf, math.inf) for k in keys}
+    counts = {k: (0, sizes[k[0]]) for k in keys}  # values below the bracket, and in it
+    ranks = {(c, i): probabilities[i] * (sizes[c] - 1) for c, i in keys}
+    margins, open_keys = {k: 2 / SKETCH for k in keys}, set(keys)
+
+    def inside(k, ends):
+        return F.col(f"`{k[0]}`").between(F.lit(ends[0]), F.lit(ends[1]))
+
+    while open_keys := {k for k in open_keys if counts[k][1] > limit}:
+        order = sorted(open_keys)
+        wanted = []
+        for k in order:
+            below, n = counts[k]
+            low, high = (math.floor(ranks[k]) - below) / n, (math.ceil(ranks[k]) + 1 - below) / n
+            shares = [max(low - margins[k], 0.0), min(high + margins[k], 1.0)]
+            wanted.append(F.percentile_approx(
+                F.when(inside(k, brackets[k]), F.col(f"`{k[0]}`")), shares, SKETCH))
+        found = [tuple(x) for x in doubles.agg(*[w.alias(f"e{m}") for m, w in enumerate(wanted)]).first()]
+        new = doubles.agg(*[
+            x for m, k in enumerate(order) for x in (
+                F.count_if(F.col(f"`{k[0]}`") < F.lit(found[m][0])).alias(f"below{m}"),
+                F.count_if(inside(k, found[m])).alias(f"inside{m}"))
+        ]).first()
+        for m, k in enumerate(order):
+            below, n = new[f"below{m}"], new[f"inside{m}"]
+            if not (below <= math.floor(ranks[k]) and math.ceil(ranks[k]) < below + n):
+                margins[k] *= 4  # the sketch was off; the bracket stays
+                if margins[k] > 1:
+                    open_keys.discard(k)
+            elif n == counts[k][1]:
+                open_keys.discard(k)  # equal values, one row once grouped
+            else:
+                brackets[k], counts[k] = found[m], (below, n)
+    targets = {k: (ranks[k], counts[k][0]) for k in keys}
     pairs = F.array(*[
         F.struct(
             F.lit(columns.index(c)).alias("j"), F.lit(i).alias("i"),
@@ -136,7 +151,9 @@ def running_totals(
         whole = W.orderBy(direction(order)).rowsBetween(W.unboundedPreceding, W.currentRow)
         return df.withColumns({f"{s}_run": F.sum(s).over(whole) for s in sums})
     splits = [-float("inf"), *inner, float("inf")]
-    marked = Bucketizer(splits=splits, inputCol=order, outputCol="_bucket").transform(df)
+    # NaN comes after all numbers, in a bucket of its own, as one ordered window has it
+    marked = Bucketizer(
+        splits=splits, inputCol=order, outputCol="_bucket", handleInvalid="keep").transform(df)
     # One row per bucket, so this window never sees the rows of df.
     earlier = W.orderBy(direction("_bucket")).rowsBetween(W.unboundedPreceding, -1)
     offsets = (

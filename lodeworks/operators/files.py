@@ -269,11 +269,14 @@ def deposit_files(files: DataFrame) -> DataFrame:
     )
 
 
-def header_columns(line: Column, limit: int = 25) -> Column:
-    """Column names of a header line: lower case, blanks and quotes off."""
+SHOWN_COLUMNS = 25
+
+
+def header_columns(line: Column) -> Column:
+    """All column names of a header line: lower case, blanks and quotes off."""
     line = F.regexp_replace(F.lower(line), r"^\s+|\s+$", "")
     return F.transform(
-        F.slice(F.split(line, ","), 1, limit),
+        F.split(line, ","),
         lambda c: F.regexp_replace(
             F.regexp_replace(c, r"^\s+|\s+$", ""), r'^"+|"+$', ""),
     )

@@ -16,6 +16,8 @@ from lodeworks.operators.exact import exact_quantiles
 TILE = 32
 SATURATED = 255.0
 SATURATED_SHARE = 0.9
+# Row or column number that stands for everything farther out.
+FARTHEST = float(2**31 - 8)
 
 
 @dataclass(frozen=True)
@@ -31,16 +33,25 @@ class Raster:
 
 
 def _positions(points: DataFrame, rasters: list[Raster]) -> DataFrame:
-    """One row per point and raster with the pixel row and column below it."""
+    """One row per point and raster with the pixel row and column below it.
+
+    Points without finite coordinates have no place; one far outside a raster gets
+    the outermost number there is, which no pixel has.
+    """
+    def number(value: Column, start: float, step: float) -> Column:
+        at = (value - F.lit(start)) / F.lit(step)
+        return F.floor(F.greatest(F.least(at, F.lit(FARTHEST)), F.lit(-FARTHEST))).cast("int")
+
     def place(r: Raster) -> Column:
         return F.struct(
             F.lit(r.raster_id).alias("raster_id"),
-            F.floor((F.col("y") - F.lit(r.y0)) / F.lit(r.dy)).cast("int").alias("prow"),
-            F.floor((F.col("x") - F.lit(r.x0)) / F.lit(r.dx)).cast("int").alias("pcol"),
+            number(F.col("y"), r.y0, r.dy).alias("prow"),
+            number(F.col("x"), r.x0, r.dx).alias("pcol"),
         )
 
+    finite = [F.abs(F.col(c)) < float("inf") for c in ("x", "y")]  # NaN is above all numbers
     return (
-        points.filter("x IS NOT NULL AND y IS NOT NULL")
+        points.filter(finite[0] & finite[1])
         .select("*", F.explode(F.array(*[place(r) for r in rasters])).alias("_at"))
         .select(*points.columns, "_at.*")
     )

@@ -25,9 +25,18 @@ def version_deltas(
     The history of one deposit is cut into ranges of ``order`` that are windowed
     apart; the first row of a range takes its predecessor from the last row of
     the range before, so a deposit with most of the rows is no single task.
+    Numbers are ranged by ``bucket_rows``, times by day, texts by their first
+    eight characters (the day of a version name).
     """
     values = ["cv_r2", "n_holes"]
-    ranged = registry.withColumn("_range", F.floor(F.col(order) / F.lit(bucket_rows)))
+    kind = dict(registry.dtypes)[order]
+    if kind == "string":
+        position = F.substring(order, 1, 8)
+    elif kind.startswith(("timestamp", "date")):
+        position = F.date_trunc("day", order)
+    else:
+        position = F.floor(F.col(order) / F.lit(bucket_rows))
+    ranged = registry.withColumn("_range", position)
     last_rows = ranged.groupBy("deposit", "_range").agg(
         F.max_by(F.struct(*values), F.col(order)).alias("_last")
     )

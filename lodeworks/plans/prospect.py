@@ -210,11 +210,10 @@ def _finished(spark, root, deposit, status, scored, bundle: Bundle, labelled: in
 
 
 def explain(result: RunResult, rows: DataFrame, top: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Importances and permutation impact of the leading features."""
+    """Importances, and the features of greatest permutation impact among all."""
     ensemble = result.bundle.ensemble
-    leading = importances(ensemble)
-    names = [r["feature"] for r in leading.limit(top).collect()]
-    return leading, permutation_impact(ensemble, rows, "y", names)
+    impact = permutation_impact(ensemble, rows, "y", ensemble.features)
+    return importances(ensemble), impact.limit(top)
 
 
 def retrain(

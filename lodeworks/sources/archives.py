@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import tarfile
 import zipfile
+import zlib
 from functools import reduce
 
 import pandas as pd
@@ -20,6 +22,13 @@ MAX_ARCHIVE_BYTES = 2**31 - 2**20
 ARCHIVE_PATTERN = r"(?i)\.(zip|tar|tgz|tar\.gz|tar\.bz2|gz)$"
 
 
+# What a corrupt, encrypted or unknown archive raises.
+_UNREADABLE = (
+    zipfile.BadZipFile, tarfile.TarError, EOFError, OSError, zlib.error, RuntimeError,
+    NotImplementedError, ValueError,
+)
+
+
 def _safe(name: str) -> bool:
     return not name.startswith("/") and ".." not in name.split("/")
 
@@ -31,6 +40,8 @@ def _open_members(name: str, data: bytes):
             for item in z.infolist():
                 if not item.is_dir():
                     yield item.filename, z.read(item)
+    elif name.lower().endswith(".gz") and not name.lower().endswith(".tar.gz"):
+        yield name.rsplit("/", 1)[-1].rsplit("!", 1)[-1][:-3], gzip.decompress(data)
     else:
         with tarfile.open(fileobj=io.BytesIO(data), mode="r:*") as t:
             for item in t:
@@ -43,17 +54,18 @@ def _expand(batches):
         for archive, name, depth, content in zip(
             batch["archive"], batch["member"], batch["depth"], batch["content"]
         ):
-            rows = []
+            # one member at a time, so the task holds no more than that
             try:
                 for member, data in _open_members(name, bytes(content)):
                     problem = None if _safe(member) else "unsafe member name"
-                    rows.append((archive, f"{name}!{member}" if depth else member, depth + 1,
-                                 None if problem else data, problem))
-            except (zipfile.BadZipFile, tarfile.TarError, EOFError, OSError) as error:
-                rows.append((archive, name, depth, None, str(error) or "unreadable"))
-            yield pd.DataFrame(
-                rows, columns=["archive", "member", "depth", "content", "problem"]
-            )
+                    yield _row(archive, f"{name}!{member}" if depth else member, depth + 1,
+                               None if problem else data, problem)
+            except _UNREADABLE as error:
+                yield _row(archive, name, depth, None, str(error) or "unreadable")
+
+
+def _row(*values) -> pd.DataFrame:
+    return pd.DataFrame([values], columns=["archive", "member", "depth", "content", "problem"])
 
 
 def expand_archives(spark: SparkSession, paths: list[str], max_depth: int = 4) -> DataFrame:

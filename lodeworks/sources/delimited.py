@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.functions.naming import standard_names
-from lodeworks.operators.files import header_columns, rare_earth_headers
+from lodeworks.operators.files import SHOWN_COLUMNS, header_columns, rare_earth_headers
 
 FALLBACK_ENCODING = "ISO-8859-1"
 
@@ -31,30 +31,36 @@ def describe_text_files(spark: SparkSession, paths: list[str]) -> DataFrame:
         first_line.alias("header"),
         F.bool_and(F.is_valid_utf8("value")).alias("is_utf8"),
         F.count(F.lit(1)).alias("lines"),
+        # an odd number of quotes: a quoted field goes on in the next line
+        F.bool_or(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).alias("wraps"),
     )
 
 
 def header_report(described: DataFrame) -> DataFrame:
-    """Column names per file and those that mention a rare earth."""
+    """Leading column names per file, and all those that mention a rare earth."""
     columns = header_columns(F.col("header"))
     return described.select(
-        "path", columns.alias("columns"), rare_earth_headers(columns).alias("rare_earth_columns")
+        "path", F.slice(columns, 1, SHOWN_COLUMNS).alias("columns"),
+        rare_earth_headers(columns).alias("rare_earth_columns")
     )
 
 
 def read_csv(spark: SparkSession, paths: list[str], join_words: bool = True) -> DataFrame:
     """CSV files of any column order and encoding as one all-text table.
 
-    Files are grouped by header and encoding; each group is one scan.
+    Files are grouped by header, encoding and whether quoted fields run over
+    lines; each group is one scan. Only files of the last kind are not split.
+    A quote inside a quoted field is written twice.
     """
     described = describe_text_files(spark, paths)
     # One short row per distinct header: bounded by the number of files.
-    groups = described.groupBy("header", "is_utf8").agg(
+    groups = described.groupBy("header", "is_utf8", "wraps").agg(
         F.collect_list("path").alias("paths")
-    ).orderBy("header", "is_utf8").collect()
+    ).orderBy("header", "is_utf8", "wraps").collect()
     tables = []
     for group in groups:
-        reader = spark.read.option("header", True).option("multiLine", False)
+        reader = spark.read.option("header", True).option("escape", '"')
+        reader = reader.option("multiLine", group["wraps"])
         if not group["is_utf8"]:
             reader = reader.option("encoding", FALLBACK_ENCODING)
         raw = reader.csv(sorted(group["paths"]))

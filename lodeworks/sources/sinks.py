@@ -9,7 +9,7 @@ from lodeworks.functions.report import geojson_feature
 
 
 def write_csv(df: DataFrame, path: str, by: str | None = None) -> None:
-    writer = df.write.mode("overwrite").option("header", True)
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"')
     (writer.partitionBy(by) if by else writer).csv(path)
 
 

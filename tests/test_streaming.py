@@ -1,6 +1,7 @@
 """Watcher and interval stream with available-now triggers."""
 
 import os
+import threading
 import time
 
 from pyspark.sql import functions as F
@@ -89,3 +90,35 @@ def test_interval_stream_with_repeats(spark, tmp_path):
     second = advance()
     assert second["h1"]["treo_max"] == 30.0 and second["h1"]["treo_mean"] == 20.0
     assert second["h1"]["intervals"] == 2 and second["h2"]["intervals"] == 1
+
+
+def test_watching_trains_every_deposit_without_help(spark, tmp_path):
+    """Deposits are top folders; what cools down or fails is retried."""
+    folder = tmp_path / "in"
+    for name in ("Dep A/sub", "dep-b"):
+        (folder / name).mkdir(parents=True)
+        (folder / name / "x.csv").write_text("a\n1\n")
+    (folder / "loose.csv").write_text("a\n1\n")
+    calls = []
+
+    def job(deposit):
+        calls.append(deposit)
+        if calls.count(deposit) == 1 and deposit == "dep_b":
+            raise RuntimeError("first time")
+        return {}
+
+    watcher = Watcher(spark, str(folder), str(tmp_path / "state"), job, cooldown_seconds=1)
+    stream = threading.Thread(
+        target=watcher.watch, args=(str(tmp_path / "checkpoint"), 1.0), daemon=True)
+    stream.start()
+    until = time.time() + 120
+    while time.time() < until and not watcher.pending().isEmpty() or not calls:
+        time.sleep(1)
+    for query in spark.streams.active:
+        query.stop()
+    stream.join(60)
+    assert sorted(set(calls)) == ["dep_a", "dep_b"] and calls.count("dep_b") == 2
+    assert watcher.folder_of("dep_a") == f"{folder}/Dep A"
+    assert watcher.folder_of("dep_b") == f"{folder}/dep-b"
+    assert watcher.pending().isEmpty()
+    assert watcher.statuses().filter("status = 'stopped'").count() == 1
