@@ -10,57 +10,76 @@ from lodeworks.functions.naming import file_stem
 from lodeworks.functions.numeric import to_number
 from lodeworks.operators.raster import Raster
 
-HEADER_KEYS = ["ncols", "nrows", "xllcorner", "yllcorner", "cellsize", "nodata_value"]
+HEADER_KEYS = [
+    "ncols", "nrows", "xllcorner", "yllcorner", "xllcenter", "yllcenter", "cellsize",
+    "nodata_value",
+]
 
 
-def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Text lines with their number in the file, numbered per split.
+def numbered_values(lines: DataFrame) -> DataFrame:
+    """``values`` of each line with the number in the file of the first, as ``first``.
 
-    Splits are numbered apart and shifted by the line counts of the splits
-    before, so a large file is not one task.
+    ``lines`` has path, start (of the split), at (order in the split) and values.
+    Splits are numbered apart and shifted by the counts of the splits before, so a
+    large file is not one task.
     """
-    lines = spark.read.text(paths).select(
-        F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("path"),
-        F.col("_metadata.file_block_start").alias("start"),
-        "value", F.monotonically_increasing_id().alias("at"),
-    )
-    split = W.partitionBy("path", "start").orderBy("at")
+    split = W.partitionBy("path", "start").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
     before = W.partitionBy("path").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
-    offsets = lines.groupBy("path", "start").agg(F.count(F.lit(1)).alias("n")).select(
+    counted = lines.withColumn("n", F.size("values").cast("long"))
+    offsets = counted.groupBy("path", "start").agg(F.sum("n").alias("n")).select(
         "path", "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")
     )
     return (
-        lines.withColumn("row", F.row_number().over(split))
+        counted.withColumn("earlier", F.coalesce(F.sum("n").over(split), F.lit(0)))
         .join(offsets, ["path", "start"])
-        .select("path", (F.col("row") + F.col("offset") - 1).alias("line"), "value")
+        .select("path", (F.col("earlier") + F.col("offset")).alias("first"), "values")
     )
 
 
 def read_asc(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[Raster]]:
-    """ASCII grids as pixel rows plus one ``Raster`` per file."""
-    lines = numbered_lines(spark, paths)
+    """ASCII grids as pixel rows plus one ``Raster`` per file.
+
+    Values are placed by their order, so rows may run over several lines. The origin
+    is the corner or the centre of the lower left cell. Files of one name in several
+    folders are told apart by a number, in the order of their paths.
+    """
     words = F.split(F.trim("value"), r"\s+")
-    key = F.lower(words[0])
-    heads = lines.filter(key.isin(HEADER_KEYS)).groupBy("path").agg(
-        F.count(F.lit(1)).alias("head_lines"),
-        *[F.max(F.when(key == k, to_number(words[1]))).alias(k) for k in HEADER_KEYS],
+    lines = spark.read.text(paths).filter(F.trim("value") != "").select(
+        F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"), words.alias("values"),
+    )
+    key = F.lower(F.col("values")[0])
+    heads = lines.filter(key.isin(HEADER_KEYS)).groupBy("path").agg(*[
+        F.max(F.when(key == k, to_number(F.col("values")[1]))).alias(k) for k in HEADER_KEYS
+    ])
+    # one row per file
+    same = F.row_number().over(W.partitionBy("stem").orderBy("path"))
+    named = heads.withColumn("stem", file_stem(F.col("path"))).withColumn(
+        "raster_id", F.when(same == 1, F.col("stem")).otherwise(
+            F.concat("stem", F.lit("~"), same.cast("string"))))
+    half = F.col("cellsize") / 2
+    placed = named.select(
+        "path", "raster_id", "nrows", "ncols", "cellsize", "nodata_value",
+        F.coalesce("xllcorner", F.col("xllcenter") - half).alias("west"),
+        F.coalesce("yllcorner", F.col("yllcenter") - half).alias("south"),
     )
-    named = heads.withColumn("raster_id", file_stem(F.col("path")))
     rasters = [
         Raster(
-            r["raster_id"], x0=r["xllcorner"],
-            y0=r["yllcorner"] + r["nrows"] * r["cellsize"],
+            r["raster_id"], x0=r["west"], y0=r["south"] + r["nrows"] * r["cellsize"],
             dx=r["cellsize"], dy=-r["cellsize"], nodata=r["nodata_value"],
             rows=int(r["nrows"]), cols=int(r["ncols"]),
         )
-        for r in named.orderBy("path").collect()
+        for r in placed.orderBy("path").collect()
     ]
+    place = F.col("first") + F.col("offset")
     cells = (
-        lines.filter(~key.isin(HEADER_KEYS) & (F.trim("value") != ""))
-        .join(named.select("path", "raster_id", "head_lines"), "path")
-        .select("raster_id", (F.col("line") - F.col("head_lines")).cast("int").alias("prow"),
-                F.posexplode(words).alias("pcol", "_text"))
-        .select("raster_id", "prow", "pcol", to_number(F.col("_text")).alias("val"))
+        numbered_values(lines.filter(~key.isin(HEADER_KEYS)))
+        .join(placed.select("path", "raster_id", F.col("ncols").cast("long").alias("ncols")), "path")
+        .select("raster_id", "ncols", "first", F.posexplode("values").alias("offset", "text"))
+        .select("raster_id", F.floor(place / F.col("ncols")).cast("int").alias("prow"),
+                (place % F.col("ncols")).cast("int").alias("pcol"),
+                to_number(F.col("text")).alias("val"))
     )
     return cells, rasters
 

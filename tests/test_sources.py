@@ -97,6 +97,22 @@ def test_ascii_grid(spark, tmp_path):
     assert {(r["prow"], r["pcol"], r["val"]) for r in xyz} == {(0, 0, 3.5), (3, 1, 4.0)}
 
 
+def test_ascii_grids_by_centre_with_wrapped_rows_and_one_name(spark, tmp_path):
+    head = "NCOLS 4\nNROWS 2\nXLLCENTER 101\nYLLCENTER 11\nCELLSIZE 2\n"
+    for folder, shift in (("a", 0), ("b", 100)):
+        (tmp_path / folder).mkdir()
+        values = [str(shift + v) for v in range(8)]
+        (tmp_path / folder / "dem.asc").write_text(
+            head + "\n".join((" ".join(values[:3]), " ".join(values[3:6]), " ".join(values[6:]))))
+    pixels, rasters = grids.read_asc(
+        spark, [str(tmp_path / f / "dem.asc") for f in ("b", "a")])
+    assert rasters == [grids.Raster(name, 100.0, 14.0, 2.0, -2.0, None, 2, 4)
+                       for name in ("dem", "dem~2")]
+    values = {(r["raster_id"], r["prow"], r["pcol"]): r["val"] for r in pixels.collect()}
+    assert values == {(name, v // 4, v % 4): float(shift + v)
+                      for name, shift in (("dem", 0), ("dem~2", 100)) for v in range(8)}
+
+
 def test_geojson_polygons(spark, tmp_path):
     def polygon(rings, kind="Polygon", **props):
         return {"type": "Feature", "properties": props,
