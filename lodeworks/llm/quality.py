@@ -3,9 +3,8 @@
 Two histograms of a document, one over character classes and one over the common words of
 its language, are compared with the language's own by Jensen-Shannon distance (base 2, so
 from 0 to 1). References are sums over all documents, found by one grouped aggregation in
-which a document weighs as much as ``VOTE_WORDS`` words at most, so that a few very long ones
-do not make the language;
-words are told apart by a hash of ``WORD_BITS`` bits, which bounds what a task holds and
+which a document weighs as much as ``VOTE_WORDS`` words and ``VOTE_CHARS`` code points at
+most, so that a few very long ones do not make the language; words are told apart by a hash of ``WORD_BITS`` bits, which bounds what a task holds and
 shuffles to one fixed table per language.
 
 Guards: a document of fewer than ``min_words`` words, or of a language that holds less than
@@ -32,7 +31,8 @@ COMMON_WORDS = 100
 MIN_WORDS = 50
 MIN_SHARE = 0.001
 VOTE_WORDS = 500
-_UNIT = 1 << 20  # weights are whole numbers, so sums do not depend on their order
+VOTE_CHARS = 3000
+_UNIT = 1 << 14  # weights are whole numbers, so sums do not depend on their order
 CHAR_LIMIT = 0.25
 WORD_LIMIT = 0.45
 SLACK = 1.5
@@ -82,6 +82,10 @@ def _buckets(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)
 
 
+def _weights(sizes: np.ndarray, most: int) -> np.ndarray:
+    return np.minimum(sizes, most) * _UNIT // np.maximum(sizes, 1)
+
+
 def _language_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -102,14 +106,14 @@ def _language_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         classes, bins = class_counts(data, offsets), _buckets(found.hashes)
         langs = batch.column(0).to_pylist()
         owners = found.owners()
-        n_words = np.diff(found.first)
-        votes = np.minimum(n_words, VOTE_WORDS) * _UNIT // np.maximum(n_words, 1)
+        votes = _weights(np.diff(found.first), VOTE_WORDS)
+        char_votes = _weights(classes.sum(axis=1), VOTE_CHARS)
         named = {lang: i for i, lang in enumerate(dict.fromkeys(x for x in langs if x is not None))}
         index = np.array([named.get(x, -1) for x in langs], np.int64)
         for lang, i in named.items():
             sums = held.setdefault(
                 lang, (np.zeros(_CLASSES, np.int64), np.zeros(1 << WORD_BITS, np.int64)))
-            sums[0][:] += votes[index == i] @ classes[index == i]
+            sums[0][:] += char_votes[index == i] @ classes[index == i]
             own = index[owners] == i
             sums[1][:] += np.bincount(
                 bins[own], votes[owners[own]], minlength=1 << WORD_BITS).astype(np.int64)
