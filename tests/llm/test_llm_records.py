@@ -75,6 +75,25 @@ def test_a_benchmark_beyond_the_broadcast_bound_is_searched_in_blocks(spark, mon
     assert {tuple(r) for r in leaks(docs, items).collect()} == whole
 
 
+def test_items_of_any_words_case_and_length_are_found(spark):
+    items = [
+        (1, "What is 12 + 7 x 3 - 4 / 2?"), (2, "Who Wrote The Old Blue Book"), (3, "NAME THE RED PLANET NOW"),
+        (4, "Which river runs through the old town?"), (5, "Boil eggs"), (6, "Is 1.5 more?"),
+        (7, "Tom has 5 red pens"), (8, "?!"),
+    ]
+    docs = [
+        (1, "they asked what is 12 + 7 x 3 - 4 / 2? once"), (11, "now: What is 15 + 8 x 6 - 9 / 3?"),
+        (2, "he read: Who Wrote The Old Blue Book today"), (3, "go on and NAME THE RED PLANET NOW"),
+        (4, "She asked Which river runs through the old town? twice"), (5, "we boil eggs"),
+        (6, "is 1.5 more than that"), (16, "is 105 more than that"), (7, "so Ann has 9 red pens"), (8, "?!"),
+    ]
+    got = leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): r["exact"] for r in got} == {
+        (1, 1): True, (11, 1): False, (2, 2): True, (3, 3): True, (4, 4): True, (5, 5): True, (6, 6): True,
+        (7, 7): False}
+
+
 # sharding
 
 def test_table_is_even_and_moves_little():
