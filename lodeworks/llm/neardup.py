@@ -7,8 +7,8 @@ agree on a band of coordinates share a bucket; links are confirmed on full sets.
 
 Copies are one node from the start. Buckets are not turned into pairs: their members are
 compared with one leader each. Only buckets that then still hold several components are
-looked at whole, in blocks of bounded size: members outside a block's largest component are
-compared with all others there, and only links that join components come out. So no link
+looked at whole, in blocks of bounded size: members outside a block's component that is largest
+at its start are compared with all others there, and only links that join components come out. So no link
 between candidates is lost that could change a component. The chance that two documents at
 the limit share no bucket is (1 - 0.85^rows)^bands, 4e-7 as set.
 """
@@ -212,11 +212,9 @@ def _closer(percent: int):
         label = np.unique(labels, return_inverse=True)[1]
         pairs = []
         held = np.zeros(int(places.max()) + 1, bool)
-        # the members of all components but the largest meet every member
-        for x in np.argsort(np.bincount(label)[label], kind="stable"):
-            largest = np.bincount(label).argmax()
-            if label[x] == largest:
-                continue
+        # all members but those of one component meet every member, whatever has merged since
+        in_largest = label == np.bincount(label).argmax()
+        for x in np.flatnonzero(~in_largest):
             own = places[starts[x]:starts[x] + sizes[x]]
             held[own] = True
             shared = np.add.reduceat(held[places], starts, dtype=np.int64)

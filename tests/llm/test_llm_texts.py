@@ -121,6 +121,20 @@ def test_near_duplicates_in_many_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == component
 
 
+def test_blocks_compare_all_pairs_of_first_components():
+    from lodeworks.llm.neardup import _closer
+
+    label = [0] * 2 + [2] * 5 + [7] * 8 + [15] * 10
+    texts = [" ".join(f"t{i}w{j}" for j in range(9)) for i in range(25)]
+    texts[15], texts[7], texts[6] = texts[0], texts[2], texts[1]
+    found = _closer(85)(pa.table({"doc_id": range(25), "component": label, "text": texts})).to_pylist()
+    joined = {x: x for x in label}
+    for r in found:
+        a, b = joined[label[r["a"]]], joined[label[r["b"]]]
+        joined = {k: a if v == b else v for k, v in joined.items()}
+    assert len(set(joined.values())) == 1
+
+
 def test_near_duplicates_of_no_rows(spark):
     assert near_duplicates(awkward(spark).limit(0)).count() == 0
     assert near_duplicates(awkward(spark).where("doc_id in (3, 4, 5)")).where("kept and n_shingles = 0").count() == 3
