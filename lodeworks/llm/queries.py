@@ -175,3 +175,15 @@ def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     documents = table(spark, sf_dir, "documents")
     return grade_documents(documents, train(documents, table(spark, sf_dir, "labels")))
+
+
+@query()
+def op11_pair_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups, links and corpus-wide link counts of two tokenizers per document."""
+    import public_tokenizers
+
+    from lodeworks.llm.alignment import align_documents
+
+    return align_documents(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"), digests=True)

@@ -7,7 +7,7 @@ distinct word and memory follows the size of a slice, not of the vocabulary.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -79,14 +79,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in pieces of about SLICE_BYTES of text, in order."""
+def slices(
+    batches: Iterable[pa.RecordBatch], column: str, size: int = SLICE_BYTES,
+) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in pieces of about ``size`` bytes of text, in order."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
         _, offsets = text_bytes(texts)
         at = 0
         while at < batch.num_rows:
-            to = int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1
+            to = int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
@@ -196,3 +198,40 @@ def covered(marks: np.ndarray, size: int, total: int) -> np.ndarray:
     np.add.at(edges, at, 1)
     np.add.at(edges, np.minimum(at + size, total), -1)
     return np.cumsum(edges[:-1]) > 0
+
+
+def cut_out(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The byte ranges as a string array."""
+    lengths = ends - starts
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    picked = data[np.repeat(starts - offsets[:-1], lengths) + np.arange(offsets[-1])]
+    return pa.Array.from_buffers(
+        pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(picked)])
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z as a-z."""
+    out = data.copy()
+    out[(data >= 65) & (data <= 90)] += 32
+    return out
+
+
+def lists(values: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """``values[first[i]:first[i + 1]]`` as row i of a list array."""
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values, kind))
+
+
+_HELD: list[tuple[object, object]] = []
+
+
+def held_for(shared, make: Callable):
+    """What ``make`` builds from a broadcast value, once per worker; the last four are held."""
+    value = shared.value
+    for known, made in _HELD:
+        if known is value:
+            return made
+    made = make(value)
+    _HELD.append((value, made))
+    del _HELD[:-4]
+    return made
