@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from collections.abc import Iterator
 from itertools import chain
 from typing import NamedTuple
@@ -33,9 +34,7 @@ from lodeworks.llm.words import held_for, lists, mix64, slices, text_bytes
 from lodeworks.session import stage_table
 
 #: Key buckets; each holds that share of all possible pairs of ids at most.
-BUCKETS = 256
-#: Branches of the tree in which the parts of a bucket are merged.
-LANES = 16
+BUCKETS = 64
 #: Distinct pairs that a task holds before it hands its partial counts on.
 PART_KEYS = 1 << 20
 #: Keys whose counts the second pass has in memory at once; more are taken in several rounds.
@@ -251,13 +250,13 @@ def _part_rows(keys: np.ndarray, values: np.ndarray, part: int) -> pa.RecordBatc
     held, first = np.unique(bucket[order], return_index=True)
     first = np.append(first, len(keys))
     return pa.RecordBatch.from_arrays(
-        [pa.array(held, pa.int32()), pa.array(np.full(len(held), part % LANES), pa.int32()),
+        [pa.array(held, pa.int32()), pa.array(np.full(len(held), part), pa.int32()),
          lists(keys[order], first, pa.int64()), lists(values[order], first, pa.int64())],
-        names=["bucket", "lane", "keys", "counts"])
+        names=["bucket", "part", "keys", "counts"])
 
 
 def _partial_counts(docs: DataFrame, shared) -> DataFrame:
-    """bucket, lane, keys, counts: how many of a task's documents hold each pair."""
+    """bucket, part, keys, counts: how many of a task's documents hold each pair."""
     def count(batches):
         aligner, part = _aligner(shared), TaskContext.get().partitionId()
         held, size = [], 0
@@ -275,7 +274,7 @@ def _partial_counts(docs: DataFrame, shared) -> DataFrame:
             yield _part_rows(*_merged(held), part)
 
     return docs.select("text").mapInArrow(
-        count, "bucket int, lane int, keys array<long>, counts array<long>")
+        count, "bucket int, part int, keys array<long>, counts array<long>")
 
 
 class PairHash:
@@ -336,6 +335,10 @@ def _flat(column: pa.ChunkedArray) -> np.ndarray:
 def pair_counts(docs: DataFrame, shared) -> DataFrame:
     """bucket, levels, keys, counts: hash of a bucket's pairs; keys and counts by slot."""
     parts = stage_table(_partial_counts(docs, shared), "pair-parts")
+    # the tree: parts of a lane, then lanes, about as many of the one as of the other
+    last = parts.agg(F.max("part")).first()[0] or 0
+    lanes = math.isqrt(last) + 1
+    parts = parts.withColumn("lane", F.col("part") % lanes)
 
     def distinct(table: pa.Table) -> pa.Table:
         keys = np.unique(_flat(table["keys"]))
@@ -370,8 +373,8 @@ def pair_counts(docs: DataFrame, shared) -> DataFrame:
         by_lane.applyInArrow(distinct, "bucket int, keys array<long>")
         .groupBy("bucket").applyInArrow(hashed, "bucket int, levels array<binary>, keys array<long>"),
         "pair-hashes")
-    lanes = F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane")
-    vectors = by_lane.cogroup(hashes.select("bucket", lanes, "levels").groupBy("bucket", "lane")).applyInArrow(
+    spread = hashes.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), "levels")
+    vectors = by_lane.cogroup(spread.groupBy("bucket", "lane")).applyInArrow(
         vector, "bucket int, counts array<long>")
     return stage_table(
         vectors.groupBy("bucket").cogroup(hashes.groupBy("bucket")).applyInArrow(
