@@ -187,3 +187,50 @@ def op11_pair_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_documents(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
         public_tokenizers.path("piece_bpe_32k.model"), digests=True)
+
+
+COLLOCATION_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+cut AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(w[p:p + k - 1], ' ') AS phrase FROM (
+    SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS p
+    FROM cut, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)),
+counts AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY lang),
+often AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE f >= 30),
+cuts AS (
+  SELECT *, array_to_string(w[:c], ' ') AS one, array_to_string(w[c + 1:], ' ') AS two FROM (
+    SELECT *, unnest(range(1, k)) AS c FROM often WHERE k > 1)),
+scores AS (
+  SELECT c.lang, c.k, c.phrase, c.f AS a, c.c, x.f AS l, y.f AS r,
+    CAST(2000000 * c.f::HUGEINT // (x.f + y.f) AS BIGINT) AS score
+  FROM cuts c JOIN often x ON x.lang = c.lang AND x.phrase = c.one
+  JOIN often y ON y.lang = c.lang AND y.phrase = c.two),
+worst AS (
+  SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inside AS (
+  SELECT lang, sub, max(f) AS f FROM (
+    SELECT lang, f, array_to_string(w[p:p + s - 1], ' ') AS sub FROM (
+      SELECT *, unnest(range(1, k - s + 2)) AS p FROM (
+        SELECT *, unnest(range(2, k)) AS s FROM often WHERE k > 2))) GROUP BY ALL),
+left_over AS (
+  SELECT w.* FROM worst w LEFT JOIN inside i ON i.lang = w.lang AND i.sub = w.phrase
+  WHERE i.f IS NULL OR 100 * i.f < 80 * w.a),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+  FROM left_over)
+SELECT r.lang, rank, phrase, a, l, r, n, score FROM ranked r JOIN totals t ON t.lang = r.lang
+WHERE rank <= 2000
+"""
+
+
+@query(COLLOCATION_SQL)
+def op12_setm_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best-scoring phrases of two to four words of each language."""
+    from lodeworks.llm.phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
