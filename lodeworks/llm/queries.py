@@ -234,3 +234,11 @@ def op12_setm_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeworks.llm.phrases import collocations
 
     return collocations(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and log-bilinear log10 probability of every text."""
+    from lodeworks.llm.neural_lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
