@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.words import held_for, lists, mix64, slices, text_bytes
+from lodeworks.llm.words import distinct_parts, held_for, lists, mix64, slices, text_bytes
 from lodeworks.session import stage_table
 
 #: Key buckets; each holds that share of all possible pairs of ids at most.
@@ -130,16 +130,9 @@ class Aligner:
         filled = pc.fill_null(texts, "")
         empty = np.asarray(pc.equal(pc.binary_length(filled), 0))
         data, offsets = text_bytes(pc.binary_join_element_wise("", filled, " "))
-        inside = np.zeros(len(data) + 1, bool)
-        inside[1:-1] = (data[1:] == 32) & (data[:-1] >= 33) & (data[:-1] <= 126)
-        inside[offsets] = True
-        cuts = np.flatnonzero(inside)
-        found = pa.Array.from_buffers(
-            pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)])
-        found = found.dictionary_encode()
-        codes = found.indices.to_numpy().astype(np.int64)
-        first = np.searchsorted(cuts, offsets)
-        units = found.dictionary.to_pylist()
+        cut = np.zeros(len(data), bool)
+        cut[1:] = (data[1:] == 32) & (data[:-1] >= 33) & (data[:-1] <= 126)
+        codes, first, units = distinct_parts(data, offsets, cut)
         a, b = self.a.encode(units), self.b.encode(units)
         ta, tb = self.a.tokens, self.b.tokens
         good = np.zeros(len(units), bool)

@@ -1,32 +1,37 @@
 """Byte-pair encoding by dynamic programming over prefixes, and decoding.
 
 A sequence of tokens is an encoding exactly if each neighbouring pair is the encoding of the
-pair's own text, so every prefix of a word has one last token. A suffix automaton over the
-vocabulary reports the tokens that end at each place, longest first; the one that is
-compatible with the last token of the prefix before it is stored, and following those back
-from the end gives the ids. No merge loop runs over a text.
-
-Texts are cut into the tokenizer's own pieces first (special tokens, NFC, lower case by code
-point, its pattern), and pieces met before come from a cache of bounded size.
+pair's own text, so every prefix of a word has one last token. An Aho-Corasick automaton over
+the vocabulary reports the tokens that are suffixes of the text up to each place, longest
+first; the one that is compatible with the last token of the prefix before it is stored, and
+following those back from the end gives the ids. No merge loop runs over a text.
+
+No piece of the tokenizer holds white space, so texts are cut at it and each distinct part is
+cut into the tokenizer's own pieces (special tokens, NFC, lower case by code point, its
+pattern) once per slice. Pieces met before come from a cache of bounded size.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from lodeworks.llm.words import slices
+from lodeworks.llm.words import SPACES, distinct_parts, held_for, lists, slices, text_bytes
 
 #: Pieces that each of a worker's two cache generations holds.
 CACHE_PIECES = 1 << 17
+#: Bytes of text that are digested at once; the more, the fewer parts come again.
+DIGEST_BYTES = 1 << 24
 #: Results of pair tests that a worker holds.
 CACHE_PAIRS = 1 << 20
 _NEVER = 1 << 40
@@ -235,16 +240,22 @@ class Codec:
         return " ".join(t for t in map(self.token_text.get, ids) if t is not None)
 
 
-_CODECS: dict[int, Codec] = {}
-
-
 def _codec(shared) -> Codec:
     """The worker's codec of a broadcast vocabulary."""
-    key = id(shared.value)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(shared.value)
-    return _CODECS[key]
+    return held_for(shared, Codec)
+
+
+def _parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Texts cut where words begin: code of each part, first part of each text, parts."""
+    data, offsets = text_bytes(texts)
+    cut = np.zeros(len(data), bool)
+    cut[1:] = SPACES[data[:-1]] & ~SPACES[data[1:]]
+    return distinct_parts(data, offsets, cut)
+
+
+def _per_text(values: np.ndarray, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    sums = np.append(0, np.cumsum(values[codes]))
+    return sums[first[1:]] - sums[first[:-1]]
 
 
 def encode_documents(docs: DataFrame, vocabulary_path: str) -> DataFrame:
@@ -257,9 +268,15 @@ def encode_documents(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     def encode(batches):
         codec = _codec(shared)
         for batch in slices(batches, "text"):
-            ids = [codec.encode(t or "") for t in batch.column(1).to_pylist()]
+            codes, first, parts = _parts(batch.column(1))
+            found = [codec.encode(part) for part in parts]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.fromiter(chain.from_iterable(found), np.int32, sizes.sum())
+            n = sizes[codes]
+            at = np.repeat((np.cumsum(sizes) - sizes)[codes] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            ends = np.append(0, np.cumsum(_per_text(sizes, codes, first)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                [batch.column(0), lists(flat[at], ends, pa.int32())], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids array<int>")
 
@@ -282,26 +299,29 @@ def token_digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each whole text, encoded then decoded.
 
     The digests are of the ids joined by a space and of the decoded text; both are made of
-    the pieces' own parts. One row per row; null and empty texts have no tokens.
+    the texts of the distinct parts. One row per row; null and empty texts have no tokens.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
 
     def digest(batches):
         codec = _codec(shared)
-        for batch in slices(batches, "text"):
-            counts, ids, decoded = [], [], []
-            for text in batch.column(1).to_pylist():
-                pieces = list(codec.pieces(text or ""))
-                counts.append(sum(len(p.ids) for p in pieces))
-                ids.append(" ".join([p.ids_text for p in pieces]))
-                decoded.append(" ".join([p.decoded for p in pieces]))
+        for batch in slices(batches, "text", DIGEST_BYTES):
+            codes, first, parts = _parts(batch.column(1))
+            found = [list(codec.pieces(part)) for part in parts]
+            sizes = np.array([sum(len(p.ids) for p in pieces) for pieces in found], np.int64)
+            # every part ends with the space that joins it to the next
+            ids = ["".join([f"{p.ids_text} " for p in pieces]) for pieces in found]
+            decoded = ["".join([f"{p.decoded} " for p in pieces]) for pieces in found]
+            digests = [[], []]
+            for low, high in zip(first.tolist(), first[1:].tolist()):
+                own = codes[low:high].tolist()
+                for texts, out in zip((ids, decoded), digests):
+                    whole = "".join(map(texts.__getitem__, own))[:-1]
+                    out.append(hashlib.sha256(whole.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()),
-                 pa.array(decoded, pa.string())],
-                names=["doc_id", "n_tokens", "ids", "decoded"])
-
-    made = docs.select("doc_id", "text").mapInArrow(
-        digest, "doc_id long, n_tokens long, ids string, decoded string")
-    return made.select(
-        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+                [batch.column(0), pa.array(_per_text(sizes, codes, first), pa.int64()),
+                 *(pa.array(x, pa.string()) for x in digests)],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select("doc_id", "text").mapInArrow(
+        digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

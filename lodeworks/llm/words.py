@@ -222,6 +222,21 @@ def lists(values: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values, kind))
 
 
+def distinct_parts(
+    data: np.ndarray, offsets: np.ndarray, cut: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Texts cut before the marked bytes: code of each part, first part of each text, parts."""
+    inside = np.zeros(len(data) + 1, bool)
+    inside[:-1] = cut
+    inside[offsets] = True
+    cuts = np.flatnonzero(inside)
+    found = pa.Array.from_buffers(
+        pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+    found = found.dictionary_encode()
+    codes = found.indices.to_numpy().astype(np.int64)
+    return codes, np.searchsorted(cuts, offsets), found.dictionary.to_pylist()
+
+
 _HELD: list[tuple[object, object]] = []
 
 
