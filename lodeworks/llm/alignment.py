@@ -30,11 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.llm.words import distinct_parts, held_for, lists, mix64, slices, text_bytes
+from lodeworks.llm.words import distinct, distinct_parts, held_for, lists, mix64, slices, text_bytes
 from lodeworks.session import stage_table
 
 #: Key buckets; each holds that share of all possible pairs of ids at most.
 BUCKETS = 64
+#: Bytes of text that are aligned at once; the more, the fewer units come again.
+SLICE_BYTES = 1 << 24
 #: Distinct pairs that a task holds before it hands its partial counts on.
 PART_KEYS = 1 << 20
 #: Keys whose counts the second pass has in memory at once; more are taken in several rounds.
@@ -126,7 +128,7 @@ class Aligner:
         self._names = [f"{i}{c}" for i in range(self.a.size) for c in ",|"]
         self._names += [f"{i}{c}" for i in range(self.b.size) for c in ",;"]
 
-    def align(self, texts: pa.Array) -> Aligned:
+    def align(self, texts: pa.Array, with_groups: bool = True) -> Aligned:
         filled = pc.fill_null(texts, "")
         empty = np.asarray(pc.equal(pc.binary_length(filled), 0))
         data, offsets = text_bytes(pc.binary_join_element_wise("", filled, " "))
@@ -144,9 +146,9 @@ class Aligner:
         bad = np.zeros(len(codes) + 1, np.int64)
         np.cumsum(~good[codes], out=bad[1:])
         whole = (bad[first[1:]] == bad[first[:-1]]) & ~empty
-        return Aligned(codes, first, whole, *self._units(a, b))
+        return Aligned(codes, first, whole, *self._units(a, b, with_groups))
 
-    def _units(self, a: list[list[int]], b: list[list[int]]) -> tuple:
+    def _units(self, a: list[list[int]], b: list[list[int]], with_groups: bool) -> tuple:
         n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
         ids_a = np.fromiter(chain.from_iterable(a), np.int64, n_a.sum())
         ids_b = np.fromiter(chain.from_iterable(b), np.int64, n_b.sum())
@@ -168,7 +170,7 @@ class Aligner:
         unit_of_group = np.repeat(np.arange(len(a)), n_groups)
         key_first = np.searchsorted(unit_of_group[owner], np.arange(len(a) + 1))
         return (n_a, n_b, n_groups, np.diff(links), keys, times, key_first,
-                self._texts(ids_a, ids_b, first_a, first_b, n_a + n_b))
+                self._texts(ids_a, ids_b, first_a, first_b, n_a + n_b) if with_groups else [])
 
     def _links(self, ids_a, ids_b, first_a, first_b) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pair keys, how often each is linked and its group, in the order of the groups."""
@@ -215,12 +217,12 @@ def _document_keys(found: Aligned) -> np.ndarray:
     """The distinct pairs of each good text, one text after the other."""
     text = np.repeat(np.arange(len(found.good)), np.diff(found.first))
     n_units = len(found.n_a)
-    held = np.unique((text * n_units + found.codes)[found.good[text]])
+    held = distinct((text * n_units + found.codes)[found.good[text]])
     unit = held % n_units
     n = found.key_first[unit + 1] - found.key_first[unit]
     at = np.repeat(found.key_first[unit] - np.cumsum(n) + n, n) + np.arange(n.sum())
     # a text's number above, the key below: keys of 50,000 by 32,000 ids take 31 bits
-    both = np.unique((np.repeat(held // n_units, n) << np.int64(40)) + found.keys[at])
+    both = distinct((np.repeat(held // n_units, n) << np.int64(40)) + found.keys[at])
     return both & np.int64((1 << 40) - 1)
 
 
@@ -253,8 +255,9 @@ def _partial_counts(docs: DataFrame, shared) -> DataFrame:
     def count(batches):
         aligner, part = _aligner(shared), TaskContext.get().partitionId()
         held, size = [], 0
-        for batch in slices(batches, "text"):
-            keys, n = np.unique(_document_keys(aligner.align(batch.column(0))), return_counts=True)
+        for batch in slices(batches, "text", SLICE_BYTES):
+            found = aligner.align(batch.column(0), with_groups=False)
+            keys, n = np.unique(_document_keys(found), return_counts=True)
             held.append((keys, n.astype(np.int64)))
             size += len(keys)
             if size > 2 * PART_KEYS:
@@ -333,7 +336,7 @@ def pair_counts(docs: DataFrame, shared) -> DataFrame:
     lanes = math.isqrt(last) + 1
     parts = parts.withColumn("lane", F.col("part") % lanes)
 
-    def distinct(table: pa.Table) -> pa.Table:
+    def merged(table: pa.Table) -> pa.Table:
         keys = np.unique(_flat(table["keys"]))
         return pa.table({"bucket": pa.array(table["bucket"][:1]), "keys": lists(keys, [0, len(keys)], pa.int64())})
 
@@ -363,7 +366,7 @@ def pair_counts(docs: DataFrame, shared) -> DataFrame:
 
     by_lane = parts.groupBy("bucket", "lane")
     hashes = stage_table(
-        by_lane.applyInArrow(distinct, "bucket int, keys array<long>")
+        by_lane.applyInArrow(merged, "bucket int, keys array<long>")
         .groupBy("bucket").applyInArrow(hashed, "bucket int, levels array<binary>, keys array<long>"),
         "pair-hashes")
     spread = hashes.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), "levels")
@@ -464,7 +467,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, digests: bool = F
 def _look_up(shared, table, n_kept: int, digests: bool, n_b: int):
     def run(batches):
         aligner, pairs, highest = _aligner(shared), _pair_table(table), table.value[1]
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             found = aligner.align(batch.column(n_kept))
             keys, inverse = np.unique(found.keys, return_inverse=True)
             number = pairs.counts(keys)

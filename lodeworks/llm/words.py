@@ -222,6 +222,12 @@ def lists(values: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values, kind))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order."""
+    held = np.sort(values)
+    return held[np.append(True, held[1:] != held[:-1])] if len(held) else held
+
+
 def distinct_parts(
     data: np.ndarray, offsets: np.ndarray, cut: np.ndarray,
 ) -> tuple[np.ndarray, np.ndarray, list[str]]:
