@@ -1,10 +1,11 @@
 """Exact k-nearest-neighbour join and inverse-distance interpolation.
 
-Both sides are cut into small runs along a space-filling curve, so a run holds
-a fixed number of points however dense a place is. Runs of sites carry bounding
-boxes, and boxes of boxes above them; every run of query places walks down that
-hierarchy and keeps only boxes that can still hold one of its k nearest sites.
-Each step is an equi-join on the box id followed by a window per query run.
+Both sides are numbered along one space-filling curve. Sites are cut into runs of a
+fixed number, however dense a spot is; places are cut so that no query run reaches past
+a run of sites. Runs of sites carry bounding boxes, and boxes of boxes above them; query
+runs walk down that hierarchy and keep only boxes that can still hold one of their k
+nearest sites, and each place prunes what its run kept by a bound of its own. Each step
+is an equi-join on the box id followed by a window per query run.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lodeworks import fixedvalues as fv
 from lodeworks.functions.geochem import idw_confidence, idw_weight
+from lodeworks.operators.skew import salted_join
 from lodeworks.session import stage_table
 
 SITE_RUN = 32
@@ -31,8 +33,8 @@ DEGREES = 360.0
 METRES = 2e7
 # Fewer boxes than this are cheaper to work out again than to write.
 SMALL_LEVEL = 4096
-# Query runs one task compares with their candidate sites.
-RUNS_PER_TASK = 256
+# Places and candidate runs that one task compares.
+PAIRS_PER_TASK = 4096
 
 
 def _spread(bits: Column) -> Column:
@@ -58,38 +60,45 @@ def _curve_key(extent: float) -> Column:
     return _spread(cell("x")).bitwiseOR(F.shiftleft(_spread(cell("y")), 1))
 
 
-def _in_runs(points: DataFrame, size: int, extent: float, label: str) -> tuple[DataFrame, int]:
-    """Number points along the curve and cut them into runs of ``size``.
+def _in_runs(sites: DataFrame, places: DataFrame, extent: float) -> tuple[DataFrame, int]:
+    """Sites and places numbered along one curve: ``run`` of a site, ``qrun`` of a place.
 
-    Returns the staged points with a ``run`` column, and the number of runs.
+    A run is SITE_RUN sites in a row. A query run is at most QUERY_RUN places in a row that
+    lie within one run of sites, so where places are rarer than sites it is a single place.
+    Returns the staged rows (sites have a ``site_id``) and the number of runs.
     """
-    order = ["_curve", *[c for c in ("x", "y", "site_id") if c in points.columns]]
-    sorted_points = (
-        points.withColumn("_curve", _curve_key(extent))
+    both = sites.withColumn("_q", F.lit(0)).unionByName(
+        places.withColumn("_q", F.lit(1)), allowMissingColumns=True)
+    order = ["_curve", "x", "y", "_q", "site_id"]
+    sorted_rows = (
+        both.withColumn("_curve", _curve_key(extent))
         .repartitionByRange(*order).sortWithinPartitions(*order)
         .withColumn("_place", F.monotonically_increasing_id())
     )
-    staged = stage_table(sorted_points.drop("_curve"), label)
-    part = F.shiftright("_place", 33)
+    staged = stage_table(sorted_rows.drop("_curve"), "curve")
+    part = F.shiftright("_place", 33).alias("_part")
     # One row per partition of the sorted table.
-    sizes = staged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n"))
-    counted = sorted((r["_part"], r["n"]) for r in sizes.collect())
-    offsets, total = [], 0
-    for number, rows in counted:
-        offsets.append((number, total))
-        total += rows
-    if not offsets:
-        return staged.drop("_place").withColumn("run", F.lit(0).cast("long")), 0
-    starts = staged.sparkSession.createDataFrame(offsets, "_part long, _start long")
-    within = F.col("_place").bitwiseAND(F.lit(2**33 - 1))
-    run = F.expr(f"(_start + _within) div {size}")
+    sizes = staged.groupBy(part).agg(
+        F.sum(1 - F.col("_q")).alias("sites"), F.sum("_q").alias("places"))
+    starts, before, asked = [], 0, 0
+    for r in sorted(sizes.collect(), key=lambda r: r["_part"]):
+        starts.append((r["_part"], before, asked))
+        before, asked = before + r["sites"], asked + r["places"]
+    offsets = F.broadcast(staged.sparkSession.createDataFrame(
+        starts, "_part long, _sites0 long, _places0 long"))
+    so_far = W.partitionBy("_part").orderBy("_place").rowsBetween(W.unboundedPreceding, W.currentRow)
     numbered = (
-        staged.withColumns({"_part": part, "_within": within})
-        .join(F.broadcast(starts), "_part")
-        .withColumn("run", run)
-        .drop("_part", "_within", "_start", "_place")
+        staged.withColumn("_part", part).join(offsets, "_part")
+        .withColumns({
+            "_s": F.col("_sites0") + F.sum(1 - F.col("_q")).over(so_far),
+            "_p": F.col("_places0") + F.sum("_q").over(so_far),
+        })
+        .withColumn("run", F.expr(f"(_s - 1) div {SITE_RUN}"))
+        # both terms never fall along the curve, so their sum tells all pairs apart
+        .withColumn("qrun", F.expr(f"_s div {SITE_RUN} + (_p - 1) div {QUERY_RUN}"))
+        .select(*sites.columns, "_q", "run", "qrun")
     )
-    return numbered, math.ceil(total / size)
+    return stage_table(numbered, "curve-runs"), math.ceil(before / SITE_RUN)
 
 
 def _boxes(df: DataFrame, key: Column) -> DataFrame:
@@ -111,38 +120,35 @@ def _reach(low_a, high_a, low_b, high_b) -> Column:
     return F.greatest(high_b - low_a, high_a - low_b)
 
 
-def _pruned(pairs: DataFrame, k: int) -> DataFrame:
-    """Keep boxes no farther than the reach that already covers k sites."""
+def _pruned(pairs: DataFrame, k: int, per: list[str], low: list[str], high: list[str]) -> DataFrame:
+    """Keep boxes no farther than the reach that already covers k sites.
+
+    ``low`` and ``high`` name the corners of what is searched from, ``per`` its key.
+    """
     c = F.col
-    near_x = _gap(c("qx0"), c("qx1"), c("x0"), c("x1"))
-    near_y = _gap(c("qy0"), c("qy1"), c("y0"), c("y1"))
-    far_x = _reach(c("qx0"), c("qx1"), c("x0"), c("x1"))
-    far_y = _reach(c("qy0"), c("qy1"), c("y0"), c("y1"))
-    per_run = W.partitionBy("qrun")
-    nearest_first = per_run.orderBy("far", "box").rowsBetween(
-        W.unboundedPreceding, W.currentRow
-    )
+    near_x = _gap(c(low[0]), c(high[0]), c("x0"), c("x1"))
+    near_y = _gap(c(low[1]), c(high[1]), c("y0"), c("y1"))
+    far_x = _reach(c(low[0]), c(high[0]), c("x0"), c("x1"))
+    far_y = _reach(c(low[1]), c(high[1]), c("y0"), c("y1"))
+    one = W.partitionBy(*per)
+    nearest_first = one.orderBy("far", "box").rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
         pairs.withColumns({
             "near": near_x * near_x + near_y * near_y,
             "far": far_x * far_x + far_y * far_y,
         })
         .withColumn("covered", F.sum("held").over(nearest_first))
-        .withColumn("bound", F.min(F.when(c("covered") >= k, c("far"))).over(per_run))
+        .withColumn("bound", F.min(F.when(c("covered") >= k, c("far"))).over(one))
         .filter(c("bound").isNull() | (c("near") <= c("bound") * F.lit(1 + 1e-9)))
     )
 
 
-def nearest_by_place(
-    places: DataFrame, sites: DataFrame, k: int, payload: list[str] = (),
-    extent: float = DEGREES,
-) -> DataFrame:
-    """The k nearest sites of every distinct place.
+def candidates(
+    places: DataFrame, sites: DataFrame, k: int, payload: list[str] = (), extent: float = DEGREES,
+) -> tuple[DataFrame, DataFrame]:
+    """Sites in runs, and the runs (x, y, run, bound) in which each distinct place must look.
 
-    ``places`` has x, y; ``sites`` has site_id, x, y and the payload columns.
-    Distances are Euclidean in the coordinates' own unit; equal distances go to
-    the smaller site id. ``extent`` is DEGREES or METRES. Returns x, y and ``near``, an array of at most k
-    structs (d, site_id, payload...) in that order.
+    Query runs walk down the boxes of runs; at the end each place has a bound of its own.
     """
     located = sites.filter("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
     # Of the sites at one spot only the k smallest ids can ever be chosen.
@@ -151,12 +157,13 @@ def nearest_by_place(
         located.select("site_id", "x", "y", *payload)
         .withColumn("_n", F.row_number().over(same_spot)).filter(F.col("_n") <= k).drop("_n")
     )
-    points, site_runs = _in_runs(usable, SITE_RUN, extent, "sites")
     distinct = (
         places.select("x", "y")
         .filter("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)").distinct()
     )
-    wanted, query_runs = _in_runs(distinct, QUERY_RUN, extent, "places")
+    rows, site_runs = _in_runs(usable, distinct, extent)
+    points = rows.filter("_q = 0").select("run", "site_id", "x", "y", *payload)
+    wanted = rows.filter("_q = 1").select("qrun", "x", "y")
 
     leaves = _boxes(points, F.col("run"))
     if site_runs > SMALL_LEVEL:
@@ -169,7 +176,7 @@ def nearest_by_place(
 
     if len(levels) > 1:
         levels.pop()  # the single box over everything decides nothing
-    frontier = wanted.groupBy(F.col("run").alias("qrun")).agg(
+    frontier = wanted.groupBy("qrun").agg(
         F.min("x").alias("qx0"), F.max("x").alias("qx1"),
         F.min("y").alias("qy0"), F.max("y").alias("qy1"),
     ).withColumn("first", F.lit(0).cast("long"))
@@ -180,48 +187,55 @@ def nearest_by_place(
         asked = frontier.withColumn("box", F.explode(F.sequence("first", last))).drop("first")
         if size <= BROADCAST_BOXES:
             boxes = F.broadcast(boxes)
-        kept = _pruned(asked.join(boxes, "box"), k)
-        run_pairs = kept.select(
-            "qrun", F.col("box").alias("run"), "bound", "x0", "x1", "y0", "y1")
+        kept = _pruned(asked.join(boxes, "box"), k, ["qrun"], ["qx0", "qy0"], ["qx1", "qy1"])
         frontier = kept.select(
             "qrun", "qx0", "qx1", "qy0", "qy1",
             (F.col("box") * F.lit(BOXES_PER_BOX)).alias("first"),
         )
+    # A query run is at most QUERY_RUN places; pairs stay where their query run is.
+    each = wanted.join(kept.select("qrun", "box", "x0", "x1", "y0", "y1", "held"), "qrun")
+    pairs = _pruned(each, k, ["qrun", "x", "y"], ["x", "y"], ["x", "y"])
+    return points, pairs.select("x", "y", F.col("box").alias("run"), "bound")
 
-    # A run is at most SITE_RUN points, so both arrays are of fixed size.
-    packed_sites = points.groupBy("run").agg(
-        F.collect_list(F.struct("x", "y", "site_id", *payload)).alias("members")
-    )
-    packed_places = wanted.groupBy(F.col("run").alias("qrun")).agg(
-        F.collect_list(F.struct("x", "y")).alias("spots")
-    )
+
+def nearest_by_place(
+    places: DataFrame, sites: DataFrame, k: int, payload: list[str] = (),
+    extent: float = DEGREES,
+) -> DataFrame:
+    """The k nearest sites of every distinct place.
+
+    ``places`` has x, y; ``sites`` has site_id, x, y and the payload columns.
+    Distances are Euclidean in the coordinates' own unit; equal distances go to
+    the smaller site id. ``extent`` is DEGREES or METRES. Returns x, y and ``near``, an array of at most k
+    structs (d, site_id, payload...) in that order.
+    """
+    points, pairs = candidates(places, sites, k, payload, extent)
+    pairs = stage_table(pairs, "place-runs")
     # Few bytes but much arithmetic per row: adaptive execution would put a small
     # search into one task, so its pairs are dealt out first.
     slots = places.sparkSession.sparkContext.defaultParallelism
-    if query_runs < slots * RUNS_PER_TASK:
-        run_pairs = run_pairs.repartition(slots)
+    if pairs.count() < slots * PAIRS_PER_TASK:
+        pairs = pairs.repartition(slots)
+    # A run is at most SITE_RUN points, so the array is of fixed size.
+    packed = points.groupBy("run").agg(
+        F.collect_list(F.struct("x", "y", "site_id", *payload)).alias("members")
+    )
     c = F.col
-    away_x = _gap(c("spot.x"), c("spot.x"), c("x0"), c("x1"))
-    away_y = _gap(c("spot.y"), c("spot.y"), c("y0"), c("y1"))
-    dx, dy = c("member.x") - c("px"), c("member.y") - c("py")
+    dx, dy = c("member.x") - c("x"), c("member.y") - c("y")
     square = dx * dx + dy * dy
-    # The bound of a run holds for each of its places; the slack covers rounding.
-    bound = c("bound") * F.lit(1 + 1e-9)
-    pairs = (
-        run_pairs.join(packed_sites, "run").join(packed_places, "qrun")
-        .select("members", "bound", "x0", "x1", "y0", "y1", F.explode("spots").alias("spot"))
-        .filter(c("bound").isNull() | (away_x * away_x + away_y * away_y <= bound))
-        .select("bound", c("spot.x").alias("px"), c("spot.y").alias("py"),
-                F.explode("members").alias("member"))
-        .filter(c("bound").isNull() | (square <= bound))
+    found = (
+        salted_join(pairs, packed, "run", ["x", "y"])
+        .select("x", "y", "bound", F.explode("members").alias("member"))
+        # the slack covers rounding
+        .filter(c("bound").isNull() | (square <= c("bound") * F.lit(1 + 1e-9)))
         .select(
-            "px", "py", F.sqrt(square).alias("d"), c("member.site_id").alias("site_id"),
+            "x", "y", F.sqrt(square).alias("d"), c("member.site_id").alias("site_id"),
             *[c(f"member.{p}").alias(p) for p in payload])
     )
-    nearest_first = W.partitionBy("px", "py").orderBy("d", "site_id")
+    nearest_first = W.partitionBy("x", "y").orderBy("d", "site_id")
     # Spark cuts every place to k rows before the shuffle, and again after it.
-    best = pairs.withColumn("_n", F.row_number().over(nearest_first)).filter(c("_n") <= k)
-    return best.groupBy(c("px").alias("x"), c("py").alias("y")).agg(
+    best = found.withColumn("_n", F.row_number().over(nearest_first)).filter(c("_n") <= k)
+    return best.groupBy("x", "y").agg(
         F.sort_array(F.collect_list(F.struct("d", "site_id", *payload))).alias("near"))
 
 
@@ -268,4 +282,8 @@ def idw(
         idw_confidence(F.col("near")[0]["d"]).alias("idw_conf"),
         (F.col("near")[0]["d"] * F.lit(fv.METRES_PER_DEGREE)).alias("nearest_m"),
     )
-    return queries.join(surface, ["x", "y"], "left")
+    # Queries without a place would meet in one task of the join.
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")
+    found = queries.filter(placed).join(surface, ["x", "y"], "left")
+    return found.unionByName(
+        queries.filter(~F.coalesce(placed, F.lit(False))), allowMissingColumns=True)

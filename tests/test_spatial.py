@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodeworks.operators import grid, neighbours, polygons, raster
+from lodeworks.operators import grid, neighbours, polygons, raster, skew
+from lodeworks.session import stage_table
 
 
 def brute(queries, sites, k):
@@ -58,6 +59,51 @@ def test_neighbours_below_broadcast_size(spark, monkeypatch):
     assert found == brute(queries, sites, 8)
 
 
+@pytest.mark.parametrize("n", [64, 512, 4096])
+def test_few_runs_of_sites_are_candidates_of_a_place(spark, n):
+    """However rare places are among 200,000 sites, each looks into few runs."""
+    k = 8
+    place = [(F.rand(seed) - 0.5).alias(c) for seed, c in ((1, "x"), (2, "y"))]
+    sites = stage_table(spark.range(200_000).select(F.col("id").cast("string").alias("site_id"), *place), "many")
+    queries = spark.range(n).select(F.col("id").alias("q"), *[
+        (F.rand(seed) - 0.5).alias(c) for seed, c in ((3, "x"), (4, "y"))])
+    _, pairs = neighbours.candidates(stage_table(queries, "few"), sites, k)
+    sizes = [r["n"] for r in pairs.groupBy("x", "y").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == n and np.mean(sizes) <= 3 * k and max(sizes) <= 10 * k
+
+
+def test_hot_runs_and_places_without_coordinates(spark, monkeypatch):
+    """Most places near one run of sites, many without a place, in salted joins."""
+    monkeypatch.setattr(skew, "HOT_KEYS", 2)
+    sites = skewed_sites(300)
+    rng = np.random.default_rng(8)
+    queries = [(f"q{i}", 122.5 + rng.random() * 1e-9, -28.5 + rng.random() * 1e-9) for i in range(400)]
+    empty = [("n1", None, 1.0), ("n2", 1.0, None), ("n3", None, None), ("n4", float("nan"), 1.0)]
+    places = spark.createDataFrame(queries + empty, "q string, x double, y double")
+    points = spark.createDataFrame(sites, "site_id string, x double, y double").withColumn("v", F.lit(2.0))
+    plain = skew.salted_join
+    monkeypatch.setattr(neighbours, "salted_join", lambda *a: plain(*a, few_rows=50))
+    found = {}
+    for r in neighbours.nearest_sites(places, points, 3, "q").orderBy("q", "rank").collect():
+        found.setdefault(r["q"], []).append(r["site_id"])
+    assert found == brute(queries, sites, 3)
+    rows = neighbours.idw(places, points, ["v"]).collect()
+    assert len(rows) == 404
+    assert {r["q"] for r in rows if r["idw_v"] is None} == {"n1", "n2", "n3", "n4"}
+    none = neighbours.idw(places, points.limit(0), ["v"])
+    assert none.count() == 404 and none.filter("idw_v IS NOT NULL").count() == 0
+    assert neighbours.nearest_sites(places.limit(0), points, 3, "q").count() == 0
+
+
+def test_salted_join_equals_a_plain_one(spark):
+    left = spark.range(1000).select(F.when(F.col("id") < 700, 1).otherwise(F.col("id") % 40).alias("k"), "id")
+    right = spark.range(40).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("v"))
+    left = left.withColumn("k", F.col("k").cast("int"))
+    want = sorted(map(tuple, left.join(right, "k").select("k", "id", "v").collect()))
+    got = skew.salted_join(left, right, "k", ["id"], few_rows=10)
+    assert sorted(map(tuple, got.select("k", "id", "v").collect())) == want and "_salt" not in got.columns
+
+
 def test_idw_on_a_labelled_point(spark):
     sites = spark.createDataFrame(
         [("a", 1.0, 1.0, 50.0), ("b", 1.1, 1.0, 90.0), ("c", 1.0, 1.2, None)],
