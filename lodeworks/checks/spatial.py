@@ -10,8 +10,9 @@ from lodeworks.functions.geodesy import (
     BACKWARD, CONFORMAL, FORWARD, LATITUDE, RECTIFYING, from_utm, to_utm,
 )
 from lodeworks.functions.spectral import spectral_indices
-from lodeworks.operators import grid, neighbours, polygons, raster
+from lodeworks.operators import grid, neighbours, placed, polygons, raster
 from lodeworks.operators.places import in_degrees
+from lodeworks.operators.raster import rim_tiles
 from lodeworks.plans.holes import geology_matrix as geology_features
 from lodeworks.plans.surface import grid_features
 from lodeworks.session import stage_table
@@ -380,3 +381,84 @@ def contour_bands(spark, sf):
 ))
 def heat_map_cells(spark, sf):
     return settled(grid.map_cells(view(spark, sf, "collar"), "maxdepth", [10, 12, 14]), 6)
+
+
+_ZONED = placed.Placement(
+    "utm", x0=450_000.0, y0=6_815_000.0, xc=260.0, xr=0.0, yc=0.0, yr=-240.0, rows=50, cols=40,
+    nodata=-9999.0, zone=ZONE, south=True)
+_TURNED = placed.Placement(
+    "turned", x0=122.52, y0=-28.78, xc=0.0025, xr=0.0009, yc=0.0007, yr=-0.0021, rows=50, cols=40,
+    nodata=-9999.0)
+
+
+def _own_pixels(spark, sf, raster_id):
+    return view(spark, sf, "pixels").select(F.lit(raster_id).alias("raster_id"), "prow", "pcol", "val")
+
+
+def _one_placed(spark, sf, raster):
+    rasters = placed.catalogue(placed.placements(spark, [raster]))
+    tiles = rim_tiles(_own_pixels(spark, sf, raster.raster_id))
+    return placed.sample_placed(_places(spark, sf), tiles, rasters).select(
+        "hole_id", "prow", "pcol", rounded(F.col("val")).alias("val"))
+
+
+def _placed_sql(x, y, source, p):
+    """Pixel of a placement below (x, y) of ``source``, and its value."""
+    det = p.xc * p.yr - p.xr * p.yc
+    return f"""SELECT hole_id, CAST(prow AS INT) AS prow, CAST(pcol AS INT) AS pcol, {r('v.val')} AS val
+      FROM (SELECT hole_id, floor(({-p.yc / det!r})*e + ({p.xc / det!r})*n) AS prow,
+        floor(({p.yr / det!r})*e + ({-p.xr / det!r})*n) AS pcol FROM (
+          SELECT hole_id, {x} - ({p.x0!r}) AS e, {y} - ({p.y0!r}) AS n FROM {source}
+          WHERE lon IS NOT NULL AND lat IS NOT NULL)) place
+      LEFT JOIN valid v USING (prow, pcol)
+      WHERE prow BETWEEN 0 AND {p.rows - 1} AND pcol BETWEEN 0 AND {p.cols - 1}"""
+
+
+@query(over(["collar", "pixels"], _placed_sql("x", "y", "u", _ZONED), **_FORWARD_STEPS, valid=_VALID))
+def raster_projected_samples(spark, sf):
+    """A raster in UTM metres sampled at holes in degrees."""
+    return _one_placed(spark, sf, _ZONED)
+
+
+@query(over(["collar", "pixels"], _placed_sql("lon", "lat", "collar", _TURNED), valid=_VALID))
+def raster_rotated_samples(spark, sf):
+    """A rotated and sheared raster, by the full inverse of its placement."""
+    return _one_placed(spark, sf, _TURNED)
+
+
+_SHEET = """SELECT CAST(i AS INT) AS i, 'sheet' || i AS raster_id, 122.49e0 + (i % 25)*0.005e0 AS x0,
+  -28.79e0 - (i // 25)*0.006e0 AS y0, 0.01e0/40 AS dx, -0.006e0/50 AS dy FROM range(500) t(i)"""
+
+
+@query(over(
+    ["collar", "pixels"],
+    f"""SELECT hole_id, raster_id, {r('coalesce(avg(val),0e0)')} AS mean,
+      {r('coalesce(stddev_pop(val),0e0)')} AS std, {r('coalesce(max(val),0e0)')} AS max
+    FROM (SELECT p.hole_id, p.raster_id, v.val + i AS val FROM place p LEFT JOIN valid v
+      ON v.prow BETWEEN p.prow-1 AND p.prow+1 AND v.pcol BETWEEN p.pcol-1 AND p.pcol+1)
+    GROUP BY hole_id, raster_id""",
+    valid=_VALID, sheet=_SHEET,
+    place="""SELECT * FROM (SELECT hole_id, raster_id, i,
+      floor((0*(-1e0)/(dx*dy))*(lon - x0) + (dx/(dx*dy - 0*0))*(lat - y0)) AS prow,
+      floor((dy/(dx*dy - 0*0))*(lon - x0) + (-0e0/(dx*dy))*(lat - y0)) AS pcol
+      FROM collar, sheet WHERE lon IS NOT NULL AND lat IS NOT NULL)
+      WHERE prow BETWEEN 0 AND 49 AND pcol BETWEEN 0 AND 39""",
+))
+def raster_sheet_statistics(spark, sf):
+    """Windows in a catalogue of 500 overlapping sheets; a hole lies on two of them at most."""
+    number = F.col("id")
+    each = F.explode(F.sequence(F.lit(0), F.lit(499)))
+    sheets = spark.range(500).select(
+        F.concat(F.lit("sheet"), number).alias("raster_id"),
+        (F.lit(122.49) + number % 25 * 0.005).alias("x0"),
+        (F.lit(-28.79) - F.expr("id div 25") * 0.006).alias("y0"),
+        F.lit(0.01 / 40).alias("xc"), F.lit(0.0).alias("xr"), F.lit(0.0).alias("yc"),
+        F.lit(-0.006 / 50).alias("yr"), F.lit(50).alias("rows"), F.lit(40).alias("cols"),
+        F.lit(None).cast("double").alias("nodata"), F.lit(None).cast("int").alias("zone"),
+        F.lit(None).cast("boolean").alias("south"))
+    # the same pixels for all sheets, each on a level of its own
+    usable = raster.masked(F.col("val"), F.col("raster_id"), [MAGNETIC])
+    pixels = view(spark, sf, "pixels").withColumn("val", usable).filter("val IS NOT NULL").withColumn("id", each).select(
+        F.concat(F.lit("sheet"), "id").alias("raster_id"), "prow", "pcol", (F.col("val") + F.col("id")).alias("val"))
+    found = placed.focal_placed(_places(spark, sf), rim_tiles(pixels), placed.catalogue(sheets))
+    return settled(found.select("hole_id", "raster_id", "mean", "std", "max"))

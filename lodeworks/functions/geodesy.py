@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # WGS84 (GRS80 differs by less than 0.1 mm in these series).
@@ -34,10 +34,18 @@ LATITUDE = [
 ]
 
 
-def _check_zone(zone: int) -> float:
+def _meridian(zone: int | Column) -> Column:
+    if isinstance(zone, Column):
+        return F.lit(6.0) * zone - F.lit(183.0)
     if not 1 <= zone <= 60:
         raise ValueError(f"UTM zone must be 1..60, got {zone}")
-    return 6.0 * zone - 183.0
+    return F.lit(6.0 * zone - 183.0)
+
+
+def _north0(south: bool | Column) -> Column:
+    if isinstance(south, Column):
+        return F.when(south, FALSE_NORTHING_SOUTH).otherwise(0.0)
+    return F.lit(FALSE_NORTHING_SOUTH if south else 0.0)
 
 
 def _series(terms, first, other, xi, eta):
@@ -49,13 +57,12 @@ def _series(terms, first, other, xi, eta):
 
 
 def to_utm(
-    df: DataFrame, zone: int, south: bool, lon="lon", lat="lat", x="x", y="y"
+    df: DataFrame, zone: int | Column, south: bool | Column, lon="lon", lat="lat", x="x", y="y"
 ) -> DataFrame:
-    """Add projected metres ``x``, ``y`` for degrees ``lon``, ``lat``."""
-    meridian = _check_zone(zone)
-    north0 = FALSE_NORTHING_SOUTH if south else 0.0
+    """Add projected metres ``x``, ``y`` for degrees ``lon``, ``lat``; a zone may be a column."""
+    meridian, north0 = _meridian(zone), _north0(south)
     sine = F.sin(F.radians(F.col(lat)))
-    dlon = F.radians(F.col(lon) - F.lit(meridian))
+    dlon = F.radians(F.col(lon) - meridian)
     t = F.col("_t")
     xi, eta = F.col("_xi"), F.col("_eta")
     return (
@@ -73,7 +80,7 @@ def to_utm(
             {
                 x: F.lit(FALSE_EASTING)
                 + F.lit(RECTIFYING) * (eta + _series(FORWARD, F.cos, F.sinh, xi, eta)),
-                y: F.lit(north0)
+                y: north0
                 + F.lit(RECTIFYING) * (xi + _series(FORWARD, F.sin, F.cosh, xi, eta)),
             }
         )
@@ -82,11 +89,10 @@ def to_utm(
 
 
 def from_utm(
-    df: DataFrame, zone: int, south: bool, x="x", y="y", lon="lon", lat="lat"
+    df: DataFrame, zone: int | Column, south: bool | Column, x="x", y="y", lon="lon", lat="lat"
 ) -> DataFrame:
-    """Add degrees ``lon``, ``lat`` for projected metres ``x``, ``y``."""
-    meridian = _check_zone(zone)
-    north0 = FALSE_NORTHING_SOUTH if south else 0.0
+    """Add degrees ``lon``, ``lat`` for projected metres ``x``, ``y``; a zone may be a column."""
+    meridian, north0 = _meridian(zone), _north0(south)
     xi, eta = F.col("_xi"), F.col("_eta")
     xi1, eta1, chi = F.col("_xi1"), F.col("_eta1"), F.col("_chi")
     latitude = chi
@@ -95,7 +101,7 @@ def from_utm(
     return (
         df.withColumns(
             {
-                "_xi": (F.col(y) - F.lit(north0)) / F.lit(RECTIFYING),
+                "_xi": (F.col(y) - north0) / F.lit(RECTIFYING),
                 "_eta": (F.col(x) - F.lit(FALSE_EASTING)) / F.lit(RECTIFYING),
             }
         )
@@ -109,7 +115,7 @@ def from_utm(
         .withColumns(
             {
                 lat: F.degrees(latitude),
-                lon: F.lit(meridian) + F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))),
+                lon: meridian + F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))),
             }
         )
         .drop("_xi", "_eta", "_xi1", "_eta1", "_chi")

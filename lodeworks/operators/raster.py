@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from lodeworks.operators.exact import exact_quantiles
 
 TILE = 32
+# Pixels of a side of a tile with a rim; its map is searched in order, so it is kept small.
+RIM_TILE = 16
 SATURATED = 255.0
 SATURATED_SHARE = 0.9
 # Row or column number that stands for everything farther out.
@@ -135,39 +137,75 @@ def raster_features(
     return wide.fillna(fills)
 
 
+def rim_tiles(pixels: DataFrame, size: int = RIM_TILE) -> DataFrame:
+    """Tiles that also hold the pixels just outside them: (raster_id, trow, tcol, cells).
+
+    A pixel at the edge of a tile goes to the tiles beside it too, so a 3 x 3 window of any
+    pixel is found in one tile. A tile holds at most (size + 2)^2 pixels.
+    """
+    def tiles(c: str) -> Column:
+        return F.array_distinct(F.array(*[
+            F.floor((F.col(c) + F.lit(d)) / F.lit(size)).cast("int") for d in (-1, 0, 1)]))
+
+    placed = pixels.select("raster_id", "prow", "pcol", "val", F.explode(tiles("prow")).alias("trow")).select(
+        "*", F.explode(tiles("pcol")).alias("tcol"))
+    at = ((F.col("prow") - F.col("trow") * size + 1) * (size + 2)
+          + F.col("pcol") - F.col("tcol") * size + 1)
+    return placed.groupBy("raster_id", "trow", "tcol").agg(
+        F.map_from_entries(F.collect_list(F.struct(at, "val"))).alias("cells"))
+
+
+def rim_position(prow: Column, pcol: Column, down: int, right: int, size: int = RIM_TILE) -> Column:
+    """Place in its tile of the pixel that many rows and columns from a pixel."""
+    return ((F.pmod(prow, F.lit(size)) + (1 + down)) * (size + 2)
+            + F.pmod(pcol, F.lit(size)) + (1 + right))
+
+
+def usable_value(value: Column, nodata: Column) -> Column:
+    """A pixel value, or NULL where it is nodata or not finite."""
+    bad = F.coalesce(value == nodata, F.lit(False)) | F.isnan(value) | (F.abs(value) == float("inf"))
+    return F.when(~bad, value)
+
+
+def window_statistics(nodata: Column, size: int = RIM_TILE) -> Column:
+    """mean, std (of the population) and max of the 3 x 3 pixels around (prow, pcol) of a tile;
+    0 without any valid pixel."""
+    values = F.filter(F.array(*[
+        usable_value(F.try_element_at("cells", rim_position(F.col("prow"), F.col("pcol"), r, c, size)), nodata)
+        for r in (-1, 0, 1) for c in (-1, 0, 1)]), lambda v: v.isNotNull())
+
+    def mean(v: Column) -> Column:
+        return F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)
+
+    def of(v: Column) -> Column:
+        middle = mean(v)
+        spread = F.sqrt(mean(F.transform(v, lambda x: (x - middle) * (x - middle))))
+        return F.when(F.size(v) > 0, F.struct(
+            middle.alias("mean"), spread.alias("std"), F.array_max(v).alias("max")
+        )).otherwise(F.struct(F.lit(0.0).alias("mean"), F.lit(0.0).alias("std"), F.lit(0.0).alias("max")))
+
+    # a one-element array gives the window a name inside the expression
+    return F.transform(F.array(values), of)[0]
+
+
 def focal_statistics(
-    points: DataFrame, pixels: DataFrame, rasters: list[Raster]
+    points: DataFrame, pixels: DataFrame, rasters: list[Raster], size: int = RIM_TILE,
 ) -> DataFrame:
     """Mean, population std and max of the 3 x 3 pixels around each point.
 
-    Worked out once per distinct pixel under a point, then joined back, so many
-    points on one pixel cost one window. Windows are cut at the raster edge;
-    a window without any valid pixel gives 0.
+    Pixels are shuffled once, into tiles with a rim, and each point needs one join with its
+    tile. Windows are cut at the raster edge; a window without any valid pixel gives 0.
     """
-    at = _positions(points, rasters)
-    centres = at.select("raster_id", "prow", "pcol").distinct()
-    offsets = F.array(*[
-        F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"))
-        for r in (-1, 0, 1) for c in (-1, 0, 1)
-    ])
-    around = centres.select(
-        "raster_id", F.col("prow").alias("crow"), F.col("pcol").alias("ccol"),
-        F.explode(offsets).alias("o"),
-    ).select(
-        "raster_id", "crow", "ccol",
-        (F.col("crow") + F.col("o.r")).alias("prow"), (F.col("ccol") + F.col("o.c")).alias("pcol"),
-    )
-    valid = masked(F.col("val"), F.col("raster_id"), rasters)
-    stats = (
-        around.join(pixels.select("raster_id", "prow", "pcol", valid.alias("val")),
-                    ["raster_id", "prow", "pcol"])
-        .groupBy("raster_id", F.col("crow").alias("prow"), F.col("ccol").alias("pcol"))
-        .agg(F.avg("val").alias("mean"), F.stddev_pop("val").alias("std"),
-             F.max("val").alias("max"))
-    )
-    return at.join(stats, ["raster_id", "prow", "pcol"], "left").fillna(
-        0.0, subset=["mean", "std", "max"]
-    )
+    tile = {c: F.floor(F.col(p) / F.lit(size)).cast("int") for c, p in (("trow", "prow"), ("tcol", "pcol"))}
+    joined = _positions(points, rasters).withColumns(tile).join(
+        rim_tiles(pixels, size), ["raster_id", "trow", "tcol"], "left")
+    nodata = F.lit(None).cast("double")
+    for r in rasters:
+        if r.nodata is not None:
+            nodata = F.when(F.col("raster_id") == r.raster_id, F.lit(r.nodata)).otherwise(nodata)
+    return joined.select(
+        *points.columns, "raster_id", "prow", "pcol", window_statistics(nodata, size).alias("_s"),
+    ).select(*points.columns, "raster_id", "prow", "pcol", "_s.*")
 
 
 def outside_bounds(points: DataFrame, raster: Raster) -> DataFrame:
