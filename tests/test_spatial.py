@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodeworks.operators import grid, neighbours, polygons, raster, skew
+from lodeworks.functions.geodesy import from_utm
+from lodeworks.operators import grid, neighbours, placed, polygons, raster, skew
 from lodeworks.session import stage_table
 
 
@@ -185,3 +186,75 @@ def test_grid_size_and_bands(spark):
     assert grid.grid_points(spark, spec).count() == spec.rows * spec.cols
     bands = spark.createDataFrame([(0.39,), (0.4,), (0.85,), (0.7,)], "s double")
     assert [r[0] for r in bands.select(grid.band(F.col("s"))).collect()] == [0, 1, 4, 2]
+
+
+def placed_points(spark, rows):
+    return spark.createDataFrame(rows, "id long, x double, y double").withColumns(
+        {"raster_id": F.lit("clash"), "lon": F.lit(0.0), "zone": F.lit(1)}).drop("raster_id")
+
+
+def by_hand(p, x, y):
+    """Pixel below a place, through the full inverse."""
+    col, row = np.linalg.solve([[p.xc, p.xr], [p.yc, p.yr]], [x - p.x0, y - p.y0])
+    row, col = int(np.floor(row)), int(np.floor(col))
+    return (row, col) if 0 <= row < p.rows and 0 <= col < p.cols else None
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_points_meet_rotated_and_turned_rasters(spark, limit):
+    rng = np.random.default_rng(9)
+    rasters = [
+        placed.Placement("plain", 10.0, 50.0, 0.1, 0.0, 0.0, -0.1, 30, 20),
+        placed.Placement("rotated", 11.0, 49.0, 0.07, 0.05, 0.04, -0.06, 25, 35, nodata=-1.0),
+        placed.Placement("tiny", 11.0, 49.0, 1e-4, 0.0, 0.0, 1e-4, 3, 3),
+        placed.Placement("turn", 350.0, 5.0, 1.0, 0.0, 0.0, -1.0, 10, 25),
+        placed.Placement("none", 11.0, 49.0, 1.0, 0.0, 0.0, 1.0, 0, 5),
+    ]
+    places = [(i, float(x), float(y)) for i, (x, y) in enumerate(
+        np.concatenate([rng.uniform([9, 46], [14, 51], (300, 2)), rng.uniform([-11, -6], [16, 6], (80, 2)),
+                        [[11.00015, 49.00015], [10.0, 50.0]]]))]
+    odd = [(900, None, 1.0), (901, float("nan"), 1.0), (902, float("inf"), 1.0), (903, 1.0, None)]
+    want = set()
+    for i, x, y in places:
+        for p in rasters:
+            for turn in (0.0, 360.0):
+                at = by_hand(p, x + turn, y) if p.rows else None
+                if at and (turn == 0.0 or p.raster_id == "turn"):
+                    want.add((i, p.raster_id, *at))
+    cat = placed.catalogue(placed.placements(spark, rasters))
+    got = placed.meetings(placed_points(spark, places + odd), cat, limit)
+    assert got.columns == ["id", "x", "y", "lon", "zone", "raster_id", "prow", "pcol", "nodata"]
+    rows = [tuple(r) for r in got.select("id", "raster_id", "prow", "pcol").collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    assert {r[1] for r in rows} == {"plain", "rotated", "tiny", "turn"}
+    assert placed.meetings(placed_points(spark, places), cat.limit(0)).count() == 0
+
+
+def test_samples_and_windows_of_a_projected_raster(spark):
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 9, (40, 33)).astype(float)
+    p = placed.Placement("utm", 450_000.0, 6_800_000.0, 120.0, 15.0, -20.0, -100.0, 40, 33, 0.0, 51, True)
+    metres = spark.createDataFrame(
+        [(i * 33 + j, p.x0 + (j + 0.5) * p.xc + (i + 0.5) * p.xr, p.y0 + (j + 0.5) * p.yc + (i + 0.5) * p.yr)
+         for i in range(-1, 41) for j in range(33)], "id long, e double, n double")
+    points = from_utm(metres, 51, True, x="e", y="n", lon="x", lat="y").select("id", "x", "y")
+    tiles = raster.rim_tiles(pixel_table(spark, a, "utm"))
+    cat = placed.catalogue(placed.placements(spark, [p]))
+    got = {r["id"]: r["val"] for r in placed.sample_placed(points, tiles, cat).collect()}
+    assert got == {i * 33 + j: a[i, j] or None for i in range(40) for j in range(33)}
+    for r in placed.focal_placed(points, tiles, cat).collect():
+        i, j = divmod(r["id"], 33)
+        window = a[max(i - 1, 0):i + 2, max(j - 1, 0):j + 2]
+        valid = window[window != 0.0]
+        wanted = (valid.mean(), valid.std(), valid.max()) if valid.size else (0, 0, 0)
+        assert (r["mean"], r["std"], r["max"]) == pytest.approx(wanted)
+
+
+def test_pixels_are_shuffled_once_for_windows(spark):
+    pixels = stage_table(pixel_table(spark, np.ones((20, 20))), "px")
+    points = stage_table(spark.createDataFrame([(1, 3.0, 3.0)], "id long, x double, y double"), "pt")
+    r = raster.Raster("r", 0.0, 0.0, 1.0, 1.0)
+    stats = raster.focal_statistics(points, pixels, [r])
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(raster_id") <= 2  # one for pixels, one for points
+    assert "Window" not in plan
