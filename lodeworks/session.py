@@ -39,3 +39,16 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more."""
+    files = staged.inputFiles()
+    if not files:
+        return
+    spark = staged.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    home = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark)).toUri().getPath()
+    if not folder.toUri().getPath().startswith(f"{home}/"):
+        raise ValueError("only staged tables are discarded")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
