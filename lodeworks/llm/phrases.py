@@ -7,22 +7,20 @@ and at the next one is one pass over two sorted columns. Each block counts its e
 phrases, the counts are summed by phrase over all blocks, and only places whose phrase is
 frequent go into the relation that is extended next.
 
-Phrases are told apart by the ids of their two overlapping halves. Ids are 64-bit hashes;
-among n frequent phrases two share one with a chance of n^2 / 2^65, and that raises an error.
+Frequent phrases of a length are numbered; a longer phrase is the pair of the numbers of its
+two overlapping halves, so phrases are told apart exactly.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeworks.llm.words import SPACES, cut_out, folded, lists, mix64, runs, slices, text_bytes
-from lodeworks.session import stage_table
+from lodeworks.llm.words import SPACES, cut_out, folded, lists, runs, slices, text_bytes
+from lodeworks.session import discard, stage_table
 
 #: Longest phrase, fewest occurrences and rows returned per language.
 LONGEST, FEWEST, TOP = 4, 30, 2000
@@ -30,30 +28,12 @@ LONGEST, FEWEST, TOP = 4, 30, 2000
 CONTAINED = 80
 UNKNOWN = "und"
 #: Bytes of text that one block covers; a longer text makes a block of its own.
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 1 << 23
+#: Rows (phrases of blocks) that are numbered together.
+ROWS_PER_BUCKET = 500_000
 _PIECE_ENDS = np.zeros(256, bool)
 _PIECE_ENDS[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 _BREAKS = _PIECE_ENDS | SPACES
-_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (
-    0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-
-
-def pair_ids(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """What ``xxhash64(left, right)`` gives in SQL."""
-    def turned(x, by):
-        return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
-
-    out = np.full(len(left), 42, np.uint64)
-    for value in (left, right):
-        out = out + _P5 + np.uint64(8)
-        out ^= turned(value.astype(np.int64).view(np.uint64) * _P2, 31) * _P1
-        out = turned(out, 27) * _P1 + _P4
-        out ^= out >> np.uint64(33)
-        out *= _P2
-        out ^= out >> np.uint64(29)
-        out *= _P3
-        out ^= out >> np.uint64(32)
-    return out.view(np.int64)
 
 
 def _word_block(texts: pa.Array, lang: str, block: int) -> pa.RecordBatch | None:
@@ -74,16 +54,14 @@ def _word_block(texts: pa.Array, lang: str, block: int) -> pa.RecordBatch | None
     place = np.arange(n) + np.cumsum(gap)
     out = np.full(place[-1] + 1, -1, np.int32)
     out[place] = codes
-    salt = np.frombuffer(hashlib.blake2b(lang.encode(), digest_size=8).digest(), np.uint64)
     return pa.RecordBatch.from_arrays(
         [pa.array([block], pa.int64()), pa.array([lang], pa.string()), pa.array([n], pa.int64()),
          lists(out, [0, len(out)], pa.int32()),
-         lists(mix64(hashes ^ salt).view(np.int64), [0, len(hashes)], pa.int64()),
          pa.ListArray.from_arrays(
              pa.array([0, len(first)], pa.int32()),
              cut_out(data, found.starts[first], found.ends[first]).cast(pa.string())),
          lists(counts, [0, len(counts)], pa.int32())],
-        names=["block", "lang", "n", "codes", "ids", "words", "counts"])
+        names=["block", "lang", "n", "codes", "words", "counts"])
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
@@ -99,109 +77,105 @@ def _blocks(docs: DataFrame) -> DataFrame:
                     block += 1
 
     return docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), "text").mapInArrow(
-        cut, "block long, lang string, n long, codes array<int>, ids array<long>, "
-             "words array<string>, counts array<int>")
+        cut, "block long, lang string, n long, codes array<int>, words array<string>, counts array<int>")
 
 
 def _extend(blocks: DataFrame, kept: DataFrame) -> DataFrame:
     """Next relation: phrases at two neighbouring places, both frequent, make a longer one.
 
-    A block's pairs are the two halves' codes; ``ids`` are those of the halves.
+    ``codes`` are places in a block's ``pairs``, the numbers of both halves in one.
     """
     def join(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                codes, ids, held = (batch.column(c)[i].values.to_numpy() for c in ("codes", "ids", "held"))
-                frequent = np.zeros(len(ids) + 1, bool)
-                frequent[held] = True
-                ok = frequent[codes]
-                at = np.flatnonzero(ok[:-1] & ok[1:])
+                codes, held, numbers = (batch.column(c)[i].values.to_numpy() for c in ("codes", "held", "numbers"))
+                # the number of each code; the last place stands for no phrase
+                number = np.full(max(codes.max(), held.max()) + 2, -1, np.int64)
+                number[held] = numbers
+                here = number[codes]
+                at = np.flatnonzero((here[:-1] >= 0) & (here[1:] >= 0))
                 if not len(at):
                     continue
                 pairs, inverse, counts = np.unique(
-                    (codes[at].astype(np.int64) << 32) | codes[at + 1], return_inverse=True, return_counts=True)
+                    (here[at] << 32) | here[at + 1], return_inverse=True, return_counts=True)
                 out = np.full(len(codes), -1, np.int32)
                 out[at] = inverse
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, 1),
-                     lists(out, [0, len(out)], pa.int32()), lists(ids, [0, len(ids)], pa.int64()),
-                     lists(pairs >> 32, [0, len(pairs)], pa.int32()),
-                     lists(pairs & 0xFFFFFFFF, [0, len(pairs)], pa.int32()),
-                     lists(counts, [0, len(counts)], pa.int32())],
-                    names=["block", "codes", "ids", "lefts", "rights", "counts"])
-
-    codes = kept.groupBy("block").agg(F.collect_list("code").alias("held"))
-    return blocks.select("block", "codes", "ids").join(codes, "block").mapInArrow(
-        join, "block long, codes array<int>, ids array<long>, lefts array<int>, rights array<int>, counts array<int>")
+                    [batch.column(0).slice(i, 1), lists(out, [0, len(out)], pa.int32()),
+                     lists(pairs, [0, len(pairs)], pa.int64()), lists(counts, [0, len(counts)], pa.int32())],
+                    names=["block", "codes", "pairs", "counts"])
 
+    back = kept.groupBy("block").agg(
+        F.collect_list("code").alias("held"), F.collect_list("number").alias("numbers"))
+    return blocks.select("block", "codes").join(back, "block").mapInArrow(
+        join, "block long, codes array<int>, pairs array<long>, counts array<int>")
 
-def _with_pair_ids(blocks: DataFrame) -> DataFrame:
-    """The relation with the ids of its own phrases, for the next extension."""
-    def number(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, left, right = (batch.column(c)[i].values.to_numpy() for c in ("ids", "lefts", "rights"))
-                own = pair_ids(ids[left], ids[right])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), lists(own, [0, len(own)], pa.int64())],
-                    names=["block", "codes", "ids"])
 
-    return blocks.select("block", "codes", "ids", "lefts", "rights").mapInArrow(
-        number, "block long, codes array<int>, ids array<long>")
+def _frequent(rows: DataFrame, key: list[str], fewest: int, total: int, label: str) -> DataFrame:
+    """The rows (key, block, code, n) of phrases that occur often enough in all blocks, with
+    their occurrences ``f`` and a ``number`` of the phrase.
 
-
-def _frequent(rows: DataFrame, key: list[str], fewest: int, label: str) -> DataFrame:
-    """The rows (phrase, block, code, n) whose phrase occurs often enough in all blocks."""
-    total = F.sum("n").over(Window.partitionBy(*key))
-    return stage_table(rows.withColumn("f", total).where(F.col("f") >= fewest).drop("n"), label)
+    Phrases are dealt to buckets by hash and numbered within each; rows are shuffled once.
+    """
+    buckets = total // ROWS_PER_BUCKET + 1
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets))).repartition("bucket")
+    counted = dealt.withColumn("f", F.sum("n").over(Window.partitionBy("bucket", *key)))
+    rank = F.dense_rank().over(Window.partitionBy("bucket").orderBy(*key))
+    return stage_table(
+        counted.where(F.col("f") >= fewest).withColumn("number", (rank - 1) * F.lit(buckets) + F.col("bucket"))
+        .select(*key, "block", "code", "f", "number"), label)
 
 
-def _checked(table: DataFrame, label: str) -> DataFrame:
+def _phrases(table: DataFrame, label: str) -> DataFrame:
     table = stage_table(table, label)
-    twice = table.groupBy("id").count().where("count > 1").limit(1).count()
-    if twice:
-        raise ValueError("two frequent phrases share an id")
+    if (table.agg(F.max("number")).first()[0] or 0) >= 1 << 31:
+        raise ValueError("more frequent phrases than half an id can number")
     return table
 
 
 def frequent_phrases(
     docs: DataFrame, longest: int = LONGEST, fewest: int = FEWEST,
 ) -> tuple[list[DataFrame], DataFrame]:
-    """One table per length (lang, id, phrase, last, f, heads, tails; left and right from two
-    words on), and the words of each language (lang, n).
+    """One table per length (lang, number, phrase, last, f, heads, tails; left and right from
+    two words on), and the words of each language (lang, n).
 
     ``heads`` and ``tails`` are the occurrences of the first and of the last 1, 2, ... words.
     """
     blocks = stage_table(_blocks(docs), "phrase-blocks")
-    totals = blocks.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = stage_table(blocks.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
+    rows = blocks.agg(F.sum(F.size("words"))).first()[0] or 0
     kept = _frequent(
-        blocks.select("lang", "block", "ids", "counts", F.posexplode("words").alias("code", "word")).select(
-            "lang", "word", F.get("ids", "code").alias("id"), "block", "code",
-            F.get("counts", "code").cast("long").alias("n")),
-        ["lang", "word"], fewest, "phrase-words")
-    tables = [_checked(
-        kept.groupBy("lang", "id", F.col("word").alias("phrase")).agg(F.first("f").alias("f")).select(
-            "lang", "id", "phrase", F.col("phrase").alias("last"), "f",
+        blocks.select("lang", "block", "counts", F.posexplode("words").alias("code", "word")).select(
+            "lang", "word", "block", "code", F.get("counts", "code").cast("long").alias("n")),
+        ["lang", "word"], fewest, rows, "phrase-words")
+    tables = [_phrases(
+        kept.groupBy("lang", "number", F.col("word").alias("phrase")).agg(F.first("f").alias("f")).select(
+            "lang", "number", "phrase", F.col("phrase").alias("last"), "f",
             F.array("f").alias("heads"), F.array("f").alias("tails")), "phrases-1")]
     for length in range(2, longest + 1):
         longer = stage_table(_extend(blocks, kept), f"phrase-pairs-{length}")
-        pairs = longer.select("block", "ids", "rights", "counts", F.posexplode("lefts").alias("code", "one"))
+        discard(blocks)
+        discard(kept)
+        rows = longer.agg(F.sum(F.size("pairs"))).first()[0] or 0
         kept = _frequent(
-            pairs.select(
-                F.get("ids", "one").alias("left"), F.get("ids", F.get("rights", "code")).alias("right"),
-                "block", "code", F.get("counts", "code").cast("long").alias("n")),
-            ["left", "right"], fewest, f"phrase-rows-{length}")
-        found = kept.groupBy("left", "right").agg(F.first("f").alias("f"))
+            longer.select("block", "counts", F.posexplode("pairs").alias("code", "pair")).select(
+                "pair", "block", "code", F.get("counts", "code").cast("long").alias("n")),
+            ["pair"], fewest, rows, f"phrase-rows-{length}")
+        found = kept.groupBy("number", "pair").agg(F.first("f").alias("f")).select(
+            "number", "f", F.shiftright("pair", 32).alias("left"),
+            F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).alias("right"))
         left, right = (
-            tables[-1].select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns])
+            tables[-1].select(F.col("number").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns])
             for side, columns in (("left", ["lang", "phrase", "heads"]), ("right", ["last", "tails"])))
-        tables.append(_checked(
+        tables.append(_phrases(
             found.join(left, "left").join(right, "right").select(
-                F.col("left_lang").alias("lang"), F.xxhash64("left", "right").alias("id"),
+                F.col("left_lang").alias("lang"), "number",
                 F.concat_ws(" ", "left_phrase", "right_last").alias("phrase"), F.col("right_last").alias("last"),
                 "f", F.concat("left_heads", F.array("f")).alias("heads"),
                 F.concat("right_tails", F.array("f")).alias("tails"), "left", "right"), f"phrases-{length}"))
-        blocks = _with_pair_ids(longer)
+        blocks = longer
+    discard(blocks)
+    discard(kept)
     return tables, totals
 
 
@@ -229,19 +203,21 @@ def collocations(
                 F.lit(k).alias("k"), F.get("heads", F.lit(k - 1)).alias("l"),
                 F.get("tails", F.lit(length - k - 1)).alias("r"))
             for k in range(1, length)]
-        scored.append(table.select("lang", "id", "phrase", "f", F.least(*cuts).alias("cut") if length > 2
-                                   else cuts[0].alias("cut")))
+        cut = F.least(*cuts) if length > 2 else cuts[0]
+        scored.append(table.select(F.lit(length).alias("length"), "number", "lang", "phrase", "f", cut.alias("cut")))
     union = scored[0]
     for more in scored[1:]:
         union = union.unionByName(more)
     # what holds a phrase of all longer ones holds its next longer ones too
     longer = None
-    for table in tables[2:]:
-        halves = table.select(F.explode(F.array("left", "right")).alias("id"), F.col("f").alias("inside"))
+    for length, table in enumerate(tables[2:], start=2):
+        halves = table.select(
+            F.lit(length).alias("length"), F.explode(F.array("left", "right")).alias("number"),
+            F.col("f").alias("inside"))
         longer = halves if longer is None else longer.unionByName(halves)
     if longer is not None:
-        most = longer.groupBy("id").agg(F.max("inside").alias("inside"))
-        union = union.join(most, "id", "left").where(
+        most = longer.groupBy("length", "number").agg(F.max("inside").alias("inside"))
+        union = union.join(most, ["length", "number"], "left").where(
             F.col("inside").isNull() | (100 * F.col("inside") < CONTAINED * F.col("f")))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = union.select(

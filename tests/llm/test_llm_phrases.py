@@ -1,13 +1,12 @@
 import re
 from collections import Counter
 
-import numpy as np
 from conftest import SMALL
 from corpus import LOWER, awkward
 from pyspark.sql import functions as F
 
 from lodeworks.llm import phrases
-from lodeworks.llm.phrases import collocations, pair_ids
+from lodeworks.llm.phrases import collocations
 
 COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
@@ -42,7 +41,7 @@ def result(docs, *more):
     return sorted(tuple(r[c] for c in COLUMNS) for r in collocations(docs, *more).collect())
 
 
-def test_phrases_equal_brute_force_on_the_given_documents(spark, monkeypatch):
+def test_phrases_equal_brute_force_on_the_given_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").repartition(3)
     rows = [(r["lang"], r["text"]) for r in docs.collect()]
     wanted = brute_force(rows)
@@ -69,11 +68,15 @@ def test_scores_pass_64_bits(spark):
     assert got == 1_000_000
 
 
-def test_pair_ids_are_those_of_sql(spark):
-    values = np.random.default_rng(3).integers(-(1 << 63), (1 << 63) - 1, (50, 2))
-    rows = spark.createDataFrame([tuple(map(int, v)) for v in values], "a long, b long")
-    got = [r[0] for r in rows.select(F.xxhash64("a", "b")).collect()]
-    assert pair_ids(values[:, 0], values[:, 1]).tolist() == got
+def test_phrases_are_numbered_apart_in_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "ROWS_PER_BUCKET", 50)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60).repartition(5)
+    tables, _ = phrases.frequent_phrases(docs, 3, 4)
+    for t in tables:
+        rows = t.collect()
+        assert len({r["number"] for r in rows}) == len(rows) == len({(r["lang"], r["phrase"]) for r in rows}) > 20
+    rows = [(r["lang"], r["text"]) for r in docs.collect()]
+    assert result(docs, 3, 4, 50) == brute_force(rows, 3, 4, 50)
 
 
 def test_blocks_keep_pieces_and_languages_apart():
