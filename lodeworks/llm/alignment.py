@@ -36,7 +36,9 @@ from lodeworks.session import stage_table
 #: Key buckets; each holds that share of all possible pairs of ids at most.
 BUCKETS = 64
 #: Bytes of text that are aligned at once; the more, the fewer units come again.
-SLICE_BYTES = 1 << 24
+SLICE_BYTES = 1 << 23
+#: Units that are encoded at once.
+_UNITS = 1 << 14
 #: Distinct pairs that a task holds before it hands its partial counts on.
 PART_KEYS = 1 << 20
 #: Keys whose counts the second pass has in memory at once; more are taken in several rounds.
@@ -102,6 +104,11 @@ def _splits(tokens: list[bytes]) -> bool:
     return not any(b == 32 and 33 <= a <= 126 for t in tokens for a, b in zip(t, t[1:]))
 
 
+def _flat_lists(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int64, sizes.sum()), sizes
+
+
 class Aligned(NamedTuple):
     """The distinct units of a slice of texts, aligned."""
 
@@ -135,23 +142,28 @@ class Aligner:
         cut = np.zeros(len(data), bool)
         cut[1:] = (data[1:] == 32) & (data[:-1] >= 33) & (data[:-1] <= 126)
         codes, first, units = distinct_parts(data, offsets, cut)
-        a, b = self.a.encode(units), self.b.encode(units)
-        ta, tb = self.a.tokens, self.b.tokens
         good = np.zeros(len(units), bool)
-        for u, (unit, x, y) in enumerate(zip(units, a, b, strict=True)):
-            raw = unit.encode()
-            good[u] = b"".join([ta[i] for i in x]) == raw and b"".join([tb[i] for i in y]) == raw
-        for u in np.flatnonzero(~good):
-            a[u], b[u] = [], []
+        parts = []
+        for low in range(0, len(units), _UNITS):  # lists of ids take far more room than arrays
+            own = units[low:low + _UNITS]
+            a, b = self.a.encode(own), self.b.encode(own)
+            for u, (unit, x, y) in enumerate(zip(own, a, b, strict=True)):
+                raw = unit.encode()
+                good[low + u] = (b"".join([self.a.tokens[i] for i in x]) == raw
+                                 and b"".join([self.b.tokens[i] for i in y]) == raw)
+            for u in np.flatnonzero(~good[low:low + _UNITS]):
+                a[u], b[u] = [], []
+            parts.append([_flat_lists(x) for x in (a, b)])
         bad = np.zeros(len(codes) + 1, np.int64)
         np.cumsum(~good[codes], out=bad[1:])
         whole = (bad[first[1:]] == bad[first[:-1]]) & ~empty
-        return Aligned(codes, first, whole, *self._units(a, b, with_groups))
+        sides = [[np.concatenate([np.zeros(0, np.int64), *(p[side][i] for p in parts)]) for i in (0, 1)]
+                 for side in (0, 1)]
+        return Aligned(codes, first, whole, *self._units(*sides, with_groups))
 
-    def _units(self, a: list[list[int]], b: list[list[int]], with_groups: bool) -> tuple:
-        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
-        ids_a = np.fromiter(chain.from_iterable(a), np.int64, n_a.sum())
-        ids_b = np.fromiter(chain.from_iterable(b), np.int64, n_b.sum())
+    def _units(self, a: list[np.ndarray], b: list[np.ndarray], with_groups: bool) -> tuple:
+        """From the ids of all units, one after the other, and how many each unit has."""
+        (ids_a, n_a), (ids_b, n_b) = a, b
         size_a = np.array([len(t) for t in self.a.tokens])
         size_b = np.array([len(t) for t in self.b.tokens])
         end_a, end_b = np.cumsum(size_a[ids_a]), np.cumsum(size_b[ids_b])
@@ -160,15 +172,15 @@ class Aligner:
         first_a = np.append(0, np.searchsorted(end_a, ends, "right"))
         first_b = np.append(0, np.searchsorted(end_b, ends, "right"))
         unit_ends = np.append(0, np.cumsum(np.bincount(
-            np.repeat(np.arange(len(a)), n_a), weights=size_a[ids_a], minlength=len(a)).astype(np.int64)))
+            np.repeat(np.arange(len(n_a)), n_a), weights=size_a[ids_a], minlength=len(n_a)).astype(np.int64)))
         group_first = np.searchsorted(ends, unit_ends, "right")
         group_first[0] = 0
         per_group = np.diff(first_a) * np.diff(first_b)
         keys, times, owner = self._links(ids_a, ids_b, first_a, first_b)
         n_groups = np.diff(group_first)
         links = np.append(0, np.cumsum(per_group))[group_first]
-        unit_of_group = np.repeat(np.arange(len(a)), n_groups)
-        key_first = np.searchsorted(unit_of_group[owner], np.arange(len(a) + 1))
+        unit_of_group = np.repeat(np.arange(len(n_a)), n_groups)
+        key_first = np.searchsorted(unit_of_group[owner], np.arange(len(n_a) + 1))
         return (n_a, n_b, n_groups, np.diff(links), keys, times, key_first,
                 self._texts(ids_a, ids_b, first_a, first_b, n_a + n_b) if with_groups else [])
 
