@@ -3,7 +3,8 @@
 P(grade > k) = sigmoid(w.x - theta_k): one weight a term, shared by all ordered thresholds.
 Features are log counts of the terms that set toxic rows apart: words (letter runs, A-Z as
 a-z) and the first 4, 5 or 6 bytes of longer words, told apart by a hash of ``HASH_BITS`` bits. The model is fitted on a bounded sample of the
-labelled rows and scores every document in one pass without a shuffle.
+labelled rows and scores every document in one pass without a shuffle. Penalty and limit are
+those that do best on parts of the sample left out of choosing terms and fitting.
 
 Labels that have no ``severity`` are graded from ``toxic``: 0 stays 0, and toxic rows are
 grade 1 or 2 by whether marking terms are less or more dense in them than in their median.
@@ -27,9 +28,10 @@ HASH_BITS = 18
 _STEMS = (4, 5, 6)
 #: Terms kept as features, and toxic texts a term must occur in.
 FEATURES, MIN_TEXTS = 512, 5
-PENALTY = 5e-5
-#: Expected chance of a grade above 0 from which a document counts as toxic.
-TOXIC_FROM = 0.5
+#: Penalties tried, parts of the sample and steps of a trial; the better on rows left out is taken.
+PENALTIES, PARTS, TRIAL_STEPS = (5e-5, 5e-4, 2e-3), 3, 250
+#: Clean rows left out that may count as toxic, and the least chance of a grade above 0 that counts.
+WRONG_SHARE, TOXIC_FROM = 0.01, 0.5
 _BREAKS = np.ones(256, bool)
 _BREAKS[65:91] = _BREAKS[97:123] = _BREAKS[0x80:] = False
 
@@ -38,6 +40,7 @@ class Model(NamedTuple):
     buckets: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
+    toxic_from: float = TOXIC_FROM
 
 
 def _terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,7 +86,7 @@ def chances(margin: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
 
 def fit_ordinal(
     rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grades: np.ndarray, n_features: int,
-    penalty: float = PENALTY, steps: int = 800,
+    penalty: float = PENALTIES[0], steps: int = 800,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of sparse rows by penalised likelihood (Adam)."""
     top = max(int(grades.max()), 1)
@@ -137,15 +140,33 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     if not len(found) or not (grades > 0).any():
         return Model(np.zeros(0, np.int64), np.zeros(0), np.array([np.inf]))
     rows = np.repeat(np.arange(len(found)), found["buckets"].map(len))
-    buckets = np.concatenate(found["buckets"].to_list()).astype(np.int64)
-    counts = np.concatenate(found["counts"].to_list()).astype(float)
-    toxic = grades > 0
-    size = 1 << HASH_BITS
+    sample_terms = Terms(
+        rows, np.concatenate(found["buckets"].to_list()).astype(np.int64),
+        np.concatenate(found["counts"].to_list()).astype(float), found["n"].to_numpy(), grades, graded)
+    penalty, toxic_from = _tuned(sample_terms)
+    return _fitted(sample_terms, np.ones(len(grades), bool), penalty)._replace(toxic_from=toxic_from)
+
+
+class Terms(NamedTuple):
+    """The sample: text, bucket and count of each term, words and grade of each text."""
+
+    rows: np.ndarray
+    buckets: np.ndarray
+    counts: np.ndarray
+    words: np.ndarray
+    grades: np.ndarray
+    graded: bool
+
+
+def _fitted(terms: Terms, use: np.ndarray, penalty: float, steps: int = 800) -> Model:
+    """Terms chosen and weights fitted on the texts of ``use`` alone."""
+    at = use[terms.rows]
+    rows, buckets, counts = terms.rows[at], terms.buckets[at], terms.counts[at]
+    toxic, size = terms.grades > 0, 1 << HASH_BITS
     hit = np.bincount(buckets[toxic[rows]], minlength=size)
     told = np.bincount(buckets, counts * toxic[rows], minlength=size)
     other = np.bincount(buckets, counts, minlength=size) - told
-    words = found["n"].to_numpy()
-    scale = max(words[~toxic].sum(), 1) / max(words[toxic].sum(), 1)
+    scale = max(terms.words[use & ~toxic].sum(), 1) / max(terms.words[use & toxic].sum(), 1)
     # log ratio of the rates in toxic and other texts, weighed by how many toxic texts agree
     odds = np.log((told + 0.5) / (other + 0.5) * scale)
     strength = np.where(hit >= MIN_TEXTS, odds * np.sqrt(hit), -np.inf)
@@ -155,41 +176,68 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     place[chosen] = np.arange(len(chosen))
     keep = place[buckets] >= 0
     rows, columns, counts = rows[keep], place[buckets[keep]], counts[keep]
-    if not graded:
+    grades = terms.grades
+    if not terms.graded:
         telling = odds[chosen][columns] > 2
-        dense = np.bincount(rows[telling], counts[telling], minlength=len(grades)) / np.maximum(
-            words, 1)
-        grades = np.where(toxic, 1 + (dense > np.median(dense[toxic])), 0)
-    weights, thresholds = fit_ordinal(rows, columns, np.log1p(counts), grades, len(chosen))
+        dense = np.bincount(rows[telling], counts[telling], minlength=len(grades)) / np.maximum(terms.words, 1)
+        grades = np.where(toxic, 1 + (dense > np.median(dense[use & toxic])), 0)
+    number = np.cumsum(use) - 1
+    weights, thresholds = fit_ordinal(
+        number[rows], columns, np.log1p(counts), grades[use], len(chosen), penalty, steps)
     return Model(chosen, weights, thresholds)
 
 
-def margins(column: pa.Array, model: Model) -> np.ndarray:
-    """Weighted sum of each text."""
-    owners, buckets, n_words = _terms(column)
+def _tuned(terms: Terms) -> tuple[float, float]:
+    """Penalty and limit that do best on texts left out of choosing terms and of fitting."""
+    toxic, n = terms.grades > 0, len(terms.grades)
+    part = np.arange(n) % PARTS
+    best = None
+    for penalty in PENALTIES:
+        chance = np.zeros(n)
+        for left in range(PARTS):
+            if not (toxic & (part != left)).any():
+                return PENALTIES[0], TOXIC_FROM
+            model = _fitted(terms, part != left, penalty, TRIAL_STEPS)
+            out = part[terms.rows] == left
+            margin = _weighted(terms.rows[out], terms.buckets[out], terms.counts[out], model, n)
+            chance[part == left] = chances(margin, model.thresholds)[part == left, 0]
+        sure = np.clip(np.where(toxic, chance, 1 - chance), 1e-6, 1)
+        loss = -np.log(sure).mean()
+        if best is None or loss < best[0]:
+            clean = np.sort(chance[~toxic])
+            over = clean[max(len(clean) - 1 - int(WRONG_SHARE * len(clean)), 0)] if len(clean) else 0.0
+            best = (loss, penalty, float(np.clip(over * (1 + 1e-9), TOXIC_FROM, 0.95)))
+    return best[1:]
+
+
+def _weighted(rows: np.ndarray, buckets: np.ndarray, counts: np.ndarray, model: Model, n: int) -> np.ndarray:
     place = np.full(1 << HASH_BITS, -1)
     place[model.buckets] = np.arange(len(model.buckets))
     own = place[buckets]
     held = own >= 0
-    if not held.any():
-        return np.zeros(len(n_words))
-    k = len(model.buckets)
-    pairs, counts = np.unique(owners[held] * k + own[held], return_counts=True)
-    return np.bincount(
-        pairs // k, model.weights[pairs % k] * np.log1p(counts), minlength=len(n_words))
+    return np.bincount(rows[held], model.weights[own[held]] * np.log1p(counts[held]), minlength=n)
 
 
-def grade_documents(docs: DataFrame, model: Model, toxic_from: float = TOXIC_FROM) -> DataFrame:
+def margins(column: pa.Array, model: Model) -> np.ndarray:
+    """Weighted sum of each text."""
+    owners, buckets, n_words = _terms(column)
+    pairs, counts = np.unique(owners << HASH_BITS | buckets, return_counts=True)
+    return _weighted(pairs >> HASH_BITS, pairs & ((1 << HASH_BITS) - 1), counts, model, len(n_words))
+
+
+def grade_documents(docs: DataFrame, model: Model, toxic_from: float | None = None) -> DataFrame:
     """doc_id, expected_severity, grade, toxic, kept: one row per document.
 
     The grade is the most likely one; kept is the opposite of toxic. Null and empty texts have
     no words and get the grade of such a text. Repeated rows and ids are scored row by row.
     """
+    limit = model.toxic_from if toxic_from is None else toxic_from
+
     def score(batches):
         for batch in slices(batches, "text"):
             above = chances(margins(batch.column(1), model), model.thresholds)
             ends = np.column_stack([np.ones(len(above)), above, np.zeros(len(above))])
-            toxic = above[:, 0] >= toxic_from
+            toxic = above[:, 0] >= limit
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(np.round(above.sum(axis=1), 6)),
                 pa.array((ends[:, :-1] - ends[:, 1:]).argmax(axis=1), pa.int32()), pa.array(toxic),
