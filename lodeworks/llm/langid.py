@@ -24,16 +24,19 @@ from lodeworks.llm.words import FOLDED, slices, text_bytes
 from lodeworks.session import stage_table
 
 GRAM_BITS = 14
-#: Languages with a smaller share of the labelled trigrams are not told apart; bounds the model.
-MIN_SHARE = 0.001
+#: Languages with fewer labelled trigrams are too little known to be told apart; the languages
+#: with most trigrams that one model holds.
+MIN_GRAMS, LANGUAGES = 2000, 1000
 #: Trigrams of a text count as at most so many independent ones.
 EFFECTIVE_GRAMS = 60
 #: Pages that the coarser level weighs as much as, and added counts of declarations.
 PRIOR_PAGES, ADDED = 5.0, 0.5
 _HELD = 64
 
-_HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<[^>]*>")
 _DECLARED = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})")
+_UNSEEN = re.compile(r"(?i)<(script|style|noscript|template)\b")
+_UNSEEN_END = {
+    x: re.compile(rf"(?i)</{x}\s*>") for x in ("script", "style", "noscript", "template")}
 _HOST = re.compile(r"(?i)^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)")
 _PLAIN = np.zeros(256, bool)
 _PLAIN[65:91] = _PLAIN[97:123] = _PLAIN[0x80:] = True
@@ -44,9 +47,44 @@ class Trigrams(NamedTuple):
     log_rates: np.ndarray
 
 
+def read_page(page: str) -> tuple[str, str]:
+    """Text between the tags, with entities resolved, and the language that the page declares.
+
+    One pass over the whole page: comments and the insides of scripts and the like are skipped,
+    so neither holds a declaration. An end that was not found once is not sought again.
+    """
+    out, at, declared, missing = [], 0, "", set()
+    while (start := page.find("<", at)) >= 0:
+        end = -1
+        if page.startswith("<!--", start):
+            if "" not in missing:
+                end = page.find("-->", start + 4) + 3
+                if end < 3:
+                    missing.add("")
+                    end = -1
+        elif (unseen := _UNSEEN.match(page, start)) and unseen.group(1).lower() not in missing:
+            name = unseen.group(1).lower()
+            close = _UNSEEN_END[name].search(page, unseen.end())
+            if close is None:
+                missing.add(name)
+            else:
+                end = close.end()
+        if end < 0:
+            end = page.find(">", start + 1) + 1
+            if not end:
+                break
+            if not declared and page[start + 1:start + 5].lower() == "html":
+                found = _DECLARED.match(page[start:end])
+                declared = found.group(1).lower() if found else ""
+        out += [page[at:start], " "]
+        at = end
+    out.append(page[at:])
+    return html_entities.unescape("".join(out)), declared
+
+
 def visible_text(page: str) -> str:
     """Text between the tags, with entities resolved."""
-    return html_entities.unescape(_HIDDEN.sub(" ", page))
+    return read_page(page)[0]
 
 
 def host_parts(url: str | None) -> tuple[str, str, str]:
@@ -97,11 +135,11 @@ def _gram_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def train(docs: DataFrame, min_share: float = MIN_SHARE) -> Trigrams:
+def train(docs: DataFrame, min_grams: int = MIN_GRAMS) -> Trigrams:
     """Trigram rates of the languages of all labelled documents (lang, text).
 
     Null languages and texts are left out. A fixed number of buckets for each of at most
-    1 / min_share languages comes to the driver.
+    LANGUAGES languages comes to the driver.
     """
     sums = (
         docs.select("lang", "text").where("lang is not null and text is not null")
@@ -110,9 +148,8 @@ def train(docs: DataFrame, min_share: float = MIN_SHARE) -> Trigrams:
     )
     sums = stage_table(sums, "trigrams")
     totals = {r["lang"]: r["n"] for r in sums.groupBy("lang").agg(F.sum("total").alias("n")).orderBy(
-        F.desc("n"), "lang").limit(int(1 / min_share)).collect()}
-    everything = sum(totals.values())
-    languages = sorted(x for x, n in totals.items() if n and n >= min_share * everything)
+        F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    languages = sorted(x for x, n in totals.items() if n >= min_grams)
     rates = np.full((len(languages), 1 << GRAM_BITS), 0.5)
     for row in sums.where(F.col("lang").isin(languages)).collect():
         rates[languages.index(row["lang"]), row["bucket"]] += row["total"]
@@ -126,14 +163,14 @@ def _evidence(pages: DataFrame, model: Trigrams) -> DataFrame:
     def read(batches):
         rates = shared.value.log_rates
         for batch in slices(batches, "html"):
-            htmls = [h or "" for h in batch.column(2).to_pylist()]
-            texts = pa.array([visible_text(h) for h in htmls], pa.string())
+            htmls = [read_page(h or "") for h in batch.column(2).to_pylist()]
+            texts = pa.array([text for text, _ in htmls], pa.string())
             owners, buckets = trigram_buckets(texts)
             n = np.bincount(owners, minlength=len(htmls))
             weight = np.minimum(n, EFFECTIVE_GRAMS) / np.maximum(n, 1)
             scores = np.column_stack([
                 np.bincount(owners, r[buckets], minlength=len(htmls)) * weight for r in rates])
-            declared = [m.group(1).lower() if (m := _DECLARED.search(h[:4096])) else "" for h in htmls]
+            declared = [lang for _, lang in htmls]
             parts = [host_parts(u) for u in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), *(pa.array([p[i] for p in parts], pa.string()) for i in range(3)),
