@@ -7,9 +7,8 @@ which a document weighs as much as ``VOTE_WORDS`` words and ``VOTE_CHARS`` code
 most, so that a few very long ones do not make the language; words are told apart by a hash of ``WORD_BITS`` bits, which bounds what a task holds and
 shuffles to one fixed table per language.
 
-Guards: a document of fewer than ``min_words`` words, or of a language that holds less than
-``min_share`` of all words (so that at most 1 / min_share references exist), is not judged
-by distance. Histograms of few words are noisy, so a limit grows by ``slack / sqrt(n)``.
+Guards: a document of fewer than ``min_words`` words, or of a language that has fewer than
+``reference_words`` such weighed words in all, is not judged by distance. Histograms of few words are noisy, so a limit grows by ``slack / sqrt(n)``.
 """
 
 from __future__ import annotations
@@ -29,7 +28,9 @@ from lodeworks.llm.words import (
 WORD_BITS = 14
 COMMON_WORDS = 100
 MIN_WORDS = 50
-MIN_SHARE = 0.001
+#: Weighed words that make a reference, however large other languages are; the languages with
+#: most words that have one.
+REFERENCE_WORDS, LANGUAGES = 1000, 1000
 VOTE_WORDS = 500
 VOTE_CHARS = 3000
 _UNIT = 1 << 14  # weights are whole numbers, so sums do not depend on their order
@@ -83,7 +84,7 @@ def _buckets(hashes: np.ndarray) -> np.ndarray:
 
 
 def _weights(sizes: np.ndarray, most: int) -> np.ndarray:
-    return np.minimum(sizes, most) * _UNIT // np.maximum(sizes, 1)
+    return np.maximum(np.minimum(sizes, most) * _UNIT // np.maximum(sizes, 1), 1)
 
 
 def _language_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,11 +124,11 @@ def _language_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def references(
-    docs: DataFrame, common_words: int = COMMON_WORDS, min_share: float = MIN_SHARE,
+    docs: DataFrame, common_words: int = COMMON_WORDS, reference_words: int = REFERENCE_WORDS,
 ) -> dict[str, Reference]:
-    """References of all languages that hold at least ``min_share`` of the words.
+    """References of all languages that have ``reference_words`` words or more.
 
-    Reads ``lang`` and ``text`` of every document. At most 1 / min_share languages come to
+    Reads ``lang`` and ``text`` of every document. At most LANGUAGES languages come to
     the driver, each as a fixed number of figures. Null languages have no reference.
     """
     sums = (
@@ -144,11 +145,8 @@ def references(
             F.max("words").alias("words"),
             F.sort_array(F.collect_list(F.struct("bin", "total"))).alias("bins"))
     )
-    everything = Window.partitionBy()  # one row per language
-    rows = (
-        ranked.withColumn("share", F.col("words") / F.sum("words").over(everything))
-        .where(F.col("share") >= min_share).collect()
-    )
+    rows = ranked.where(F.col("words") >= reference_words * _UNIT).orderBy(
+        F.desc("words"), "lang").limit(LANGUAGES).collect()
     out = {}
     for row in rows:
         classes = np.zeros(_CLASSES)
