@@ -212,9 +212,11 @@ def read_records(selected: DataFrame, with_payload: bool = True) -> DataFrame:
     null, its payload_bytes is that of the page it stands for. A broken record fails the job.
     """
     stretch = F.floor(F.col("offset") / READ_BYTES)
+    # index rows are small whatever they point at, so tasks are counted by the bytes to read
+    total = selected.agg(F.sum("length")).first()[0] or 0
     ranges = (
         selected.select("path", "offset", "length").withColumn("stretch", stretch)
-        .repartition("path", "stretch").sortWithinPartitions("path", "offset")
+        .repartition(total // READ_BYTES + 1, "path", "stretch").sortWithinPartitions("path", "offset")
         .select("path", "offset", "length")
     )
 
