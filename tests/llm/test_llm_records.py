@@ -2,21 +2,23 @@ import gzip
 import io
 import os
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import SMALL
+from conftest import MEDIUM, SMALL
 from corpus import awkward
 from pyspark.sql import functions as F
 
 from lodeworks.llm import warc
 from lodeworks.llm.components import components
 from lodeworks.llm.decontam import item_windows, leaks, without_leaks
-from lodeworks.llm.langid import host_parts, identify, train, visible_text
+from lodeworks.llm.langid import host_parts, identify, read_page, train, visible_text
 from lodeworks.llm.secret_scan import mask_secrets, scan
 from lodeworks.llm.sharding import fill_table, place, slot_of
-from lodeworks.llm.toxicity import fit_ordinal, grade_documents
+from lodeworks.llm.toxicity import PENALTIES, Terms, fit_ordinal, grade_documents
+from lodeworks.llm.toxicity import _tuned as tuned
 from lodeworks.llm.toxicity import train as train_toxicity
 
 
@@ -208,13 +210,20 @@ def test_declaration_and_host_decide_where_text_is_silent(spark):
 def test_page_parts():
     assert host_parts("https://u:p@News.Example.CO.uk:80/x?y#z") == ("news.example.co.uk", "co.uk", "uk")
     assert host_parts(None) == host_parts("no address") == ("", "", "")
+    assert read_page("<!-- " + "x" * 9000 + "--><HTML lang='fr'>a") == ("  a", "fr")
+    assert read_page('<!-- <html lang="de"> --><script><html lang="es"></script><html lang="fr">')[1] == "fr"
+    assert read_page('<html><html id=x lang=pt-BR>a < b <unended')[1:] == ("pt",)
+    for part in ("<script ", "<!-- ", "<", "<html ", "</script ", "<style>"):
+        started = time.monotonic()
+        read_page(part * (2_000_000 // len(part)))
+        assert time.monotonic() - started < 5, part
     assert visible_text("<script>a<b</script>x<!-- > -->&amp;<style>p</style>y").split() == ["x", "&", "y"]
 
 
 # secrets
 
 def test_secrets_are_told_from_other_long_runs(spark):
-    docs = table(spark, "documents")
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     planted = {
         (i, m.start(1)) for i, t in texts.items() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)}
@@ -274,13 +283,48 @@ def test_toxicity_of_awkward_rows(spark):
     assert len(train_toxicity(awkward(spark), graded).thresholds) in (1, 3)
 
 
+def test_limits_are_chosen_on_rows_left_out():
+    rng = np.random.default_rng(6)
+    n, held = 600, 12
+    toxic = np.arange(n) % 10 == 0
+    buckets = np.where(np.repeat(toxic, held)[:, None], rng.integers(0, 40, (n * held, 1)), rng.integers(30, 400, (n * held, 1)))
+    terms = Terms(np.repeat(np.arange(n), held), buckets.ravel(), np.ones(n * held), np.full(n, held),
+                  toxic.astype(np.int64) * 2, True)
+    penalty, limit = tuned(terms)
+    assert penalty in PENALTIES and 0.5 <= limit <= 0.95
+    assert tuned(terms._replace(grades=np.where(np.arange(n) == 0, 2, 0))) == (PENALTIES[0], 0.5)
+
+
 # pipeline
 
+def test_pipeline_stages_tell_rows_without_or_with_equal_ids_apart(spark):
+    import corpus_pipeline as pipeline
+
+    words = [f"w{i}" for i in range(100)]
+    near = [*words[:90], *[f"z{i}" for i in range(10)]]  # 86 of 106 shingles shared
+    token = 'token = "' + "0f1e2d3c4b" * 4 + '"'
+    texts = [(None, " ".join(words)), (None, " ".join(words)), (5, " ".join(near)), (5, "other " + " ".join(words[::-1])),
+             (5, "other " + " ".join(words[::-1])), (6, None), (None, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("_own", F.lit(1))
+    left = pipeline.near_duplicate_groups(spark, docs, SMALL)
+    assert left.columns == docs.columns
+    assert sorted(len(r["text"] or "") for r in left.collect()) == [0, 0, len(" ".join(words)), len(texts[3][1])]
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first()["text"]
+    leaky = spark.createDataFrame(
+        [(None, f"so {item} it is"), (None, "clean words only"), (7, f"so {item} it is"), (7, "clean too")],
+        "doc_id long, text string")
+    kept = pipeline.benchmark_leaks(spark, leaky, SMALL).collect()
+    assert sorted(r["text"] for r in kept) == ["clean too", "clean words only"]
+    hidden = spark.createDataFrame([(None, f"a {token}"), (8, f"bb {token}"), (8, "plain"), (8, None)],
+                                   "doc_id long, text string")
+    got = pipeline.secrets(spark, hidden, SMALL).collect()
+    assert sorted(str(r["text"]) for r in got) == ["None", 'a token = "<SECRET>"', 'bb token = "<SECRET>"', "plain"]
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as pipeline
 
     documents = table(spark, "documents")
-    docs = documents.unionByName(awkward(spark).select(documents.columns).where("doc_id is null or doc_id <> 8"))
+    docs = documents.unionByName(awkward(spark).select(documents.columns))
     counts = [docs.count()]
     for name, stage in pipeline.STAGES:
         before = docs
