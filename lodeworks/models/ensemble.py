@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodeworks.functions.numeric import clip, score_100
-from lodeworks.models.learners import fitted_learner, selected_preparation
+from lodeworks.models.learners import fitted_learner, selected_preparation, training_quartiles
 from lodeworks.operators.columns import aligned
 from lodeworks.operators.exact import quantile
 from lodeworks.operators.metrics import model_agreement, regression_metrics, roc_auc
@@ -78,9 +78,9 @@ def _predict(preparation, models: dict, df: DataFrame, keep: list[str]) -> DataF
     return out.select(*keep, *[F.col(f"raw_{n}").alias(n) for n in sorted(models)])
 
 
-def _fit_all(train: DataFrame, features, label, learners, prepare: Callable):
+def _fit_all(train: DataFrame, features, label, learners, prepare: Callable, quartiles: dict):
     rows = train.count()
-    preparation = prepare(train, features, label, rows)
+    preparation = prepare(train, features, label, rows, quartiles)
     # The boosted learner reads its input once per round, so it is kept, in no
     # more tasks than its rows are worth.
     tasks = max(1, math.ceil(rows / ROWS_PER_TASK))
@@ -98,18 +98,22 @@ def _fit_all(train: DataFrame, features, label, learners, prepare: Callable):
 def out_of_fold(
     df: DataFrame, features: list[str], label: str, learners: dict, key: str = "hole_id",
     fold: str = "fold", prepare: Callable = selected_preparation, parallel: int = 5,
+    quartiles: dict | None = None,
 ) -> DataFrame:
     """Each row predicted by models that never saw its fold.
 
-    Medians, selection and scaling are fit on the training folds only.
-    ``df`` should be staged. Folds are fitted ``parallel`` at a time.
+    Medians, selection and scaling are fit on the training folds only; the order statistics of
+    all training sets (``quartiles``) come from one search over ``df``, which should be staged.
+    Folds are fitted ``parallel`` at a time.
     """
-    folds = sorted(r[fold] for r in df.select(fold).distinct().collect())
+    if quartiles is None:
+        quartiles = training_quartiles(df, features, fold)
+    folds = sorted(k for k in quartiles if k is not None)
     keep = [key, label, fold]
 
     def one(number):
         train = df.filter(F.col(fold) != number)
-        preparation, models = _fit_all(train, features, label, learners, prepare)
+        preparation, models = _fit_all(train, features, label, learners, prepare, quartiles[number])
         return _predict(preparation, models, df.filter(F.col(fold) == number), keep)
 
     # Each task gets its own copy of the job properties.
@@ -158,7 +162,8 @@ def train_ensemble(
     fold: str = "fold", prepare: Callable = selected_preparation,
 ) -> tuple[Ensemble, DataFrame]:
     """Fit the ensemble; returns it with the staged out-of-fold table."""
-    oof = out_of_fold(df, features, label, learners, key, fold, prepare)
+    quartiles = training_quartiles(df, features, fold)
+    oof = out_of_fold(df, features, label, learners, key, fold, prepare, quartiles=quartiles)
     scores = {
         r["model"]: r["r2"] if r["r2"] is not None else float("-inf")
         for r in regression_metrics(oof, label, sorted(learners)).collect()
@@ -166,7 +171,7 @@ def train_ensemble(
     names = qualified(scores)
     stacked = stage_table(stacked_out_of_fold(oof, names, label, fold), "stacked")
     preparation, models = _fit_all(
-        df, features, label, {n: learners[n] for n in names}, prepare)
+        df, features, label, {n: learners[n] for n in names}, prepare, quartiles[None])
     stacker = ridge(oof, names, label)
     metrics = evaluate(stacked, names, label)
     metrics["model_scores"] = scores

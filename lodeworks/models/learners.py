@@ -16,7 +16,8 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeworks.operators.columns import medians, robust_statistics
+from lodeworks.operators.columns import medians, robust_ranges, robust_statistics
+from lodeworks.operators.exact import held_out_quantiles
 
 SEED = 42
 FEATURES = "features"
@@ -106,17 +107,30 @@ def _imputer(values: dict[str, float], features: list[str]) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *, {columns} FROM __THIS__")
 
 
+def training_quartiles(df: DataFrame, features: list[str], fold: str) -> dict:
+    """Quartiles of each feature over all rows, and over those outside each fold."""
+    return held_out_quantiles(df, features, [0.25, 0.5, 0.75], fold)
+
+
+def _middles(quartiles: dict[str, list]) -> dict[str, float]:
+    return {c: q[1] if q[1] is not None else 0.0 for c, q in quartiles.items()}
+
+
 def selected_preparation(
-    train: DataFrame, features: list[str], label: str, rows: int
+    train: DataFrame, features: list[str], label: str, rows: int, quartiles: dict | None = None,
 ) -> PipelineModel:
-    """Median imputation, univariate selection and standardisation, fit on ``train``."""
+    """Median imputation, univariate selection and standardisation, fit on ``train``.
+
+    ``quartiles`` are those of ``train`` where they are known already.
+    """
+    middles = medians(train, features) if quartiles is None else _middles(quartiles)
     top = min(len(features), max(10, rows // 2))
     selector = UnivariateFeatureSelector(
         featuresCol="raw_vector", labelCol=label, outputCol="chosen_vector",
         selectionMode="numTopFeatures",
     ).setFeatureType("continuous").setLabelType("continuous").setSelectionThreshold(top)
     return Pipeline(stages=[
-        _imputer(medians(train, features), features),
+        _imputer(middles, features),
         VectorAssembler(inputCols=["in_" + c for c in features], outputCol="raw_vector"),
         selector,
         StandardScaler(
@@ -125,10 +139,10 @@ def selected_preparation(
 
 
 def component_preparation(
-    train: DataFrame, features: list[str], label: str, rows: int
+    train: DataFrame, features: list[str], label: str, rows: int, quartiles: dict | None = None,
 ) -> PipelineModel:
     """Median imputation, exact robust scaling and centred principal components."""
-    stats = robust_statistics(train, features)
+    stats = robust_statistics(train, features) if quartiles is None else robust_ranges(quartiles)
     middles = {c: mid for c, (mid, _) in stats.items()}
     scaled = ", ".join(
         f"({_quoted('in_' + c)} - {mid!r}D) / {width!r}D AS {_quoted('sc_' + c)}"

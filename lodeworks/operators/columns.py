@@ -117,10 +117,13 @@ def matrix_columns(columns: list[str], features: list[str]) -> list[str]:
 
 def robust_statistics(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """Median and interquartile range per column (range 1 where it is 0)."""
-    found = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+    return robust_ranges(exact_quantiles(df, columns, [0.25, 0.5, 0.75]))
+
+
+def robust_ranges(quartiles: dict[str, list]) -> dict[str, tuple[float, float]]:
     return {
         c: (q[1] or 0.0, ((q[2] - q[0]) or 1.0) if q[0] is not None else 1.0)
-        for c, q in found.items()
+        for c, q in quartiles.items()
     }
 
 

@@ -130,6 +130,116 @@ def quantile(df: DataFrame, column: str, p: float) -> float | None:
     return exact_quantiles(df, [column], [p])[column][0]
 
 
+class _Search:
+    """The values at some ranks of one column, by cells that are cut finer round after round."""
+
+    def __init__(self, sizes: dict, ranks: list[tuple]):
+        self.sizes = sizes  # values of each fold
+        # a target: the fold left out (None: none), the rank, its bracket, values below that
+        self.open = {t: (-math.inf, math.inf, {f: 0 for f in sizes}) for t in ranks}
+        self.found = {}
+
+    def brackets(self) -> list[tuple[float, float]]:
+        return sorted({(low, high) for low, high, _ in self.open.values()})
+
+    def narrow(self, cells: dict[tuple, list]) -> None:
+        """``cells`` has, per bracket, rows (cell, fold, n, least, most) in any order."""
+        for target, (low, high, below) in list(self.open.items()):
+            left_out, rank = target
+            seen, groups = dict(below), {}
+            for cell, fold, n, least, most in cells.get((low, high), ()):
+                groups.setdefault(cell, []).append((fold, n, least, most))
+            for cell in sorted(groups):
+                held = {}
+                for fold, n, _, _ in groups[cell]:
+                    held[fold] = held.get(fold, 0) + n
+                upto = sum(n + held.get(f, 0) for f, n in seen.items() if f != left_out)
+                if rank < upto:
+                    ends = (min(g[2] for g in groups[cell]), max(g[3] for g in groups[cell]))
+                    if ends[0] == ends[1]:
+                        self.found[target] = ends[0]
+                        del self.open[target]
+                    else:
+                        self.open[target] = (*ends, seen)
+                    break
+                for f, n in held.items():
+                    seen[f] += n
+
+
+CELLS = 1024
+
+
+def held_out_quantiles(
+    df: DataFrame, columns: list[str], probabilities: list[float], fold: str, cells: int = CELLS,
+) -> dict:
+    """Interpolated quantiles of every column over all rows but those of one fold, for each fold.
+
+    Returns {fold: {column: quantiles}}, and under None those of all rows. Only finite numbers
+    count; without any, a quantile is None. All training sets share one search: values are
+    counted by cell and fold in ``cells`` cells of a bracket, the counts of all folds but one
+    tell in which cell a rank of that training set lies, and that cell is the next bracket.
+    Brackets end at values, so the result is exact; a round brings back at most ``cells``
+    counts per column, fold and bracket.
+    """
+    if not columns:
+        return {None: {}}
+    number = [_number(c) for c in columns]
+    usable = [F.when(F.abs(x) < float("inf"), x).alias(f"v{j}") for j, x in enumerate(number)]
+    values = df.select(F.col(fold).alias("fold"), *usable)
+    sizes = {r["fold"]: r for r in values.groupBy("fold").agg(
+        *[F.count(f"v{j}").alias(f"n{j}") for j in range(len(columns))]).collect()}
+    ranks, searches = {}, []
+    for j in range(len(columns)):
+        per_fold = {f: r[f"n{j}"] for f, r in sizes.items()}
+        for left_out in [None, *sizes]:
+            n = sum(m for f, m in per_fold.items() if f != left_out or left_out is None)
+            for i, p in enumerate(probabilities):
+                if n:
+                    ranks[j, left_out, i] = p * (n - 1)
+        wanted = {(k, r) for (c, k, _), at in ranks.items() if c == j for r in (math.floor(at), math.ceil(at))}
+        searches.append(_Search(per_fold, sorted(wanted, key=str)))
+    first = True
+    while any(s.open for s in searches):
+        asked = [(j, low, high) for j, s in enumerate(searches) for low, high in s.brackets()]
+        counted = _cell_counts(values, asked, cells, first)
+        for j, s in enumerate(searches):
+            s.narrow({(low, high): counted.get((j, low, high), []) for low, high in s.brackets()})
+        first = False
+    out = {k: {c: [None] * len(probabilities) for c in columns} for k in [None, *sizes]}
+    for (j, left_out, i), at in ranks.items():
+        found = searches[j].found
+        low, high = found[left_out, math.floor(at)], found[left_out, math.ceil(at)]
+        out[left_out][columns[j]][i] = low + (high - low) * (at - math.floor(at))
+    return out
+
+
+def _cell_counts(values: DataFrame, asked: list[tuple], cells: int, first: bool) -> dict[tuple, list]:
+    """Counts, least and greatest value by bracket, cell and fold."""
+    if first:  # brackets without ends: all values of a column are one cell each
+        parts = [F.struct(F.lit(m).alias("m"), F.lit(0).cast("long").alias("cell"), F.col(f"v{j}").alias("v"))
+                 for m, (j, _, _) in enumerate(asked)]
+    else:
+        parts = []
+        for m, (j, low, high) in enumerate(asked):
+            v = F.col(f"v{j}")
+            # the halves keep the width of a bracket finite; cells never fall as values rise
+            share = (v / 2 - F.lit(low / 2)) / F.lit(max(high / 2 - low / 2, 5e-324))
+            cell = F.when(v == F.lit(low), -1).when(v == F.lit(high), cells).otherwise(
+                F.least(F.floor(share * cells), F.lit(cells - 1)))
+            parts.append(F.struct(
+                F.lit(m).alias("m"), cell.cast("long").alias("cell"),
+                F.when(v.between(F.lit(low), F.lit(high)), v).alias("v")))
+    rows = (
+        values.select("fold", F.explode(F.array(*parts)).alias("s")).select("fold", "s.*")
+        .filter("v IS NOT NULL").groupBy("m", "cell", "fold")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+    )
+    out: dict[tuple, list] = {}
+    for r in rows.collect():
+        out.setdefault(asked[r["m"]], []).append((r["cell"], r["fold"], r["n"], r["least"], r["most"]))
+    return out
+
+
 def running_totals(
     df: DataFrame, order: str, sums: list[str], descending: bool = False,
     bucket_rows: int = BUCKET_ROWS,

@@ -17,7 +17,7 @@ from lodeworks.models.folds import grouped_folds, hashed_fold, spatial_groups
 from lodeworks.models.learners import HOLE_LEARNERS, selected_preparation
 from lodeworks.models.store import Bundle, Registry, load_bundle, save_bundle
 from lodeworks.operators.columns import (
-    aligned, imputed, log_scaled, medians, numeric_features, without_leakage,
+    aligned, log_scaled, numeric_features, without_leakage,
 )
 from lodeworks.operators.neighbours import idw
 from lodeworks.operators.raster import Raster, focal_statistics
@@ -88,31 +88,27 @@ def hole_features(inputs: Inputs, neighbours: int = fv.NEIGHBOURS) -> DataFrame:
 
 
 def model_inputs(
-    master: DataFrame, features: list[str], teacher: Bundle | None = None
+    master: DataFrame, features: list[str], teachers: list[Bundle] = (),
 ) -> DataFrame:
-    """hole_id, deposit, place, raw treo and model features, nothing missing.
+    """hole_id, deposit, place, raw treo and model features; missing values stay NULL.
 
-    The same function serves training and scoring, teacher columns included.
+    The same function serves training and scoring, and looks at one row at a time: medians
+    are fitted by the preparation within each training fold and stored with the model, so a
+    hole scores the same alone and in a batch. ``teachers`` are the model whose scores are
+    features, the one whose scores are features of that model, and so on.
     """
+    if "treo_max" in features:
+        raise ValueError("the target is no feature")
     have = [c for c in features if c in master.columns]
-    filled = log_scaled(imputed(master, medians(master, have)), have)
     treo = F.col("treo_max") if "treo_max" in master.columns else F.lit(None)
-    keep = filled.withColumn("treo_raw", treo.cast("double"))
-    columns = ["hole_id", "deposit", "lon", "lat", "treo_raw"]
-    if "treo_max" in have:
-        raise ValueError("the target is no feature")
-    if teacher is not None:
-        # The stored model must see its own inputs before they are narrowed down.
-        keep = _with_teacher(master, keep, teacher)
-    return aligned(keep, features, columns)
-
-
-def _with_teacher(master: DataFrame, filled: DataFrame, teacher: Bundle) -> DataFrame:
-    own = [c for c in teacher.ensemble.features if not c.startswith(TEACHER)]
-    lesson = score(teacher.ensemble, model_inputs(master, own), ["hole_id"])
-    named = lesson.select("hole_id", F.col("prospectivity").alias(f"{TEACHER}prospectivity"), *[
-        F.col(n).alias(f"{TEACHER}{n}") for n in teacher.ensemble.names])
-    return filled.join(named, "hole_id", "left")
+    keep = log_scaled(master, have).withColumn("treo_raw", treo.cast("double"))
+    if teachers:
+        lesson = score(
+            teachers[0].ensemble,
+            model_inputs(master, teachers[0].ensemble.features, teachers[1:]), ["hole_id"])
+        keep = keep.join(lesson.select("hole_id", F.col("prospectivity").alias(f"{TEACHER}prospectivity"), *[
+            F.col(n).alias(f"{TEACHER}{n}") for n in teachers[0].ensemble.names]), "hole_id", "left")
+    return aligned(keep, features, ["hole_id", "deposit", "lon", "lat", "treo_raw"])
 
 
 def teacher_features(bundle: Bundle) -> list[str]:
@@ -153,15 +149,15 @@ def run(
         if bundle is None:
             return RunResult("error: no trained model", deposit)
         status("scoring")
-        scored = _scored(master, bundle.ensemble, _teacher_of(spark, registry, bundle))
+        scored = _scored(master, bundle.ensemble, _teachers(spark, registry, bundle))
         return _finished(spark, root, deposit, "success", scored, bundle, 0)
     features = without_leakage(numeric_features(master), drop_target_components)
-    teacher = bundle if teach else None
+    teachers = [bundle, *_teachers(spark, registry, bundle)] if teach and bundle else []
     if bundle is not None:
         known = [f for f in bundle.ensemble.features if not f.startswith(TEACHER)]
         features = sorted(set(features) | set(known))
-    if teacher is not None:
-        features = features + teacher_features(teacher)
+    if teachers:
+        features = features + teacher_features(bundle)
     labelled = 0
     if "treo_max" in master.columns:
         labelled = master.filter("treo_max IS NOT NULL").count()
@@ -169,12 +165,13 @@ def run(
         return RunResult("insufficient_data", deposit, labelled=labelled)
     status("training")
     p95 = label_p95(master)
-    rows = stage_table(model_inputs(master, features, teacher), "model-inputs")
+    rows = stage_table(model_inputs(master, features, teachers), "model-inputs")
     frame = training_frame(rows, p95)
     ensemble, _ = train_ensemble(
         frame, features, "y", learners or HOLE_LEARNERS, prepare=prepare)
     stored = save_bundle(
-        spark, root, deposit, ensemble, frame.drop("y", "fold", "group"), p95, [deposit], teacher)
+        spark, root, deposit, ensemble, frame.drop("y", "fold", "group"), p95, [deposit],
+        bundle if teachers else None)
     registry.register(stored)
     status("scoring")
     return _finished(
@@ -182,17 +179,18 @@ def run(
         _join_scores(master, score(ensemble, rows, ["hole_id"])), stored, labelled)
 
 
-def _teacher_of(spark, registry: Registry, bundle: Bundle) -> Bundle | None:
-    """The model whose scores are features of this one, if any."""
-    if not any(f.startswith(TEACHER) for f in bundle.ensemble.features):
-        return None
-    row = registry.table().filter(
-        F.col("version") == bundle.info["previous_version"]).first()
-    return load_bundle(spark, row["model_path"])
+def _teachers(spark, registry: Registry, bundle: Bundle) -> list[Bundle]:
+    """The model whose scores are features of this one, that model's own, and so on."""
+    chain = []
+    while any(f.startswith(TEACHER) for f in bundle.ensemble.features):
+        row = registry.table().filter(F.col("version") == bundle.info["previous_version"]).first()
+        bundle = load_bundle(spark, row["model_path"])
+        chain.append(bundle)
+    return chain
 
 
-def _scored(master: DataFrame, ensemble: Ensemble, teacher: Bundle | None) -> DataFrame:
-    rows = model_inputs(master, ensemble.features, teacher)
+def _scored(master: DataFrame, ensemble: Ensemble, teachers: list[Bundle]) -> DataFrame:
+    rows = model_inputs(master, ensemble.features, teachers)
     return _join_scores(master, score(ensemble, rows, ["hole_id"]))
 
 

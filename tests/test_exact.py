@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodeworks.operators import exact
 from lodeworks.operators.exact import exact_quantiles, running_totals
 from lodeworks.operators.metrics import average_precision, roc_auc, score_curve
 
@@ -72,3 +73,42 @@ def test_auc_counts_ties_half(spark):
         expected += (recall - before) * tp / sum(s >= cut for _, s in rows)
         before = recall
     assert average_precision(curve).first()[0] == pytest.approx(expected)
+
+
+def test_held_out_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(12)
+    n = 3000
+    a = rng.normal(size=n) * 10.0 ** rng.integers(-3, 9, n)
+    b = np.where(rng.random(n) < 0.6, 7.0, rng.integers(0, 50, n))  # one value in most rows
+    c = np.full(n, np.nan)
+    c[:5] = [1.0, np.inf, -np.inf, 2.0, 1e308]
+    d = np.where(rng.random(n) < 0.5, -1.7e308, 1.7e308)
+    folds = rng.integers(0, 4, n)
+    rows = [(int(f), *(None if rng.random() < 0.1 else float(v) for v in vs)) for f, *vs in zip(folds, a, b, c, d)]
+    df = spark.createDataFrame(rows, "fold int, a double, b double, c double, d double").withColumn(
+        "empty", F.lit(None).cast("double")).withColumn("e f", F.col("b").cast("int"))
+    names, shares = ["a", "b", "c", "d", "empty", "e f"], [0.0, 0.25, 0.5, 0.9, 1.0]
+    for cells in (8, 1024):
+        got = exact.held_out_quantiles(df, names, shares, "fold", cells)
+        assert set(got) == {None, 0, 1, 2, 3}
+        for left_out, found in got.items():
+            for j, name in enumerate(names[:4]):
+                kept = np.array([r[j + 1] for r in rows if r[0] != left_out and r[j + 1] is not None])
+                kept = kept[np.isfinite(kept)]
+                if name == "d":
+                    assert set(found[name]) <= {-1.7e308, 1.7e308, 0.0}
+                elif len(kept):
+                    np.testing.assert_allclose(found[name], np.quantile(kept, shares), rtol=1e-12)
+                else:
+                    assert found[name] == [None] * 5
+            assert found["empty"] == [None] * 5 and found["e f"][2] == 7.0
+    assert exact.held_out_quantiles(df.limit(0), ["a"], [0.5], "fold") == {None: {"a": [None]}}
+    assert exact.held_out_quantiles(df, [], [0.5], "fold") == {None: {}}
+
+
+def test_an_outlier_in_the_test_fold_changes_no_training_median(spark):
+    rows = [(i % 3, float(i)) for i in range(30)]
+    plain = exact.held_out_quantiles(spark.createDataFrame(rows, "fold int, v double"), ["v"], [0.5], "fold")
+    moved = [(f, 1e9 if f == 1 else v) for f, v in rows]
+    other = exact.held_out_quantiles(spark.createDataFrame(moved, "fold int, v double"), ["v"], [0.5], "fold")
+    assert plain[1] == other[1] and plain[0] != other[0] and plain[None] != other[None]

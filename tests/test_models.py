@@ -10,6 +10,7 @@ from lodeworks.models.store import Registry, is_compatible, load_bundle
 from lodeworks.operators import columns
 from lodeworks.operators.metrics import linear_impact
 from lodeworks.operators.versions import content_hash, top_ranked
+from lodeworks.plans import prospect
 from lodeworks.plans.prospect import (
     Inputs, explain, retrain, retrain_mode, run, run_report, training_frame,
 )
@@ -147,6 +148,30 @@ def test_train_score_retrain(spark, tmp_path):
         run(spark, later, "east", root, mode="infer", force_retrain=True)
 
 
+def test_a_hole_scores_the_same_alone_and_in_a_batch(spark, tmp_path):
+    """Missing values are filled by what the stored model learnt; taught models score alike."""
+    root = str(tmp_path)
+    inputs = Inputs(view(spark, SMALL, "collar"), view(spark, SMALL, "assay"))
+    light = {"rf": learners.Forest(trees=4, depth=3), "sgd": learners.RobustLinear(iterations=10)}
+    for teach in (False, True, True):  # the last model's teacher has a teacher
+        result = run(spark, inputs, "west", root, learners=light, teach=teach)
+    assert sum(f.startswith("teacher_") for f in result.features) == 3
+    registry = Registry(spark, root)
+    chain = prospect._teachers(spark, registry, result.bundle)
+    assert [len(chain), any(f.startswith("teacher_") for f in chain[-1].ensemble.features)] == [2, False]
+    master = prospect.hole_features(inputs)
+    assert master.filter("elevation IS NULL OR treo_max IS NULL").count() > 0
+    batch = {r["hole_id"]: r["prospectivity"] for r in prospect._scored(master, result.bundle.ensemble, chain).collect()}
+    stored = {r["hole_id"]: r["prospectivity"] for r in result.scored.collect()}
+    assert batch == pytest.approx(stored)
+    odd = master.filter("treo_max IS NULL").limit(2).collect() + master.limit(1).collect()
+    for r in odd:
+        alone = prospect._scored(master.filter(F.col("hole_id") == r["hole_id"]), result.bundle.ensemble, chain)
+        assert alone.first()["prospectivity"] == pytest.approx(batch[r["hole_id"]])
+    row = master.limit(1).select("hole_id", "deposit", "lon", "lat", F.lit(1.0).alias("a"), F.lit(None).cast("double").alias("b"))
+    assert prospect.model_inputs(row, ["a", "b", "c"]).first()[-3:] == (1.0, None, 0.0)
+
+
 def training_rows(result):
     rows = result.bundle.training_rows(result.scored.sparkSession)
     return training_frame(rows, result.bundle.info["p95"], spatial=False)
