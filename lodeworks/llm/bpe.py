@@ -16,7 +16,6 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
 from itertools import chain
 from typing import NamedTuple
 
@@ -31,10 +30,12 @@ from lodeworks.llm.words import SPACES, distinct_parts, held_for, lists, slices,
 #: Pieces that each of a worker's two cache generations holds.
 CACHE_PIECES = 1 << 17
 #: Bytes of text that are digested at once; the more, the fewer parts come again.
-DIGEST_BYTES = 1 << 24
+DIGEST_BYTES = 1 << 23
 #: Results of pair tests that a worker holds.
 CACHE_PAIRS = 1 << 20
 _NEVER = 1 << 40
+_ID_BITS = 32
+_ASCII_WHITE = " \t\n\x0b\x0c\r"
 # White space and piece pattern of the vocabulary's tokenizer; letters and digits
 # that the regex module knows but the tokenizer does not; upper-case letters that the tokenizer
 # knows but this Python does not (first, last, distance to the small letter).
@@ -141,14 +142,15 @@ class Codec:
             symbols = "".join(byte_of[c] for c in body)
             if ended:  # the last byte of a word is a symbol of its own
                 symbols = symbols[:-1] + chr(256 + ord(symbols[-1]))
-            self._automaton.add_word(symbols, token)
+            self._automaton.add_word(symbols, (token, len(symbols)))
             self._length[token] = len(symbols)
         self._automaton.make_automaton()
         # each token's last (first) symbol, then what it merges into on the way to the token,
         # with the rank at which the next merge comes
         self._right = {t: self._spine(t, parts, 1) for t in self._length}
         self._left = {t: self._spine(t, parts, 0) for t in self._length}
-        self._tests: dict[tuple[int, int], bool] = {}
+        self._tests: dict[int, bool] = {}
+        self._id_text = {i: str(i) for i in self.token_text}
         self._new: dict[str, Piece] = {}
         self._old: dict[str, Piece] = {}
 
@@ -162,7 +164,7 @@ class Codec:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the text of both tokens is encoded as these two tokens."""
-        known = self._tests.get((left, right))
+        known = self._tests.get(left << _ID_BITS | right)
         if known is not None:
             return known
         result, i, j = True, 0, 0
@@ -181,18 +183,26 @@ class Codec:
                 j += 1
         if len(self._tests) >= CACHE_PAIRS:
             self._tests.clear()
-        self._tests[left, right] = result
+        self._tests[left << _ID_BITS | right] = result
         return result
 
     def encode_symbols(self, symbols: str) -> list[int]:
         """Ids of a word given as one symbol a byte."""
         last = [-1] * len(symbols)
-        length, compatible = self._length, self.compatible
-        for end, token in self._automaton.iter(symbols):
-            if last[end] < 0:
-                before = end - length[token]
-                if before < 0 or (last[before] >= 0 and compatible(last[before], token)):
-                    last[end] = token
+        tests, compatible = self._tests, self.compatible
+        for end, (token, size) in self._automaton.iter(symbols):
+            if last[end] >= 0:
+                continue
+            before = end - size
+            if before >= 0:
+                left = last[before]
+                if left < 0:
+                    continue
+                fits = tests.get(left << _ID_BITS | token)
+                if not (compatible(left, token) if fits is None else fits):
+                    continue
+            last[end] = token
+        length = self._length
         ids, at = [], len(symbols) - 1
         while at >= 0:
             token = last[at]
@@ -203,7 +213,8 @@ class Codec:
     def _encode_piece(self, text: str) -> Piece:
         raw = text.encode("utf-8").decode("latin-1")
         ids = self.encode_symbols(raw[:-1] + chr(256 + ord(raw[-1])))
-        return Piece(tuple(ids), " ".join(map(str, ids)), self.decode(ids))
+        return Piece(
+            tuple(ids), " ".join([self._id_text[i] for i in ids]), " ".join([self.token_text[i] for i in ids]))
 
     def piece(self, text: str) -> Piece:
         found = self._new.get(text)
@@ -214,21 +225,28 @@ class Codec:
             self._new[text] = found
         return found
 
-    def pieces(self, text: str) -> Iterator[Piece]:
+    def pieces(self, text: str) -> list[Piece]:
         """Encoded pieces of a whole text in order."""
-        at = 0
-        for special in self._cut.finditer(text) if "<" in text else ():
-            yield from map(self.piece, self._cut_text(text[at:special.start()]))
+        bare = text.strip(_ASCII_WHITE)
+        if bare.isascii() and bare.isalpha():
+            return [self.piece(bare.lower())]
+        if "<" not in text:
+            return list(map(self.piece, self._cut_text(text)))
+        at, out = 0, []
+        for special in self._cut.finditer(text):
+            out += map(self.piece, self._cut_text(text[at:special.start()]))
             token = self._specials[special.group()]
-            yield Piece((token,), str(token), special.group())
+            out.append(Piece((token,), str(token), special.group()))
             at = special.end()
-        yield from map(self.piece, self._cut_text(text[at:] if at else text))
+        return out + list(map(self.piece, self._cut_text(text[at:])))
 
     def _cut_text(self, text: str) -> list[str]:
+        if text.isascii():
+            return self._pieces.findall(text.lower())
         text = unicodedata.normalize("NFC", text)
         # code point by code point: no rule for a sigma at the end of a word
         text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
-        if not text.isascii() and self._unusual.search(text):
+        if self._unusual.search(text):
             return self._careful.findall(text.translate(self._lower))
         return self._pieces.findall(text)
 
@@ -307,11 +325,13 @@ def token_digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
         codec = _codec(shared)
         for batch in slices(batches, "text", DIGEST_BYTES):
             codes, first, parts = _parts(batch.column(1))
-            found = [list(codec.pieces(part)) for part in parts]
-            sizes = np.array([sum(len(p.ids) for p in pieces) for pieces in found], np.int64)
-            # every part ends with the space that joins it to the next
-            ids = ["".join([f"{p.ids_text} " for p in pieces]) for pieces in found]
-            decoded = ["".join([f"{p.decoded} " for p in pieces]) for pieces in found]
+            sizes, ids, decoded = np.zeros(len(parts), np.int64), [], []
+            for i, part in enumerate(parts):
+                pieces = codec.pieces(part)
+                sizes[i] = sum([len(p.ids) for p in pieces])
+                # every part ends with the space that joins it to the next
+                ids.append("".join([f"{p.ids_text} " for p in pieces]))
+                decoded.append("".join([f"{p.decoded} " for p in pieces]))
             digests = [[], []]
             for low, high in zip(first.tolist(), first[1:].tolist()):
                 own = codes[low:high].tolist()
