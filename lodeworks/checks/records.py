@@ -13,6 +13,7 @@ from lodeworks.checks.spatial import MAGNETIC
 from lodeworks.functions.naming import coordinate_columns, hole_id_column
 from lodeworks.functions.numeric import byte_size
 from lodeworks.models import ensemble as ens
+from lodeworks.models.attribution import attribution_impact
 from lodeworks.models import folds
 from lodeworks.models.learners import (
     Boosted, Forest, RandomFourier, RobustLinear, component_preparation,
@@ -603,6 +604,13 @@ def permutation_impacts(spark, sf):
     return ens.permutation_impact(ensemble, frame, "y", features).limit(5)
 
 
+@query()
+def attribution_impacts(spark, sf):
+    """Features of greatest mean absolute Shapley value."""
+    ensemble, _ = _trained(spark, sf)
+    return attribution_impact(ensemble, _frame(spark, sf)[3])
+
+
 @query()
 def model_quality(spark, sf):
     """Ensemble metrics as one row."""

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from lodeworks import fixedvalues as fv
 from lodeworks.functions.geochem import scaled_label
+from lodeworks.models.attribution import attribution_impact
 from lodeworks.models.ensemble import (
-    Ensemble, importances, permutation_impact, score, train_ensemble,
+    Ensemble, importances, score, train_ensemble,
 )
 from lodeworks.models.folds import grouped_folds, hashed_fold, spatial_groups
 from lodeworks.models.learners import HOLE_LEARNERS, selected_preparation
@@ -208,10 +209,9 @@ def _finished(spark, root, deposit, status, scored, bundle: Bundle, labelled: in
 
 
 def explain(result: RunResult, rows: DataFrame, top: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Importances, and the features of greatest permutation impact among all."""
+    """Importances, and the features of greatest mean absolute attribution."""
     ensemble = result.bundle.ensemble
-    impact = permutation_impact(ensemble, rows, "y", ensemble.features)
-    return importances(ensemble), impact.limit(top)
+    return importances(ensemble), attribution_impact(ensemble, rows, top=top)
 
 
 def retrain(
