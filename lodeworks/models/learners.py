@@ -16,6 +16,7 @@ from pyspark.ml.regression import (
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeworks.models.huber import as_model, huber_elastic_net
 from lodeworks.operators.columns import medians, robust_ranges, robust_statistics
 from lodeworks.operators.exact import held_out_quantiles
 
@@ -59,15 +60,15 @@ class Boosted:
 
 @dataclass(frozen=True)
 class RobustLinear:
-    """Huber loss with an L2 penalty (MLlib has no elastic net for Huber)."""
+    """Huber loss with an elastic net."""
 
     penalty: float = 0.01
     iterations: int = 200
 
-    def regressor(self):
-        return LinearRegression(
-            loss="huber", regParam=self.penalty, elasticNetParam=0.0, maxIter=self.iterations
-        )
+    def fit(self, prepared: DataFrame, label: str, prediction: str):
+        weights, intercept, _ = huber_elastic_net(
+            prepared, FEATURES, label, self.penalty, passes=self.iterations)
+        return as_model(prepared, weights, intercept, FEATURES, prediction)
 
 
 @dataclass(frozen=True)
@@ -199,6 +200,8 @@ def fitted_learner(
     prepared: DataFrame, name: str, learner, label: str, features: list[str]
 ) -> PipelineModel:
     """One base learner on prepared features; its prediction column is ``raw_<name>``."""
+    if isinstance(learner, RobustLinear):
+        return PipelineModel([learner.fit(prepared, label, f"raw_{name}")])
     regressor = learner.regressor().setLabelCol(label).setPredictionCol(f"raw_{name}")
     if not isinstance(learner, RandomFourier):
         return Pipeline(stages=[regressor.setFeaturesCol(FEATURES)]).fit(prepared)
