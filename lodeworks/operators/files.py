@@ -185,6 +185,38 @@ def table_roles(files: DataFrame, group: str) -> DataFrame:
     )
 
 
+def files_by_role(files: DataFrame, group: str) -> DataFrame:
+    """Every file of each role of a group: group, role, path, ordinal.
+
+    Roles are those of ``table_roles``. All pivoted assays count, or all plain ones where
+    there is no pivoted one. In a group without a collar the first three files are the collar,
+    the assay and the alteration, and later files keep the role their name gives.
+    """
+    stem = F.lower(file_stem(F.col("path")))
+    role = (
+        F.when(stem.contains("collar"), "collar")
+        .when(stem.contains("pivot"), "pivot")
+        .when(stem.contains("assay"), "assay")
+        .when(stem.contains("alter"), "alteration")
+        .when(stem.contains("geochem"), "geochem")
+    )
+    named = files.select(group, "path", "ordinal", role.alias("named"))
+    first = named.withColumn("n", F.row_number().over(W.partitionBy(group).orderBy("ordinal"))).filter(
+        "n <= 3").select(group, "ordinal", F.element_at(
+            F.array(F.lit("collar"), F.lit("assay"), F.lit("alteration")), F.col("n")).alias("placed"))
+    # one row per group
+    has = named.groupBy(group).agg(
+        F.bool_or(F.coalesce(F.col("named") == "collar", F.lit(False))).alias("collared"),
+        F.bool_or(F.coalesce(F.col("named") == "pivot", F.lit(False))).alias("pivoted"))
+    chosen = F.when(F.col("collared"), F.col("named")).otherwise(F.coalesce("placed", "named"))
+    return (
+        named.join(first, [group, "ordinal"], "left").join(has, group)
+        .withColumn("role", chosen)
+        .filter(F.col("role").isNotNull() & ~(F.col("pivoted") & (F.col("named") == "assay") & (F.col("role") == "assay")))
+        .select(group, F.when(F.col("role") == "pivot", "assay").otherwise(F.col("role")).alias("role"), "path", "ordinal")
+    )
+
+
 def category_rollup(files: DataFrame) -> DataFrame:
     """Files, bytes and extensions per folder and category, with totals."""
     named = with_name_parts(files).withColumn("category", inventory_category(F.col("ext")))

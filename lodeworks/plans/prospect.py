@@ -18,13 +18,16 @@ from lodeworks.models.folds import grouped_folds, hashed_fold, spatial_groups
 from lodeworks.models.learners import HOLE_LEARNERS, selected_preparation
 from lodeworks.models.store import Bundle, Registry, load_bundle, save_bundle
 from lodeworks.operators.columns import (
-    aligned, log_scaled, numeric_features, without_leakage,
+    aligned, log_scaled, numeric_features, one_hot, without_leakage,
 )
 from lodeworks.operators.neighbours import idw
-from lodeworks.operators.raster import Raster, focal_statistics
+from lodeworks.operators.placed import focal_placed
+from lodeworks.operators.polygons import join_polygons
+from lodeworks.operators.raster import Raster, focal_statistics, rim_tiles
 from lodeworks.operators.versions import top_ranked
 from lodeworks.plans.holes import build_master, label_p95, with_place_features
 from lodeworks.session import stage_table
+from lodeworks.sources.sinks import write_csv, write_geojson_lines
 
 MIN_LABELS = 10
 TEACHER = "teacher_"
@@ -41,6 +44,10 @@ class Inputs:
     alteration: DataFrame | None = None
     pixels: DataFrame | None = None
     rasters: list[Raster] = field(default_factory=list)
+    #: placements of the rasters; without it they are all in degrees and not rotated
+    catalogue: DataFrame | None = None
+    layer: DataFrame | None = None
+    layer_attributes: list[str] = field(default_factory=list)
 
 
 @dataclass
@@ -69,13 +76,9 @@ def hole_features(inputs: Inputs, neighbours: int = fv.NEIGHBOURS) -> DataFrame:
     placed = master.select("hole_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
     extra = []
     if inputs.pixels is not None and inputs.rasters:
-        stats = focal_statistics(placed, inputs.pixels, inputs.rasters)
-        ids = [r.raster_id for r in inputs.rasters]
-        wide = stats.groupBy("hole_id").pivot("raster_id", ids).agg(
-            *[F.max(s).alias(s) for s in ("mean", "std", "max")])
-        extra.append(wide.select("hole_id", *[
-            F.col(f"`{i}_{s}`").alias(f"r_{i}_{s}") for i in ids for s in ("mean", "std", "max")
-        ]))
+        extra.append(raster_windows(placed, inputs, "hole_id"))
+    if inputs.layer is not None:
+        extra.append(geology_levels(placed, inputs.layer, inputs.layer_attributes))
     if "treo_max" in master.columns:
         sites = master.filter("treo_max IS NOT NULL").select(
             F.col("hole_id").alias("site_id"), F.col("lon").alias("x"),
@@ -88,6 +91,39 @@ def hole_features(inputs: Inputs, neighbours: int = fv.NEIGHBOURS) -> DataFrame:
     return stage_table(with_place_features(master), "hole-features")
 
 
+def raster_windows(points: DataFrame, inputs: Inputs, key: str) -> DataFrame:
+    """``key`` and mean, std and max of the 3 x 3 pixels of each raster as columns.
+
+    0 outside a raster and without any valid pixel; points without a place have no row.
+    """
+    ids = [r.raster_id for r in inputs.rasters]
+    at = points.select(key, "x", "y")
+    if inputs.catalogue is None:
+        stats = focal_statistics(at, inputs.pixels, inputs.rasters)
+    else:
+        stats = focal_placed(at, rim_tiles(inputs.pixels), inputs.catalogue)
+    names = ("mean", "std", "max")
+    wide = stats.groupBy(key).pivot("raster_id", ids).agg(*[F.max(s).alias(s) for s in names])
+    wide = wide.select(key, *[F.col(f"`{i}_{s}`").alias(f"r_{i}_{s}") for i in ids for s in names])
+    located = at.filter("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)").select(key)
+    return located.join(wide, key, "left").fillna(0.0)
+
+
+def geology_levels(points: DataFrame, layer: DataFrame, attributes: list[str]) -> DataFrame:
+    """hole_id and 0/1 columns for the levels of the polygons' attributes.
+
+    Letters and digits of a level make its column's name; levels that give one name share it.
+    """
+    found = join_polygons(points, layer, "hole_id", attributes).drop("x", "y")
+    plain = [
+        F.regexp_replace(F.coalesce(f"geol_{a}", F.lit("unknown")), "[^A-Za-z0-9]+", "_").alias(f"geol_{a}")
+        for a in attributes]
+    levels = stage_table(found.select("hole_id", *plain), "geology")
+    for a in attributes:
+        levels = one_hot(levels, f"geol_{a}")
+    return levels.drop(*[f"geol_{a}" for a in attributes])
+
+
 def model_inputs(
     master: DataFrame, features: list[str], teachers: list[Bundle] = (),
 ) -> DataFrame:
@@ -200,9 +236,12 @@ def _join_scores(master: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def _finished(spark, root, deposit, status, scored, bundle: Bundle, labelled: int) -> RunResult:
+    """Scores as Parquet, as CSV and as GeoJSON features, one a line."""
     out = f"{root.rstrip('/')}/scored/{deposit}/{bundle.info['version']}"
     scored.withColumn("deposit", F.lit(deposit)).write.mode("overwrite").parquet(out)
     stored = spark.read.parquet(out)
+    write_csv(stored, f"{root.rstrip('/')}/scored_csv/{deposit}/{bundle.info['version']}")
+    write_geojson_lines(stored, f"{root.rstrip('/')}/scored_geojson/{deposit}/{bundle.info['version']}")
     return RunResult(
         status, deposit, bundle.ensemble.metrics, bundle.ensemble.features, labelled, stored,
         top_ranked(stored, "score_100", "hole_id", fv.TOP_TARGETS), bundle)

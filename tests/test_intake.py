@@ -1,12 +1,14 @@
 """A folder of mixed files, archives included, read and run end to end."""
 
 import io
+import json
 import zipfile
 
 import pytest
 
 from lodeworks.jobs import main
 from lodeworks.models import learners
+from lodeworks.operators.files import files_by_role
 from lodeworks.operators.places import in_degrees, looks_projected
 from lodeworks.plans.intake import read_folder
 from lodeworks.plans.prospect import run
@@ -77,3 +79,68 @@ def test_projected_coordinates_need_a_zone(spark):
 def test_inventory_command(spark, drop, tmp_path, capsys):
     main(["inventory", str(drop), "--root", str(tmp_path)])
     assert "drillhole" in capsys.readouterr().out
+
+
+@pytest.fixture(scope="module")
+def wide_drop(tmp_path_factory):
+    """Two collars, two assays, a grid in UTM metres and two polygon layers."""
+    folder = tmp_path_factory.mktemp("mtwide_west")
+    holes = [(f"H{i}", 450_000.0 + (i * 7 % 40) * 100, 6_800_000.0 + (i * 11 % 40) * 100) for i in range(40)]
+    for part, rows in (("a", holes[:25]), ("b", [("H3", *holes[3][1:]), *holes[25:]])):
+        (folder / f"dh_collar_{part}.csv").write_text(
+            "holeid,easting,northing,elevation\n" + "".join(
+                f"{h},{x},{y},{100 if part == 'a' else 200}\n" for h, x, y in rows))
+    for part, rows in (("1", holes[:20]), ("2", holes[20:32])):
+        (folder / f"dh_assay_{part}.csv").write_text(
+            "holeid,fromdepth,todepth,CeO2_ppm\n" + "".join(
+                f"{h},{d},{d + 10},{100 * int(h[1:]) + d}\n" for h, _, _ in rows for d in (0, 10)))
+    values = "\n".join(" ".join(str(r * 50 + c) for c in range(50)) for r in range(50))
+    (folder / "mag_grid.asc").write_text(
+        f"ncols 50\nnrows 50\nxllcorner 449950\nyllcorner 6799950\ncellsize 100\nnodata_value -9999\n{values}\n")
+    for name, low, high in (("shale", 119, 122.5), ("iron stone!", 122.5, 125)):
+        ring = [[low, -30], [high, -30], [high, -28], [low, -28], [low, -30]]
+        (folder / f"{name.split()[0]}.geojson").write_text(json.dumps({
+            "type": "FeatureCollection", "features": [{
+                "type": "Feature", "properties": {"unit_name": name, "other": 1},
+                "geometry": {"type": "Polygon", "coordinates": [ring]}}]}))
+    return folder
+
+
+def test_all_files_of_a_role_projected_grids_and_layers_are_used(spark, wide_drop, tmp_path):
+    with pytest.raises(ValueError):
+        read_folder(spark, str(wide_drop))
+    intake = read_folder(spark, str(wide_drop), zone=51, south=True)
+    collar = {r["hole_id"]: r for r in intake.inputs.collar.collect()}
+    assert len(collar) == 40 == intake.inputs.collar.count()
+    assert collar["H3"]["elevation"] == 200 and collar["H4"]["elevation"] == 100
+    assert intake.inputs.assay.count() == 64 and len(intake.polygon_files) == 2
+    result = run(spark, intake.inputs, intake.deposit, str(tmp_path), learners=LIGHT)
+    assert result.status == "success" and result.labelled == 32
+    rows = {r["hole_id"]: r for r in result.scored.collect()}
+    for h, r in rows.items():  # the pixel whose corner is 50 m off, and its eight neighbours
+        i = int(h[1:])
+        col, row = i * 7 % 40, 49 - i * 11 % 40
+        around = [a * 50 + b for a in range(max(row - 1, 0), min(row + 2, 50)) for b in range(max(col - 1, 0), col + 2)]
+        assert r["r_mag_grid_max"] == max(around)
+        assert r["r_mag_grid_mean"] == pytest.approx(sum(around) / len(around))
+    assert {r["geol_unit_name_shale"] for r in rows.values()} == {0, 1}
+    assert any(f.startswith("geol_unit_name_") for f in result.features)
+    version = result.bundle.info["version"]
+    table = spark.read.option("header", True).csv(f"{tmp_path}/scored_csv/{intake.deposit}/{version}")
+    assert table.count() == 40 and "score_100" in table.columns
+    lines = spark.read.text(f"{tmp_path}/scored_geojson/{intake.deposit}/{version}").collect()
+    assert len(lines) == 40 and json.loads(lines[0][0])["geometry"]["type"] == "Point"
+
+
+def test_files_by_role(spark):
+    def roles(*names):
+        rows = [(n, i, "d") for i, n in enumerate(names)]
+        found = files_by_role(spark.createDataFrame(rows, "path string, ordinal int, deposit string"), "deposit")
+        return sorted((r["role"], r["path"]) for r in found.collect())
+
+    assert roles("collar1.csv", "x.csv", "collar2.csv", "assay.csv", "assay2.csv") == [
+        ("assay", "assay.csv"), ("assay", "assay2.csv"), ("collar", "collar1.csv"), ("collar", "collar2.csv")]
+    assert roles("collar.csv", "assay.csv", "assay_pivot.csv", "my_pivot.csv", "geochem.csv") == [
+        ("assay", "assay_pivot.csv"), ("assay", "my_pivot.csv"), ("collar", "collar.csv"), ("geochem", "geochem.csv")]
+    assert roles("a.csv", "b.csv", "c.csv", "d.csv") == [
+        ("alteration", "c.csv"), ("assay", "b.csv"), ("collar", "a.csv")]
