@@ -1,4 +1,4 @@
-"""Command line for spark-submit: inventory, run, retrain and watch.
+"""Command line for spark-submit: inventory, run, grid, retrain and watch.
 
     spark-submit --conf spark.checkpoint.dir=<shared folder> -m lodeworks.jobs run ...
 """
@@ -13,6 +13,7 @@ from lodeworks.operators.files import category_rollup, layer_groups, storage_rep
 from lodeworks.models.store import Registry
 from lodeworks.plans.intake import listed_with_headers, read_folder
 from lodeworks.plans.prospect import retrain, run, run_report
+from lodeworks.plans.surface import run_grid
 from lodeworks.sources import sinks
 from lodeworks.sources.listing import list_files
 from lodeworks.streaming.watcher import Watcher
@@ -21,7 +22,7 @@ from lodeworks.streaming.watcher import Watcher
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="lodeworks")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("inventory", "storage", "run", "infer", "retrain", "watch", "reconcile"):
+    for name in ("inventory", "storage", "run", "infer", "grid", "retrain", "watch", "reconcile"):
         command = commands.add_parser(name)
         command.add_argument("folder", help="folder with the input files")
         command.add_argument("--root", required=True, help="folder for results and models")
@@ -30,6 +31,7 @@ def _parser() -> argparse.ArgumentParser:
         command.add_argument("--north", action="store_true", help="northern hemisphere")
         command.add_argument("--force-retrain", action="store_true")
         command.add_argument("--teach", action="store_true")
+        command.add_argument("--resolution", type=float, default=10.0, help="grid step in metres")
     return parser
 
 
@@ -65,6 +67,13 @@ def main(argv: list[str] | None = None) -> None:
         intake = read(options.folder)
         result = run(spark, intake.inputs, intake.deposit, options.root, mode="infer")
         print(result.status)
+    elif options.command == "grid":
+        intake = read(options.folder)
+        result = run_grid(
+            spark, intake.inputs, intake.deposit, options.root, resolution_m=options.resolution)
+        if result.status != "success":
+            raise RuntimeError(result.status)
+        result.bands.orderBy("band").show()
     elif options.command == "retrain":
         intake = read(options.folder)
         print(retrain(spark, options.root, intake.deposit, intake.inputs).status)

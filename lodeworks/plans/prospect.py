@@ -109,16 +109,18 @@ def raster_windows(points: DataFrame, inputs: Inputs, key: str) -> DataFrame:
     return located.join(wide, key, "left").fillna(0.0)
 
 
-def geology_levels(points: DataFrame, layer: DataFrame, attributes: list[str]) -> DataFrame:
-    """hole_id and 0/1 columns for the levels of the polygons' attributes.
+def geology_levels(
+    points: DataFrame, layer: DataFrame, attributes: list[str], key: str = "hole_id",
+) -> DataFrame:
+    """``key`` and 0/1 columns for the levels of the polygons' attributes.
 
     Letters and digits of a level make its column's name; levels that give one name share it.
     """
-    found = join_polygons(points, layer, "hole_id", attributes).drop("x", "y")
+    found = join_polygons(points, layer, key, attributes).drop("x", "y")
     plain = [
         F.regexp_replace(F.coalesce(f"geol_{a}", F.lit("unknown")), "[^A-Za-z0-9]+", "_").alias(f"geol_{a}")
         for a in attributes]
-    levels = stage_table(found.select("hole_id", *plain), "geology")
+    levels = stage_table(found.select(key, *plain), "geology")
     for a in attributes:
         levels = one_hot(levels, f"geol_{a}")
     return levels.drop(*[f"geol_{a}" for a in attributes])

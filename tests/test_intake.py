@@ -11,7 +11,9 @@ from lodeworks.models import learners
 from lodeworks.operators.files import files_by_role
 from lodeworks.operators.places import in_degrees, looks_projected
 from lodeworks.plans.intake import read_folder
+from lodeworks.plans import prospect
 from lodeworks.plans.prospect import run
+from lodeworks.plans.surface import run_grid
 
 LIGHT = {"rf": learners.Forest(trees=4, depth=3), "sgd": learners.RobustLinear(iterations=20)}
 
@@ -132,6 +134,28 @@ def test_all_files_of_a_role_projected_grids_and_layers_are_used(spark, wide_dro
     assert len(lines) == 40 and json.loads(lines[0][0])["geometry"]["type"] == "Point"
 
 
+def test_grid_is_scored_on_the_features_of_holes(spark, wide_drop, tmp_path):
+    intake = read_folder(spark, str(wide_drop), zone=51, south=True)
+    result = run_grid(spark, intake.inputs, intake.deposit, str(tmp_path), 200.0, {
+        "rf": learners.Forest(trees=4, depth=3), "gb": learners.Boosted(rounds=2)})
+    assert result.status == "success"
+    assert {"r_mag_grid_mean", "coord_lon_norm", "dist_centroid", "geol_unit_name_shale"} <= set(result.features)
+    rows = result.scored.collect()
+    assert len(rows) == len({(r["grow"], r["gcol"]) for r in rows}) > 300
+    assert all(0 <= r["prospectivity"] <= 1 for r in rows)
+    assert sum(r["cells"] for r in result.bands.collect()) == len(rows)
+    csv = spark.read.option("header", True).csv(f"{tmp_path}/grid_csv/{intake.deposit}")
+    assert csv.count() == len(rows)
+    # a place has the features of a hole at that place
+    master = prospect.hole_features(intake.inputs)
+    hole = master.filter("hole_id = 'H5'").first()
+    point = spark.createDataFrame([(1, hole["lon"], hole["lat"])], "cell_id long, x double, y double")
+    window = prospect.raster_windows(point, intake.inputs, "cell_id").first()
+    assert [window[f"r_mag_grid_{s}"] for s in ("mean", "std", "max")] == [
+        hole[f"r_mag_grid_{s}"] for s in ("mean", "std", "max")]
+    assert run_grid(spark, type(intake.inputs)(intake.inputs.collar), "x", str(tmp_path)).status == "insufficient_data"
+
+
 def test_files_by_role(spark):
     def roles(*names):
         rows = [(n, i, "d") for i, n in enumerate(names)]

@@ -27,6 +27,37 @@ def test_balanced_folds():
         "a": 0, "b": 1, "c": 1, "d": 0, "e": 0}
 
 
+def test_turns_equal_the_greedy_result():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        sizes = {f"g{i:03d}": int(n) for i, n in enumerate(rng.choice(
+            [1, 2, 3, 7, 40, 500], rng.integers(2, 60), p=[0.4, 0.2, 0.2, 0.1, 0.05, 0.05]))}
+        k = int(rng.integers(2, 6))
+        load, found = [0] * k, {}
+        for size in sorted(set(sizes.values()), reverse=True):
+            names = sorted(g for g, n in sizes.items() if n == size)
+            turns = folds.class_turns(load, size, len(names))
+            assert len(turns) <= k + 1
+            for rank, g in enumerate(names):
+                turn = [t for t in turns if t.start <= rank][-1]
+                found[g] = turn.order[(rank - turn.start) % len(turn.order)]
+        assert found == folds.balanced_folds(sizes, k)
+
+
+def test_a_million_groups_are_dealt_like_the_greedy_result(spark):
+    n = 1_000_000
+    size = F.when(F.col("id") < 3, 200_000).when(F.col("id") % 1000 == 0, 30).when(F.col("id") % 7 == 0, 2).otherwise(1)
+    sizes = spark.range(n).select(F.format_string("g%07d", "id").alias("group"), size.cast("long").alias("n"))
+    got = {r["group"]: r["fold"] for r in folds._folds_of_groups(sizes, "group", 5).collect()}
+    assert got == folds.balanced_folds({r["group"]: r["n"] for r in sizes.collect()}, 5)
+
+
+def test_listed_and_joined_groups_agree(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 50 != 0, F.concat(F.lit("g"), F.col("id") % 37)).alias("group"))
+    one, two = ({r["id"]: r["fold"] for r in folds.grouped_folds(df, listed=n).collect()} for n in (1000, 5))
+    assert one == two and len(one) == 3000 and one[50] is None
+
+
 def test_few_holes_stand_alone(spark):
     df = spark.createDataFrame([(str(i), float(i), 1.0) for i in range(6)],
                                "hole_id string, lon double, lat double")
