@@ -98,18 +98,18 @@ def _surveyed(docs: DataFrame, window: int, level: int) -> DataFrame:
     """Each row's digest of its words, marks of the first level, and the marks repeated within."""
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            data, offsets = text_bytes(batch.column(1))
+            data, offsets = text_bytes(batch.column(2))
             found = runs(data, offsets)
             n = len(offsets) - 1
             pairs = [_marked(_word_hashes(found, i), window, level, None, 0) for i in range(n)]
             digests = [hashlib.sha256(_word_text(data, found, i)).digest() for i in range(n)]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(np.diff(found.first)), pa.array(digests, pa.binary()),
+                batch.column(0), batch.column(1), pa.array(np.diff(found.first)), pa.array(digests, pa.binary()),
                 _lists([m for m, _ in pairs]), _lists([m[t] for m, t in pairs]),
-            ], names=["doc_id", "n_words", "digest", "marks", "twice"])
+            ], names=["doc_id", "sight", "n_words", "digest", "marks", "twice"])
 
-    return docs.select("doc_id", "text").mapInArrow(
-        survey, "doc_id long, n_words long, digest binary, marks array<long>, twice array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("sight"), "text").mapInArrow(
+        survey, "doc_id long, sight long, n_words long, digest binary, marks array<long>, twice array<long>")
 
 
 def _repeated(marks: DataFrame) -> DataFrame:
@@ -123,7 +123,8 @@ def _repeated(marks: DataFrame) -> DataFrame:
 def _texts(batches: Iterator[pa.RecordBatch]):
     """(key, digest, alive, word hashes, data, runs, place) of each text that is the one meant.
 
-    A text is looked up by doc_id; rows that share the id but not the words are passed over.
+    A text is looked up by doc_id and a hash of the text; should another text share both, its
+    words tell it apart.
     """
     for batch in slices(batches, "text"):
         data, offsets = text_bytes(batch.column(batch.schema.get_field_index("text")))
@@ -189,15 +190,27 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = docs.select("doc_id", "text")
     steps = levels(window)
     survey = stage_table(_surveyed(docs, window, steps[0]), "survey")
+    found_as = survey.groupBy("digest", named.alias("ref"), "sight").agg(F.count("*").alias("rows"))
     groups = stage_table(
-        survey.groupBy("digest").agg(F.min(named).alias("ref"), F.count("*").alias("copies"))
-        .withColumn("key", F.xxhash64("digest")), "copies")
+        found_as.groupBy("digest").agg(
+            F.min(F.struct("ref", "sight", "rows")).alias("head"), F.sum("rows").alias("copies"))
+        .select("digest", "head.*", "copies", F.xxhash64("digest").alias("key")), "copies")
+    repeated_rows = not groups.where("rows > 1").isEmpty()
+
+    def once(rows: DataFrame) -> DataFrame:
+        """One row a key, where a text stands in several rows of one id."""
+        if not repeated_rows:
+            return rows
+        return rows.where("rows = 1").unionByName(rows.where("rows > 1").dropDuplicates(["key"]))
+
     # one row stands for all texts of the same words
-    heads = survey.withColumn("ref", named).join(groups, ["digest", "ref"])
+    heads = once(survey.withColumn("ref", named).join(groups, ["digest", "ref", "sight"]))
     marks = heads.select("key", "twice", F.explode("marks").alias("mark")).select(
         "key", "mark", F.array_contains("twice", F.col("mark")).alias("within"))
-    alive = _repeated(marks).join(groups, "key").select("ref", "key", "digest", "copies", "alive")
-    alive = stage_table(docs.select(named.alias("ref"), "text").join(alive, "ref"), "alive")
+    alive = _repeated(marks).join(groups, "key")
+    texts = docs.select(named.alias("ref"), F.xxhash64("text").alias("sight"), "text")
+    alive = once(texts.join(alive, ["ref", "sight"])).select("key", "digest", "alive", "text", "copies")
+    alive = stage_table(alive, "alive")
     last = steps[0]
     for level in steps[1:]:
         found = stage_table(_next_marks(alive, window, level, last), "marks")

@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -148,6 +149,18 @@ def test_circulant_signatures_estimate_similarity():
     assert abs((signed[0] == signed[1]).mean() - 700 / 900) < 0.08
 
 
+def test_substrings_of_rows_without_or_with_equal_ids(spark):
+    """Rows are told apart by their text; 2,000 without an id are not joined with each other."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [f"{' '.join(f'n{i}x{j}' for j in range(30))} {passage if i % 5 == 0 else 'q%d' % i}" for i in range(2000)]
+    texts += [texts[3]] * 200 + [passage + " end"] * 3 + [" \n ".join(texts[4].split())]
+    rows = [(None if i % 3 else 7, t) for i, t in enumerate(texts)]
+    got = Counter((r["n_removed"], r["kept_sha256"]) for r in remove_repeats(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = Counter((n, hashlib.sha256(" ".join(kept).encode()).hexdigest()) for kept, n in cut_repeats(texts))
+    assert got == want
+
+
 def test_substrings_match_brute_force(spark):
     data = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
     long = " ".join(f"p{i}" for i in range(50))
