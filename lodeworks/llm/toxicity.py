@@ -17,6 +17,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,14 +136,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     # a sample of bounded size
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
     found = texts.select("grade", "text").mapInArrow(
-        _counted, "grade long, n long, buckets array<long>, counts array<long>").toPandas()
-    grades = found["grade"].to_numpy(np.int64)
-    if not len(found) or not (grades > 0).any():
+        _counted, "grade long, n long, buckets array<long>, counts array<long>").toArrow()
+    grades = found["grade"].to_numpy()
+    if not len(grades) or not (grades > 0).any():
         return Model(np.zeros(0, np.int64), np.zeros(0), np.array([np.inf]))
-    rows = np.repeat(np.arange(len(found)), found["buckets"].map(len))
+    buckets = found["buckets"].combine_chunks()
     sample_terms = Terms(
-        rows, np.concatenate(found["buckets"].to_list()).astype(np.int64),
-        np.concatenate(found["counts"].to_list()).astype(float), found["n"].to_numpy(), grades, graded)
+        np.repeat(np.arange(len(grades)), pc.list_value_length(buckets).to_numpy()), buckets.flatten().to_numpy(),
+        found["counts"].combine_chunks().flatten().to_numpy().astype(float), found["n"].to_numpy(), grades, graded)
     penalty, toxic_from = _tuned(sample_terms)
     return _fitted(sample_terms, np.ones(len(grades), bool), penalty)._replace(toxic_from=toxic_from)
 
