@@ -80,9 +80,10 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(
-    batches: Iterable[pa.RecordBatch], column: str, size: int = SLICE_BYTES,
+    batches: Iterable[pa.RecordBatch], column: str, size: int | None = None,
 ) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` in pieces of about ``size`` bytes of text, in order."""
+    """The rows of ``batches`` in pieces of about ``size`` (SLICE_BYTES) bytes of text, in order."""
+    size = size or SLICE_BYTES
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
         _, offsets = text_bytes(texts)
