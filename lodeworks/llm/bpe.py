@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from lodeworks.llm.words import SPACES, distinct_parts, held_for, lists, slices, text_bytes
 
 #: Pieces that each of a worker's two cache generations holds.
-CACHE_PIECES = 1 << 17
+CACHE_PIECES = 1 << 16
 #: Bytes of text that are digested at once; the more, the fewer parts come again.
 DIGEST_BYTES = 1 << 23
 #: Results of pair tests that a worker holds.
