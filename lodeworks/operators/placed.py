@@ -63,7 +63,6 @@ def catalogue(table: DataFrame) -> DataFrame:
     Bounds of projected rasters are taken along their edges, with a margin; whether a point
     lies on a pixel is decided by the inverse alone. Rasters without pixels are dropped.
     """
-    # the double type: two transforms of one name would be ambiguous inside a lambda
     det = F.col("xc") * F.col("yr") - F.col("xr") * F.col("yc")
     inverse = table.filter((F.col("rows") > 0) & (F.col("cols") > 0)).withColumn("det", det).withColumns({
         "cx": F.col("yr") / F.col("det"), "cy": -F.col("xr") / F.col("det"),
