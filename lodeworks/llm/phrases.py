@@ -8,7 +8,8 @@ phrases, the counts are summed by phrase over all blocks, and only places whose
 frequent go into the relation that is extended next.
 
 Frequent phrases of a length are numbered; a longer phrase is the pair of the numbers of its
-two overlapping halves, so phrases are told apart exactly.
+two overlapping halves, so phrases are told apart exactly. Words meet as text, too; only the
+distinct words of one block are found by a 64-bit hash.
 """
 
 from __future__ import annotations
