@@ -458,7 +458,9 @@ def raster_sheet_statistics(spark, sf):
         F.lit(None).cast("boolean").alias("south"))
     # the same pixels for all sheets, each on a level of its own
     usable = raster.masked(F.col("val"), F.col("raster_id"), [MAGNETIC])
-    pixels = view(spark, sf, "pixels").withColumn("val", usable).filter("val IS NOT NULL").withColumn("id", each).select(
+    own = view(spark, sf, "pixels").withColumn("val", usable).filter("val IS NOT NULL")
+    # 500 rows come of one, so all tasks get their share before that
+    pixels = own.repartition(spark.sparkContext.defaultParallelism).withColumn("id", each).select(
         F.concat(F.lit("sheet"), "id").alias("raster_id"), "prow", "pcol", (F.col("val") + F.col("id")).alias("val"))
     found = placed.focal_placed(_places(spark, sf), rim_tiles(pixels), placed.catalogue(sheets))
     return settled(found.select("hole_id", "raster_id", "mean", "std", "max"))

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeworks.functions.geodesy import from_utm, to_utm
-from lodeworks.operators.raster import RIM_TILE, Raster, rim_position, usable_value, window_statistics
+from lodeworks.operators.raster import (
+    RIM_TILE, Raster, rim_position, usable_value, window_statistics, with_rim_tiles,
+)
 
 #: A catalogue of at most this many filed cells (about 150 bytes each) is broadcast.
 BROADCAST_CELLS = 100_000
@@ -135,12 +137,6 @@ def meetings(points: DataFrame, rasters: DataFrame, broadcast_cells: int = BROAD
     return at.filter(inside).select("_p.*", "raster_id", "prow", "pcol", "nodata")
 
 
-def _with_tile(met: DataFrame, tiles: DataFrame, size: int) -> DataFrame:
-    placed = met.withColumns({
-        "trow": F.expr(f"prow div {size}").cast("int"), "tcol": F.expr(f"pcol div {size}").cast("int")})
-    return placed.join(tiles, ["raster_id", "trow", "tcol"], "left")
-
-
 def sample_placed(
     points: DataFrame, tiles: DataFrame, rasters: DataFrame, size: int = RIM_TILE,
 ) -> DataFrame:
@@ -148,8 +144,8 @@ def sample_placed(
 
     ``tiles`` are those of ``raster.rim_tiles``, ``rasters`` is a catalogue.
     """
-    joined = _with_tile(meetings(points, rasters), tiles, size)
-    value = F.try_element_at("cells", rim_position(F.col("prow"), F.col("pcol"), 0, 0, size))
+    joined = with_rim_tiles(meetings(points, rasters), tiles, size)
+    value = F.get("cells", rim_position(F.col("prow"), F.col("pcol"), 0, 0, size))
     return joined.select(
         *points.columns, "raster_id", "prow", "pcol", usable_value(value, F.col("nodata")).alias("val"))
 
@@ -158,7 +154,7 @@ def focal_placed(
     points: DataFrame, tiles: DataFrame, rasters: DataFrame, size: int = RIM_TILE,
 ) -> DataFrame:
     """Mean, population std and max of the 3 x 3 pixels around each point for each raster met."""
-    joined = _with_tile(meetings(points, rasters), tiles, size)
+    joined = with_rim_tiles(meetings(points, rasters), tiles, size)
     return joined.select(
         *points.columns, "raster_id", "prow", "pcol", window_statistics(F.col("nodata"), size).alias("_s"),
     ).select(*points.columns, "raster_id", "prow", "pcol", "_s.*")

@@ -12,10 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeworks.operators.exact import exact_quantiles
+from lodeworks.session import stage_table
 
 TILE = 32
-# Pixels of a side of a tile with a rim; its map is searched in order, so it is kept small.
+# Pixels of a side of a tile with a rim.
 RIM_TILE = 16
+# At most this many tiles with a rim (about 5 kB each) are broadcast.
+BROADCAST_TILES = 2000
 SATURATED = 255.0
 SATURATED_SHARE = 0.9
 # Row or column number that stands for everything farther out.
@@ -167,11 +170,32 @@ def usable_value(value: Column, nodata: Column) -> Column:
     return F.when(~bad, value)
 
 
+def with_rim_tiles(rows: DataFrame, tiles: DataFrame, size: int = RIM_TILE) -> DataFrame:
+    """Rows (raster_id, prow, pcol, ...) with ``cells`` of their tile: an array by ``rim_position``.
+
+    NULL without a tile. The size of grouped pixels cannot be foreseen from that of their files,
+    so the tiles that rows lie on are counted first: only those are joined, and they are
+    broadcast when they are few.
+    """
+    keys = ["raster_id", "trow", "tcol"]
+    # small files of points make few tasks, and a window costs far more than to move its point
+    placed = stage_table(rows.hint("rebalance").withColumns({
+        c: F.floor(F.col(p) / F.lit(size)).cast("int") for c, p in (("trow", "prow"), ("tcol", "pcol"))}), "placed")
+    wanted = stage_table(placed.select(*keys).distinct(), "wanted-tiles")
+    few = wanted.count() <= BROADCAST_TILES
+    sent = F.broadcast if few else (lambda df: df.hint("merge"))
+    # a map is searched in order, an array is not
+    cells = F.transform(
+        F.sequence(F.lit(0), F.lit((size + 2) ** 2 - 1)), lambda i: F.try_element_at("cells", i))
+    found = tiles.join(sent(wanted), keys, "left_semi").select(*keys, cells.alias("cells"))
+    return placed.join(sent(found), keys, "left")
+
+
 def window_statistics(nodata: Column, size: int = RIM_TILE) -> Column:
     """mean, std (of the population) and max of the 3 x 3 pixels around (prow, pcol) of a tile;
     0 without any valid pixel."""
     values = F.filter(F.array(*[
-        usable_value(F.try_element_at("cells", rim_position(F.col("prow"), F.col("pcol"), r, c, size)), nodata)
+        usable_value(F.get("cells", rim_position(F.col("prow"), F.col("pcol"), r, c, size)), nodata)
         for r in (-1, 0, 1) for c in (-1, 0, 1)]), lambda v: v.isNotNull())
 
     def mean(v: Column) -> Column:
@@ -196,9 +220,7 @@ def focal_statistics(
     Pixels are shuffled once, into tiles with a rim, and each point needs one join with its
     tile. Windows are cut at the raster edge; a window without any valid pixel gives 0.
     """
-    tile = {c: F.floor(F.col(p) / F.lit(size)).cast("int") for c, p in (("trow", "prow"), ("tcol", "pcol"))}
-    joined = _positions(points, rasters).withColumns(tile).join(
-        rim_tiles(pixels, size), ["raster_id", "trow", "tcol"], "left")
+    joined = with_rim_tiles(_positions(points, rasters), rim_tiles(pixels, size), size)
     nodata = F.lit(None).cast("double")
     for r in rasters:
         if r.nodata is not None:

@@ -258,3 +258,24 @@ def test_pixels_are_shuffled_once_for_windows(spark):
     plan = stats._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(raster_id") <= 2  # one for pixels, one for points
     assert "Window" not in plan
+
+
+@pytest.mark.parametrize("few", [0, 2000])
+def test_tiles_are_joined_by_their_number_not_by_the_size_of_files(spark, monkeypatch, few):
+    """Grouped pixels look as small as their file; only tiles below points are built."""
+    monkeypatch.setattr(raster, "BROADCAST_TILES", few)
+    pixels = stage_table(spark.range(64 * 64).selectExpr(
+        "'a' AS raster_id", "CAST(id DIV 64 AS INT) AS prow", "CAST(id % 64 AS INT) AS pcol",
+        "CAST(id AS DOUBLE) AS val"), "few-pixels")
+    points = spark.createDataFrame(
+        [("p", 1.5, -1.5), ("p", 1.5, -1.5), ("q", 63.5, -63.5), (None, 200.0, 1.0), ("n", None, 1.0)],
+        "id string, x double, y double")
+    cat = placed.catalogue(placed.placements(spark, [placed.Placement("a", 0.0, 0.0, 1.0, 0.0, 0.0, -1.0, 64, 64)]))
+    found = placed.focal_placed(points, raster.rim_tiles(pixels), cat)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ("SortMergeJoin" in plan) == (few == 0) and "LeftSemi" in plan
+    assert sorted((r["id"], r["mean"], r["max"]) for r in found.collect()) == [
+        ("p", 65.0, 130.0), ("p", 65.0, 130.0), ("q", (4095 + 4094 + 4031 + 4030) / 4, 4095.0)]
+    many = [raster.Raster("a", 0.0, 0.0, 1.0, -1.0)]
+    assert sorted(((r["id"], r["max"]) for r in raster.focal_statistics(points, pixels, many).collect()), key=str) == [
+        ("p", 130.0), ("p", 130.0), ("q", 4095.0), (None, 0.0)]
