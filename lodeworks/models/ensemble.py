@@ -12,12 +12,12 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodeworks.functions.numeric import clip, score_100
-from lodeworks.models.learners import fitted_learner, selected_preparation, training_quartiles
+from lodeworks.models.learners import FEATURES, fitted_learner, selected_preparation, training_quartiles
 from lodeworks.operators.columns import aligned
 from lodeworks.operators.exact import quantile
 from lodeworks.operators.metrics import model_agreement, regression_metrics, roc_auc
@@ -218,22 +218,35 @@ def permutation_impact(
     """Mean absolute change of the score when one feature is shuffled over rows.
 
     An approximation of attribution for tree models. Values are exchanged by
-    position along two digests of the key, one join per feature.
+    position along two digests of the key. One join deals out all features, and one
+    scoring pass takes a variant of each row per feature, so the plan does not
+    grow with the features. Rows without a key are not counted; rows that share a key are
+    compared with each other.
     """
-    base = score(ensemble, df, [key]).select(key, F.col("prospectivity").alias("before"))
-    base = stage_table(base, "base-scores")
-    parts = []
-    for feature in features:
-        donors = _exchanged(df, feature, key)
-        after = score(ensemble, donors, [key]).select(key, "prospectivity")
-        parts.append(base.join(after, key).agg(
-            F.avg(F.abs(F.col("prospectivity") - F.col("before"))).alias("impact")
-        ).select(F.lit(feature).alias("feature"), "impact"))
-    return reduce(DataFrame.unionByName, parts).orderBy(F.col("impact").desc(), "feature")
-
-
-def _exchanged(df: DataFrame, feature: str, key: str, rows_per_bucket: int = 100_000) -> DataFrame:
-    """``df`` with the values of one feature dealt out to other rows.
+    spark = df.sparkSession
+    base = score(ensemble, df, [key]).filter(F.col(key).isNotNull())
+    before = base.groupBy(key).agg(F.collect_list("prospectivity").alias("_before"))
+    dealt = _exchanged(df, features, key)
+    # sizes of files say little about rows here, so neither side is broadcast
+    rows = stage_table(dealt.join(stage_table(before, "base-scores").hint("merge"), key), "dealt")
+    own = [c for c in ensemble.features if c in df.columns]
+    place = {c: i for i, c in enumerate(features)}
+
+    def variant(n: int, feature: str) -> Column:
+        return F.struct(F.lit(n).alias("_n"), *[
+            F.col(f"_dealt.d{place[c]}" if c == feature else f"`{c}`").cast("double").alias(c) for c in own])
+
+    variants = rows.select("_before", F.explode(F.array(*[
+        variant(n, c) for n, c in enumerate(features)])).alias("_v")).select("_before", "_v.*")
+    after = score(ensemble, variants, ["_n", "_before"]).select(
+        "_n", "prospectivity", F.explode("_before").alias("_was"))
+    found = after.groupBy("_n").agg(F.avg(F.abs(F.col("prospectivity") - F.col("_was"))).alias("impact"))
+    names = spark.createDataFrame(list(enumerate(features)), "_n int, feature string")
+    return names.join(found, "_n", "left").select("feature", "impact").orderBy(F.col("impact").desc(), "feature")
+
+
+def _exchanged(df: DataFrame, features: list[str], key: str, rows_per_bucket: int = 100_000) -> DataFrame:
+    """``df`` with the features of another row as ``_dealt`` (fields d0, d1 ...).
 
     Rows are dealt inside hashed buckets, so no ordering spans the table.
     """
@@ -244,9 +257,6 @@ def _exchanged(df: DataFrame, feature: str, key: str, rows_per_bucket: int = 100
         order = W.partitionBy("_bucket").orderBy(F.xxhash64(F.col(key), F.lit(salt)), key)
         return rows.withColumn("_bucket", bucket).withColumn("_seat", F.row_number().over(order))
 
-    donors = seated(df.select(feature, key), "from").select(
-        "_bucket", "_seat", F.col(feature).alias("_dealt"))
-    return (
-        seated(df.drop(feature), "to").join(donors, ["_bucket", "_seat"])
-        .withColumnRenamed("_dealt", feature).drop("_bucket", "_seat")
-    )
+    gifts = F.struct(*[F.col(f"`{c}`").alias(f"d{i}") for i, c in enumerate(features)])
+    donors = seated(df.select(key, gifts.alias("_dealt")), "from").select("_bucket", "_seat", "_dealt")
+    return seated(df, "to").join(donors.hint("merge"), ["_bucket", "_seat"]).drop("_bucket", "_seat")

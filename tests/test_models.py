@@ -225,3 +225,35 @@ def test_top_ranked_breaks_ties_by_id(spark):
     df = spark.createDataFrame([("b", 5.0), ("a", 5.0), ("c", None)], "id string, s double")
     rows = top_ranked(df, "s", "id", 2).collect()
     assert [(r["id"], r["rank"]) for r in rows] == [("a", 1), ("b", 2)]
+
+
+def test_permutation_impacts_score_all_features_in_one_pass(spark, monkeypatch):
+    """Equal to a score per feature; the plan does not grow with the features, nothing is broadcast."""
+    passes = []
+
+    def score(fitted, df, keep):
+        passes.append(keep)
+        return df.select(*keep, (F.col("a") + 2 * F.col("b")).alias("prospectivity"))
+
+    monkeypatch.setattr(ensemble, "score", score)
+    fitted = ensemble.Ensemble(["a", "b", "c d"], None, {}, None)
+    rows = [(f"h{i}", float(i * 7 % 40), float(i % 5), 1.0) for i in range(40)]
+    rows += [("h3", 1.0, 0.0, 2.0), (None, 5.0, 1.0, 0.0)]  # a key that comes twice, and none
+    df = spark.createDataFrame(rows, "hole_id string, a double, b double, `c d` double")
+    features = ["a", "b", "c d"]
+    found = ensemble.permutation_impact(fitted, df, "y", features)
+    got = {r["feature"]: r["impact"] for r in found.collect()}
+    assert len(passes) == 2
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("] parquet") == 1
+    dealt = ensemble._exchanged(df, features, "hole_id").collect()
+    assert sorted(r["_dealt"]["d0"] for r in dealt) == sorted(r[1] for r in rows)
+    before = {}
+    for key, a, b, _ in rows:
+        before.setdefault(key, []).append(a + 2 * b)
+    for i, name in enumerate(features):
+        changes = [
+            abs((r["_dealt"]["d0"] if i == 0 else r["a"]) + 2 * (r["_dealt"]["d1"] if i == 1 else r["b"]) - was)
+            for r in dealt if r["hole_id"] is not None for was in before[r["hole_id"]]]
+        assert got[name] == pytest.approx(np.mean(changes))
+    empty = ensemble.permutation_impact(fitted, df.limit(0), "y", features).collect()
+    assert [(r["feature"], r["impact"]) for r in empty] == [(c, None) for c in features]
