@@ -23,6 +23,10 @@ from lodeworks.operators.columns import aligned
 from lodeworks.session import fresh_path
 
 
+#: Patterns of at most so many features are found by counting.
+COUNTED_BITS = 12
+
+
 class Leaf(NamedTuple):
     """What a leaf adds to a prediction, and for each feature on its path the values let
     through (above ``low``, up to ``high``) and the share of training rows let through."""
@@ -97,17 +101,27 @@ def leaf_values(through: np.ndarray, share: np.ndarray) -> np.ndarray:
 
 def attributed(rows: np.ndarray, leaves: list[Leaf]) -> np.ndarray:
     """Sum of the leaves' Shapley values, one row and column per row and feature of ``rows``."""
-    out = np.zeros_like(rows)
+    columns = np.ascontiguousarray(rows.T)
+    out = np.zeros_like(columns)
     for leaf in leaves:
         m = len(leaf.features)
         if not m:
             continue
-        values = rows[:, leaf.features]
-        passes = (values > leaf.low) & (values <= leaf.high)
-        code = passes @ (np.int64(1) << np.arange(m, dtype=np.int64))
-        _, first, pattern = np.unique(code, return_index=True, return_inverse=True)
-        out[:, leaf.features] += leaf.value * leaf_values(passes[first].astype(float), leaf.share)[pattern]
-    return out
+        code = np.zeros(len(rows), np.int64)
+        for j, f in enumerate(leaf.features.tolist()):
+            code |= ((columns[f] > leaf.low[j]) & (columns[f] <= leaf.high[j])).astype(np.int64) << j
+        if m <= COUNTED_BITS:  # counting finds the patterns without a sort
+            seen = np.flatnonzero(np.bincount(code, minlength=1 << m))
+            place = np.zeros(1 << m, np.int64)
+            place[seen] = np.arange(len(seen))
+            pattern = place[code]
+        else:
+            seen, pattern = np.unique(code, return_inverse=True)
+        passes = (seen[:, None] >> np.arange(m)) & 1
+        values = np.ascontiguousarray(leaf.value * leaf_values(passes.astype(float), leaf.share).T)
+        for j, f in enumerate(leaf.features.tolist()):
+            out[f] += values[j][pattern]
+    return out.T
 
 
 def attributions(ensemble, df: DataFrame, keep: list[str]) -> tuple[DataFrame, float]:

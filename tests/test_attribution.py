@@ -84,3 +84,12 @@ def test_attributions_of_an_ensemble_add_up_to_its_score(spark):
     impact = attribution.attribution_impact(fitted, df, top=2).collect()
     assert len(impact) == 2 and impact[0]["impact"] >= impact[1]["impact"] > 0
     assert attribution.attributions(fitted, df.limit(0), ["hole_id"])[0].count() == 0
+
+
+def test_patterns_found_by_counting_or_sorting_are_the_same(spark, monkeypatch):
+    x, df = frame(spark)
+    leaves, _ = attribution.tree_leaves(RandomForestRegressor(numTrees=3, maxDepth=5, seed=3).fit(df))
+    counted = attribution.attributed(x, leaves)
+    monkeypatch.setattr(attribution, "COUNTED_BITS", 0)
+    np.testing.assert_array_equal(attribution.attributed(x, leaves), counted)
+    assert attribution.attributed(x[:0], leaves).shape == (0, x.shape[1])
