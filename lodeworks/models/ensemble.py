@@ -84,7 +84,10 @@ def _fit_all(train: DataFrame, features, label, learners, prepare: Callable, qua
     # The boosted learner reads its input once per round, so it is kept, in no
     # more tasks than its rows are worth.
     tasks = max(1, math.ceil(rows / ROWS_PER_TASK))
-    prepared = preparation.transform(train).coalesce(tasks).persist()
+    prepared = preparation.transform(train)
+    # Learners read these only; the columns they come from would take most of the memory.
+    used = [label, FEATURES, *[c for c in prepared.columns if c.startswith("sc_")]]
+    prepared = prepared.select(*[F.col(f"`{c}`") for c in used]).coalesce(tasks).persist()
     try:
         models = {
             name: fitted_learner(prepared, name, learner, label, features)

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodeworks.functions.numeric import nan_to_null
 
@@ -167,6 +170,8 @@ class _Search:
 
 
 CELLS = 1024
+#: Counts that a task adds up before it passes them on.
+HELD_COUNTS = 200_000
 
 
 def held_out_quantiles(
@@ -214,26 +219,61 @@ def held_out_quantiles(
 
 
 def _cell_counts(values: DataFrame, asked: list[tuple], cells: int, first: bool) -> dict[tuple, list]:
-    """Counts, least and greatest value by bracket, cell and fold."""
-    if first:  # brackets without ends: all values of a column are one cell each
-        parts = [F.struct(F.lit(m).alias("m"), F.lit(0).cast("long").alias("cell"), F.col(f"v{j}").alias("v"))
-                 for m, (j, _, _) in enumerate(asked)]
-    else:
-        parts = []
-        for m, (j, low, high) in enumerate(asked):
-            v = F.col(f"v{j}")
-            # the halves keep the width of a bracket finite; cells never fall as values rise
-            share = (v / 2 - F.lit(low / 2)) / F.lit(max(high / 2 - low / 2, 5e-324))
-            cell = F.when(v == F.lit(low), -1).when(v == F.lit(high), cells).otherwise(
-                F.least(F.floor(share * cells), F.lit(cells - 1)))
-            parts.append(F.struct(
-                F.lit(m).alias("m"), cell.cast("long").alias("cell"),
-                F.when(v.between(F.lit(low), F.lit(high)), v).alias("v")))
-    rows = (
-        values.select("fold", F.explode(F.array(*parts)).alias("s")).select("fold", "s.*")
-        .filter("v IS NOT NULL").groupBy("m", "cell", "fold")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
-    )
+    """Counts, least and greatest value by bracket, cell and fold.
+
+    A task adds its rows up before they are grouped, HELD_COUNTS counts at a time.
+    """
+    def table(held):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x, t) for x, t in zip(zip(*((*k, *c) for k, c in held.items())), kinds)],
+            names=["m", "cell", "fold", "n", "least", "most"])
+
+    def counted(batches):
+        held: dict = {}
+        for batch in batches:
+            folds = batch.column(0).dictionary_encode()
+            names, codes = folds.dictionary.to_pylist(), folds.indices.fill_null(len(folds.dictionary)).to_numpy()
+            names.append(None)
+            for m, (j, low, high) in enumerate(asked):
+                v = batch.column(1 + j).to_numpy(zero_copy_only=False)
+                # NaN stands for null
+                at = np.flatnonzero((v >= low) & (v <= high))
+                if not len(at):
+                    continue
+                v = v[at]
+                if first:  # brackets without ends: all values of a column are one cell each
+                    cell = np.zeros(len(v), np.int64)
+                else:
+                    # the halves keep the width of a bracket finite; cells never fall as values rise
+                    share = (v / 2 - low / 2) / max(high / 2 - low / 2, 5e-324)
+                    cell = np.minimum(np.floor(share * cells), cells - 1).astype(np.int64)
+                    cell[v == low] = -1
+                    cell[v == high] = cells
+                group = codes[at] * (cells + 2) + cell + 1
+                order = np.argsort(group, kind="stable")
+                group, v = group[order], v[order]
+                start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+                sizes = np.diff(np.append(start, len(v)))
+                for g, n, least, most in zip(
+                    group[start].tolist(), sizes.tolist(), np.minimum.reduceat(v, start).tolist(),
+                    np.maximum.reduceat(v, start).tolist(),
+                ):
+                    key = (m, g % (cells + 2) - 1, names[g // (cells + 2)])
+                    was = held.get(key)
+                    held[key] = (n, least, most) if was is None else (
+                        was[0] + n, min(was[1], least), max(was[2], most))
+                if len(held) > HELD_COUNTS:
+                    yield table(held)
+                    held = {}
+        if held:
+            yield table(held)
+
+    fold = values.schema["fold"].dataType
+    kinds = [pa.int32(), pa.int64(), to_arrow_type(fold), pa.int64(), pa.float64(), pa.float64()]
+    rows = values.mapInArrow(
+        counted, f"m int, cell long, fold {fold.simpleString()}, n long, least double, most double",
+    ).groupBy("m", "cell", "fold").agg(
+        F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
     out: dict[tuple, list] = {}
     for r in rows.collect():
         out.setdefault(asked[r["m"]], []).append((r["cell"], r["fold"], r["n"], r["least"], r["most"]))

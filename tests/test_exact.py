@@ -112,3 +112,14 @@ def test_an_outlier_in_the_test_fold_changes_no_training_median(spark):
     moved = [(f, 1e9 if f == 1 else v) for f, v in rows]
     other = exact.held_out_quantiles(spark.createDataFrame(moved, "fold int, v double"), ["v"], [0.5], "fold")
     assert plain[1] == other[1] and plain[0] != other[0] and plain[None] != other[None]
+
+
+def test_held_out_counts_pass_on_in_parts(spark, monkeypatch):
+    """A task groups its rows before the shuffle and never holds all its counts."""
+    df = spark.createDataFrame(
+        [(i % 3, float(i * 37 % 1000), -0.5 * i) for i in range(1000)],
+        "fold int, v double, w double")
+    whole = exact.held_out_quantiles(df, ["v", "w"], [0.1, 0.5], "fold")
+    monkeypatch.setattr(exact, "HELD_COUNTS", 3)
+    assert exact.held_out_quantiles(df, ["v", "w"], [0.1, 0.5], "fold") == whole
+    assert whole[None]["v"] == pytest.approx(list(np.quantile(range(1000), [0.1, 0.5])))
