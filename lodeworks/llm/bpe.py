@@ -8,7 +8,8 @@ following those back from the end gives the ids. No merge loop runs over a text.
 
 No piece of the tokenizer holds white space, so texts are cut at it and each distinct part is
 cut into the tokenizer's own pieces (special tokens, NFC, lower case by code point, its
-pattern) once per slice. Pieces met before come from a cache of bounded size.
+pattern) once per slice. Pieces met before come from a cache of bounded size, which ends with
+its task: workers go on to other stages, and hold one codec of a vocabulary.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lodeworks.llm.words import SPACES, distinct_parts, held_for, lists, slices, text_bytes
+from lodeworks.llm.words import SPACES, distinct_parts, held_for, lists, released, slices, text_bytes
 
 #: Pieces that each of a worker's two cache generations holds.
 CACHE_PIECES = 1 << 16
@@ -71,18 +72,21 @@ class Vocabulary(NamedTuple):
     ids: dict[str, int]
     merges: list[tuple[str, str]]
     specials: dict[str, int]
+    #: digest of the file, by which workers know it
+    digest: str | None = None
 
 
 def read_vocabulary(path: str) -> Vocabulary:
     """Vocabulary of a word-end BPE file; refuses files of another kind."""
-    with open(path, encoding="utf-8") as file:
-        spec = json.load(file)
+    with open(path, "rb") as file:
+        raw = file.read()
+    spec = json.loads(raw)
     model = spec["model"]
     if model["type"] != "BPE" or model["end_of_word_suffix"] != _END or spec["decoder"] is not None:
         raise ValueError("not a BPE vocabulary with word ends")
     merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
     specials = {x["content"]: x["id"] for x in spec["added_tokens"]}
-    return Vocabulary(model["vocab"], merges, specials)
+    return Vocabulary(model["vocab"], merges, specials, hashlib.sha256(raw).hexdigest())
 
 
 def _byte_letters() -> list[str]:
@@ -250,6 +254,11 @@ class Codec:
             return self._careful.findall(text.translate(self._lower))
         return self._pieces.findall(text)
 
+    def forget(self) -> None:
+        """Empty the caches."""
+        self._tests.clear()
+        self._new, self._old = {}, {}
+
     def encode(self, text: str) -> list[int]:
         return [i for piece in self.pieces(text) for i in piece.ids]
 
@@ -260,7 +269,7 @@ class Codec:
 
 def _codec(shared) -> Codec:
     """The worker's codec of a broadcast vocabulary."""
-    return held_for(shared, Codec)
+    return held_for(shared, Codec, shared.value.digest)
 
 
 def _parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -283,8 +292,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
 
-    def encode(batches):
-        codec = _codec(shared)
+    def encoded(batches, codec):
         for batch in slices(batches, "text"):
             codes, first, parts = _parts(batch.column(1))
             found = [codec.encode(part) for part in parts]
@@ -296,6 +304,10 @@ def encode_documents(docs: DataFrame, vocabulary_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), lists(flat[at], ends, pa.int32())], names=["doc_id", "ids"])
 
+    def encode(batches):
+        codec = _codec(shared)
+        return released(encoded(batches, codec), codec.forget)
+
     return docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids array<int>")
 
 

@@ -226,3 +226,25 @@ def test_bpe_on_tables(spark, library):
         assert found["ids_sha256"] == hashlib.sha256(" ".join(map(str, known)).encode()).hexdigest()
         assert found["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()
     assert token_digests(data.limit(0), VOCABULARY).count() == 0
+
+
+def test_workers_hold_one_codec_and_no_pieces_after_a_task(spark):
+    docs = spark.range(400).selectExpr("id doc_id", "concat('word', id, ' and more') text").repartition(8)
+    for _ in range(3):  # a broadcast of its own each time
+        assert encode_documents(docs, VOCABULARY).count() == 400
+
+    def held(batches):
+        for _ in batches:
+            pass
+        codecs = [made for _, made in scanner._HELD if isinstance(made, Codec)]
+        cached = sum(len(c._new) + len(c._old) + len(c._tests) for c in codecs)
+        yield pa.RecordBatch.from_pydict({"codecs": [len(codecs)], "cached": [cached]})
+
+    rows = spark.range(64).repartition(16).mapInArrow(held, "codecs long, cached long").collect()
+    assert {(r.codecs, r.cached) for r in rows} <= {(0, 0), (1, 0)}
+
+
+def test_slices_bound_what_a_worker_holds():
+    texts = pa.array(["a sentence of words " * 500] * 800)  # 8 MB
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    assert max(s.column(0).nbytes for s in scanner.slices([batch], "text")) < 1.1 * 2**20
