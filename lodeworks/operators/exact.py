@@ -98,18 +98,27 @@ def _bracketed(df, columns, probabilities, rows, buffer_values):
             else:
                 brackets[k], counts[k] = found[m], (below, n)
     targets = {k: (ranks[k], counts[k][0]) for k in keys}
-    pairs = F.array(*[
+    held = list(brackets.items())
+    # few values lie in a bracket, so the others are dropped before rows are made of them
+    inside_one = F.filter(F.array(*[
         F.struct(
-            F.lit(columns.index(c)).alias("j"), F.lit(i).alias("i"),
-            F.when(F.col(f"`{c}`").between(F.lit(low), F.lit(high)), F.col(f"`{c}`")).alias("v"),
-            F.lit(int(math.floor(targets[(c, i)][0])) - targets[(c, i)][1]).alias("first"),
-            F.lit(int(math.ceil(targets[(c, i)][0])) - targets[(c, i)][1]).alias("last"),
-        )
-        for (c, i), (low, high) in brackets.items()
-    ])
+            F.lit(m).alias("m"),
+            F.when(F.col(f"`{c}`").between(F.lit(low), F.lit(high)), F.col(f"`{c}`")).alias("v"))
+        for m, ((c, _), (low, high)) in enumerate(held)
+    ]), lambda s: s["v"].isNotNull())
+
+    def of_bracket(values: list[int]) -> Column:
+        return F.element_at(F.array(*[F.lit(x) for x in values]), F.col("m") + 1)
+
     values = (
-        doubles.select(F.explode(pairs).alias("s")).select("s.*").filter("v IS NOT NULL")
-        .groupBy("j", "i", "first", "last", "v").agg(F.count(F.lit(1)).alias("n"))
+        doubles.select(F.explode(inside_one).alias("s")).select("s.*")
+        .groupBy("m", "v").agg(F.count(F.lit(1)).alias("n"))
+        .select(
+            of_bracket([columns.index(c) for (c, _), _ in held]).alias("j"),
+            of_bracket([i for (_, i), _ in held]).alias("i"),
+            of_bracket([math.floor(targets[k][0]) - targets[k][1] for k, _ in held]).alias("first"),
+            of_bracket([math.ceil(targets[k][0]) - targets[k][1] for k, _ in held]).alias("last"),
+            "v", "n")
     )
     upto = F.sum("n").over(W.partitionBy("j", "i").orderBy("v"))
     picked = (

@@ -123,3 +123,14 @@ def test_held_out_counts_pass_on_in_parts(spark, monkeypatch):
     monkeypatch.setattr(exact, "HELD_COUNTS", 3)
     assert exact.held_out_quantiles(df, ["v", "w"], [0.1, 0.5], "fold") == whole
     assert whole[None]["v"] == pytest.approx(list(np.quantile(range(1000), [0.1, 0.5])))
+
+
+def test_only_values_inside_a_bracket_become_rows(spark, monkeypatch):
+    made, explode = [], F.explode
+    monkeypatch.setattr(exact.F, "explode", lambda c: made.append(str(c)) or explode(c))
+    values = [float(i * 7919 % 5000) for i in range(5000)] + [float("inf"), float("-inf")]
+    rows = [(v, -v if i % 3 else None) for i, v in enumerate(values)] + [(float("nan"), None)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    found = exact.exact_quantiles(df, ["a", "b"], [0.25, 0.5, 0.9], buffer_values=100)
+    assert found == exact.exact_quantiles(df, ["a", "b"], [0.25, 0.5, 0.9])
+    assert len(made) == 1 and "filter" in made[0].lower()
