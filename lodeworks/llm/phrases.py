@@ -30,6 +30,8 @@ CONTAINED = 80
 UNKNOWN = "und"
 #: Bytes of text that one block covers; a longer text makes a block of its own.
 BLOCK_BYTES = 1 << 23
+#: Blocks that a task extends, one after another, and leaves in one file.
+BLOCKS_PER_TASK = 4
 #: Rows (phrases of blocks) that are numbered together.
 ROWS_PER_BUCKET = 500_000
 _PIECE_ENDS = np.zeros(256, bool)
@@ -81,34 +83,42 @@ def _blocks(docs: DataFrame) -> DataFrame:
         cut, "block long, lang string, n long, codes array<int>, words array<string>, counts array<int>")
 
 
-def _extend(blocks: DataFrame, kept: DataFrame) -> DataFrame:
+def _extend(blocks: DataFrame, kept: DataFrame, count: int) -> DataFrame:
     """Next relation: phrases at two neighbouring places, both frequent, make a longer one.
 
-    ``codes`` are places in a block's ``pairs``, the numbers of both halves in one.
+    ``codes`` are places in a block's ``pairs``, the numbers of both halves in one. Workers are
+    given one of the ``count`` blocks at a time.
     """
-    def join(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                codes, held, numbers = (batch.column(c)[i].values.to_numpy() for c in ("codes", "held", "numbers"))
-                # the number of each code; the last place stands for no phrase
-                number = np.full(max(codes.max(), held.max()) + 2, -1, np.int64)
-                number[held] = numbers
-                here = number[codes]
-                at = np.flatnonzero((here[:-1] >= 0) & (here[1:] >= 0))
-                if not len(at):
-                    continue
-                pairs, inverse, counts = np.unique(
-                    (here[at] << 32) | here[at + 1], return_inverse=True, return_counts=True)
-                out = np.full(len(codes), -1, np.int32)
-                out[at] = inverse
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, 1), lists(out, [0, len(out)], pa.int32()),
-                     lists(pairs, [0, len(pairs)], pa.int64()), lists(counts, [0, len(counts)], pa.int32())],
-                    names=["block", "codes", "pairs", "counts"])
-
-    back = kept.groupBy("block").agg(
-        F.collect_list("code").alias("held"), F.collect_list("number").alias("numbers"))
-    return blocks.select("block", "codes").join(back, "block").mapInArrow(
+    kind = pa.schema({
+        "block": pa.int64(), "codes": pa.list_(pa.int32()), "pairs": pa.list_(pa.int64()),
+        "counts": pa.list_(pa.int32())})
+
+    def join(places: pa.Table, frequent: pa.Table) -> pa.Table:
+        if not places.num_rows or not frequent.num_rows:
+            return kind.empty_table()
+        codes = places.column("codes")[0].values.to_numpy()
+        held = frequent.column("code").to_numpy()
+        # the number of each code; the last place stands for no phrase
+        number = np.full(max(codes.max(), held.max()) + 2, -1, np.int64)
+        number[held] = frequent.column("number").to_numpy()
+        here = number[codes]
+        at = np.flatnonzero((here[:-1] >= 0) & (here[1:] >= 0))
+        if not len(at):
+            return kind.empty_table()
+        pairs, inverse, counts = np.unique(
+            (here[at] << 32) | here[at + 1], return_inverse=True, return_counts=True)
+        out = np.full(len(codes), -1, np.int32)
+        out[at] = inverse
+        return pa.Table.from_arrays(
+            [pa.array(places.column("block")[:1].to_numpy()), lists(out, [0, len(out)], pa.int32()),
+             lists(pairs, [0, len(pairs)], pa.int64()), lists(counts, [0, len(counts)], pa.int32())],
+            schema=kind)
+
+    tasks = count // BLOCKS_PER_TASK + 1
+    places, frequent = (
+        table.select("block", *columns).repartition(tasks, "block").groupBy("block")
+        for table, columns in ((blocks, ["codes"]), (kept, ["code", "number"])))
+    return places.cogroup(frequent).applyInArrow(
         join, "block long, codes array<int>, pairs array<long>, counts array<int>")
 
 
@@ -144,7 +154,7 @@ def frequent_phrases(
     """
     blocks = stage_table(_blocks(docs), "phrase-blocks")
     totals = stage_table(blocks.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
-    rows = blocks.agg(F.sum(F.size("words"))).first()[0] or 0
+    rows, count = blocks.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)), F.count(F.lit(1))).first()
     kept = _frequent(
         blocks.select("lang", "block", "counts", F.posexplode("words").alias("code", "word")).select(
             "lang", "word", "block", "code", F.get("counts", "code").cast("long").alias("n")),
@@ -154,10 +164,10 @@ def frequent_phrases(
             "lang", "number", "phrase", F.col("phrase").alias("last"), "f",
             F.array("f").alias("heads"), F.array("f").alias("tails")), "phrases-1")]
     for length in range(2, longest + 1):
-        longer = stage_table(_extend(blocks, kept), f"phrase-pairs-{length}")
+        longer = stage_table(_extend(blocks, kept, count), f"phrase-pairs-{length}")
         discard(blocks)
         discard(kept)
-        rows = longer.agg(F.sum(F.size("pairs"))).first()[0] or 0
+        rows, count = longer.agg(F.coalesce(F.sum(F.size("pairs")), F.lit(0)), F.count(F.lit(1))).first()
         kept = _frequent(
             longer.select("block", "counts", F.posexplode("pairs").alias("code", "pair")).select(
                 "pair", "block", "code", F.get("counts", "code").cast("long").alias("n")),

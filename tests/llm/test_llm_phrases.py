@@ -86,3 +86,16 @@ def test_blocks_keep_pieces_and_languages_apart():
     words, codes = made["words"][0].as_py(), made["codes"][0].as_py()
     assert [words[c] if c >= 0 else None for c in codes] == ["a", "b", None, "c", None, "b"]
     assert phrases._word_block(pa.array([" .,", ""]), "en", 7) is None
+
+
+def test_workers_are_given_one_block_at_a_time(spark):
+    blocks = spark.createDataFrame(
+        [(b, [0, 1, -1, 0, 1, 2]) for b in range(6)], "block long, codes array<int>").coalesce(1)
+    kept = spark.createDataFrame(
+        [(b, code, 7 + code) for b in range(5) for code in range(b and 2)], "block long, code int, number long")
+    longer = phrases._extend(blocks, kept, 6)
+    # neither the numbers of a block in one row nor several blocks in one batch
+    plan = longer._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" in plan and "collect_list" not in plan
+    found = {r["block"]: (r["codes"], r["pairs"], r["counts"]) for r in longer.collect()}
+    assert found == {b: ([0, -1, -1, 0, -1, -1], [7 << 32 | 8], [2]) for b in range(1, 5)}
