@@ -4,23 +4,25 @@ A sequence of tokens is an encoding exactly if each neighbouring pair is the enc
 pair's own text, so every prefix of a word has one last token. An Aho-Corasick automaton over
 the vocabulary reports the tokens that are suffixes of the text up to each place, longest
 first; the one that is compatible with the last token of the prefix before it is stored, and
-following those back from the end gives the ids. No merge loop runs over a text.
+following those back from the end gives the ids. No merge loop runs over a text. A prefix that
+a word shares with the one before it has the same last tokens, so those are kept.
 
 No piece of the tokenizer holds white space, so texts are cut at it and each distinct part is
 cut into the tokenizer's own pieces (special tokens, NFC, lower case by code point, its
-pattern) once per slice. Pieces met before come from a cache of bounded size, which ends with
-its task: workers go on to other stages, and hold one codec of a vocabulary.
+pattern) once per slice, in sorted order, so that words that begin alike follow one another.
+Pieces met before come from a cache of bounded size, which ends with its task: workers go on to
+other stages, and hold one codec of a vocabulary.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from itertools import chain
 from typing import NamedTuple
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -43,6 +45,8 @@ _ASCII_WHITE = " \t\n\x0b\x0c\r"
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 _PIECES = rf"{_CONTRACTIONS}|\p{{L}}+|\p{{N}}|[^{_WHITE}\p{{L}}\p{{N}}]+"
+#: The same over lower-cased ASCII, where the plain module does.
+_ASCII_PIECES = re.compile(rf"{_CONTRACTIONS}|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 _NEWER = [
     (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC),
     (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4),
@@ -105,11 +109,48 @@ def _span_text(spans: list[tuple[int, int]]) -> str:
 
 
 class Piece(NamedTuple):
+    """Both texts end with the space that joins them to the next piece."""
+
     ids: tuple[int, ...]
     ids_text: str
     decoded: str
 
 
+class State(dict):
+    """State of the automaton: the next one by symbol, the state of the longest suffix, and the
+    tokens (id, size) that end here, longest first."""
+
+    __slots__ = ("shorter", "found")
+
+
+def automaton(words: list[tuple[str, int]]) -> State:
+    """Aho-Corasick automaton over the tokens' symbols; returns its first state."""
+    first = State()
+    first.shorter, first.found = None, ()
+    for symbols, token in words:
+        state = first
+        for symbol in symbols:
+            after = state.get(symbol)
+            if after is None:
+                after = state[symbol] = State()
+                after.found = ()
+            state = after
+        state.found = ((token, len(symbols)),)
+    level = [first]
+    while level:
+        following = []
+        for state in level:
+            for symbol, after in state.items():
+                shorter = state.shorter
+                while shorter is not None and symbol not in shorter:
+                    shorter = shorter.shorter
+                after.shorter = first if shorter is None else shorter[symbol]
+                after.found += after.shorter.found
+                following.append(after)
+        level = following
+    return first
+
+
 class Codec:
     """Encoder and decoder of one vocabulary."""
 
@@ -137,7 +178,7 @@ class Codec:
             pair = (vocabulary.ids[left], vocabulary.ids[right])
             token = vocabulary.ids[left + right]
             parts[token], self._merged[pair], self._rank[token] = pair, token, rank
-        self._automaton = ahocorasick.Automaton()
+        words = []
         for text, token in vocabulary.ids.items():
             ended = text.endswith(_END) and text != _END
             body = text[: -len(_END)] if ended else text
@@ -146,15 +187,18 @@ class Codec:
             symbols = "".join(byte_of[c] for c in body)
             if ended:  # the last byte of a word is a symbol of its own
                 symbols = symbols[:-1] + chr(256 + ord(symbols[-1]))
-            self._automaton.add_word(symbols, (token, len(symbols)))
+            words.append((symbols, token))
             self._length[token] = len(symbols)
-        self._automaton.make_automaton()
+        self._automaton = automaton(words)
+        # the word before, with the state and the last token at each of its places
+        self._word, self._states, self._last = "", [], []
         # each token's last (first) symbol, then what it merges into on the way to the token,
         # with the rank at which the next merge comes
         self._right = {t: self._spine(t, parts, 1) for t in self._length}
         self._left = {t: self._spine(t, parts, 0) for t in self._length}
         self._tests: dict[int, bool] = {}
-        self._id_text = {i: str(i) for i in self.token_text}
+        self._id_text = {i: f"{i} " for i in self.token_text}
+        self._spaced = {i: f"{text} " for i, text in self.token_text.items()}
         self._new: dict[str, Piece] = {}
         self._old: dict[str, Piece] = {}
 
@@ -192,20 +236,35 @@ class Codec:
 
     def encode_symbols(self, symbols: str) -> list[int]:
         """Ids of a word given as one symbol a byte."""
-        last = [-1] * len(symbols)
+        same = 0
+        for one, other in zip(self._word, symbols):
+            if one != other:
+                break
+            same += 1
+        last, states, state = self._last, self._states, self._automaton
+        del last[same:], states[same:]
+        if same:
+            state = states[-1]
+        self._word = symbols
         tests, compatible = self._tests, self.compatible
-        for end, (token, size) in self._automaton.iter(symbols):
-            if last[end] >= 0:
-                continue
-            before = end - size
-            if before >= 0:
-                left = last[before]
-                if left < 0:
-                    continue
-                fits = tests.get(left << _ID_BITS | token)
-                if not (compatible(left, token) if fits is None else fits):
-                    continue
-            last[end] = token
+        for end in range(same, len(symbols)):
+            symbol = symbols[end]
+            while (after := state.get(symbol)) is None and state.shorter is not None:
+                state = state.shorter
+            if after is not None:
+                state = after
+            states.append(state)
+            for token, size in state.found:
+                if size > end:
+                    break  # the whole prefix
+                left = last[end - size]
+                if left >= 0:
+                    fits = tests.get(left << _ID_BITS | token)
+                    if compatible(left, token) if fits is None else fits:
+                        break
+            else:
+                token = -1
+            last.append(token)
         length = self._length
         ids, at = [], len(symbols) - 1
         while at >= 0:
@@ -217,8 +276,10 @@ class Codec:
     def _encode_piece(self, text: str) -> Piece:
         raw = text.encode("utf-8").decode("latin-1")
         ids = self.encode_symbols(raw[:-1] + chr(256 + ord(raw[-1])))
+        if len(ids) == 1:
+            return Piece((ids[0],), self._id_text[ids[0]], self._spaced[ids[0]])
         return Piece(
-            tuple(ids), " ".join([self._id_text[i] for i in ids]), " ".join([self.token_text[i] for i in ids]))
+            tuple(ids), "".join(map(self._id_text.__getitem__, ids)), "".join(map(self._spaced.__getitem__, ids)))
 
     def piece(self, text: str) -> Piece:
         found = self._new.get(text)
@@ -240,13 +301,13 @@ class Codec:
         for special in self._cut.finditer(text):
             out += map(self.piece, self._cut_text(text[at:special.start()]))
             token = self._specials[special.group()]
-            out.append(Piece((token,), str(token), special.group()))
+            out.append(Piece((token,), f"{token} ", f"{special.group()} "))
             at = special.end()
         return out + list(map(self.piece, self._cut_text(text[at:])))
 
     def _cut_text(self, text: str) -> list[str]:
         if text.isascii():
-            return self._pieces.findall(text.lower())
+            return _ASCII_PIECES.findall(text.lower())
         text = unicodedata.normalize("NFC", text)
         # code point by code point: no rule for a sigma at the end of a word
         text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
@@ -258,6 +319,7 @@ class Codec:
         """Empty the caches."""
         self._tests.clear()
         self._new, self._old = {}, {}
+        self._word, self._states, self._last = "", [], []
 
     def encode(self, text: str) -> list[int]:
         return [i for piece in self.pieces(text) for i in piece.ids]
@@ -273,11 +335,11 @@ def _codec(shared) -> Codec:
 
 
 def _parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Texts cut where words begin: code of each part, first part of each text, parts."""
+    """Texts cut where words begin: code of each part, first part of each text, sorted parts."""
     data, offsets = text_bytes(texts)
     cut = np.zeros(len(data), bool)
     cut[1:] = SPACES[data[:-1]] & ~SPACES[data[1:]]
-    return distinct_parts(data, offsets, cut)
+    return distinct_parts(data, offsets, cut, ordered=True)
 
 
 def _per_text(values: np.ndarray, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -337,13 +399,18 @@ def token_digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
         codec = _codec(shared)
         for batch in slices(batches, "text", DIGEST_BYTES):
             codes, first, parts = _parts(batch.column(1))
-            sizes, ids, decoded = np.zeros(len(parts), np.int64), [], []
-            for i, part in enumerate(parts):
+            sizes, ids, decoded = [], [], []
+            for part in parts:
                 pieces = codec.pieces(part)
-                sizes[i] = sum([len(p.ids) for p in pieces])
-                # every part ends with the space that joins it to the next
-                ids.append("".join([f"{p.ids_text} " for p in pieces]))
-                decoded.append("".join([f"{p.decoded} " for p in pieces]))
+                if len(pieces) == 1:
+                    (own, ids_text, text), = pieces
+                    sizes.append(len(own))
+                    ids.append(ids_text)
+                    decoded.append(text)
+                else:
+                    sizes.append(sum([len(p.ids) for p in pieces]))
+                    ids.append("".join([p.ids_text for p in pieces]))
+                    decoded.append("".join([p.decoded for p in pieces]))
             digests = [[], []]
             for low, high in zip(first.tolist(), first[1:].tolist()):
                 own = codes[low:high].tolist()
@@ -351,7 +418,7 @@ def token_digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                     whole = "".join(map(texts.__getitem__, own))[:-1]
                     out.append(hashlib.sha256(whole.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(_per_text(sizes, codes, first), pa.int64()),
+                [batch.column(0), pa.array(_per_text(np.array(sizes, np.int64), codes, first), pa.int64()),
                  *(pa.array(x, pa.string()) for x in digests)],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -10,7 +10,7 @@ from corpus import awkward, base_counts, cut_repeats, near_components, words
 from tokenizers import Tokenizer
 
 from lodeworks.llm import words as scanner
-from lodeworks.llm.bpe import Codec, decode_documents, encode_documents, read_vocabulary, token_digests
+from lodeworks.llm.bpe import Codec, _parts, decode_documents, encode_documents, read_vocabulary, token_digests
 from lodeworks.llm.neardup import near_duplicates, signatures
 from lodeworks.llm.quality import js_distance, keep_good, quality_report, references
 from lodeworks.llm.substrings import remove_repeats
@@ -212,6 +212,29 @@ def test_bpe_pairs_are_tested_exactly(library):
             assert codec.encode(letter * n) == library.encode(letter * n, add_special_tokens=False).ids
 
 
+def test_bpe_keeps_what_a_word_shares_with_the_one_before(library):
+    codec = Codec(read_vocabulary(VOCABULARY))
+    words = ["sharing", "shared", "share", "shareable", "", "zebra", "zebras", "zebra", "été", "étés", "a" * 30]
+    for word in [*words, *sorted(words), *words[::-1]]:
+        assert codec.encode(word) == library.encode(word, add_special_tokens=False).ids
+    codec.forget()
+    codec.encode("interesting")
+    before = list(codec._states)
+    codec.encode("interested")
+    shared = [a is b for a, b in zip(before, codec._states)]
+    assert len(codec._states) == 10 and all(shared[:8]) and not shared[8]
+    codec.forget()
+    assert not codec._states and not codec._last and not codec._word
+
+
+def test_bpe_parts_come_sorted():
+    texts = pa.array(["b a, b", None, "ü a  c", ""])
+    codes, first, parts = _parts(texts)
+    assert parts == sorted(parts) and len(set(parts)) == len(parts)
+    own = [[parts[c] for c in codes[low:high]] for low, high in zip(first, first[1:])]
+    assert ["".join(t) for t in own] == [t or "" for t in texts.to_pylist()]
+
+
 def test_bpe_on_tables(spark, library):
     data = awkward(spark)
     ids = encode_documents(data, VOCABULARY)
