@@ -5,7 +5,8 @@ pair's own text, so every prefix of a word has one last token. An Aho-Corasick a
 the vocabulary reports the tokens that are suffixes of the text up to each place, longest
 first; the one that is compatible with the last token of the prefix before it is stored, and
 following those back from the end gives the ids. No merge loop runs over a text. A prefix that
-a word shares with the one before it has the same last tokens, so those are kept.
+a word shares with the one before it has the same last tokens, so those are kept. The words of a
+slice take these steps together (``bpe_columns``); very long ones go by themselves.
 
 No piece of the tokenizer holds white space, so texts are cut at it and each distinct part is
 cut into the tokenizer's own pieces (special tokens, NFC, lower case by code point, its
@@ -28,17 +29,17 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from lodeworks.llm.bpe_columns import (
+    BLOCK_WORDS, MOST_SYMBOLS, NEVER, Columns, cut_plain, gathered, joined, ranges)
 from lodeworks.llm.words import SPACES, distinct_parts, held_for, lists, released, slices, text_bytes
 
 #: Pieces that each of a worker's two cache generations holds.
 CACHE_PIECES = 1 << 16
 #: Bytes of text that are digested at once; the more, the fewer parts come again.
-DIGEST_BYTES = 1 << 23
+DIGEST_BYTES = 1 << 22
 #: Results of pair tests that a worker holds.
 CACHE_PAIRS = 1 << 20
-_NEVER = 1 << 40
 _ID_BITS = 32
-_ASCII_WHITE = " \t\n\x0b\x0c\r"
 # White space and piece pattern of the vocabulary's tokenizer; letters and digits
 # that the regex module knows but the tokenizer does not; upper-case letters that the tokenizer
 # knows but this Python does not (first, last, distance to the small letter).
@@ -108,14 +109,6 @@ def _span_text(spans: list[tuple[int, int]]) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans)
 
 
-class Piece(NamedTuple):
-    """Both texts end with the space that joins them to the next piece."""
-
-    ids: tuple[int, ...]
-    ids_text: str
-    decoded: str
-
-
 class State(dict):
     """State of the automaton: the next one by symbol, the state of the longest suffix, and the
     tokens (id, size) that end here, longest first."""
@@ -197,13 +190,17 @@ class Codec:
         self._right = {t: self._spine(t, parts, 1) for t in self._length}
         self._left = {t: self._spine(t, parts, 0) for t in self._length}
         self._tests: dict[int, bool] = {}
-        self._id_text = {i: f"{i} " for i in self.token_text}
-        self._spaced = {i: f"{text} " for i, text in self.token_text.items()}
-        self._new: dict[str, Piece] = {}
-        self._old: dict[str, Piece] = {}
+        self._columns = Columns(
+            self._automaton, self._length, self._merged, self._rank, self._right, self._left)
+        self._new: dict[str, list[int]] = {}
+        self._old: dict[str, list[int]] = {}
+        # texts of the tokens, with the space that joins them to the next one
+        texts = [self.token_text.get(i, "") for i in range(max(self.token_text) + 1)]
+        self._id_texts = pa.array([f"{i} ".encode() for i in range(len(texts))], pa.large_binary())
+        self._spaced = pa.array([f"{text} ".encode() for text in texts], pa.large_binary())
 
     def _spine(self, token: int, parts: dict, side: int) -> list[tuple[int, int]]:
-        spine = [(token, _NEVER)]
+        spine = [(token, NEVER)]
         while token in parts:
             rank = self._rank[token]
             token = parts[token][side]
@@ -224,7 +221,7 @@ class Codec:
                 result = False  # a merge across the border comes before both inner ones
                 break
             if a_next <= b_next:
-                if a_next == _NEVER:
+                if a_next == NEVER:
                     break
                 i += 1
             else:
@@ -273,15 +270,14 @@ class Codec:
             at -= length[token]
         return ids[::-1]
 
-    def _encode_piece(self, text: str) -> Piece:
+    def _encode_piece(self, text: str) -> list[int]:
+        if text[0] == " ":
+            return [self._specials[text[1:]]]
         raw = text.encode("utf-8").decode("latin-1")
-        ids = self.encode_symbols(raw[:-1] + chr(256 + ord(raw[-1])))
-        if len(ids) == 1:
-            return Piece((ids[0],), self._id_text[ids[0]], self._spaced[ids[0]])
-        return Piece(
-            tuple(ids), "".join(map(self._id_text.__getitem__, ids)), "".join(map(self._spaced.__getitem__, ids)))
+        return self.encode_symbols(raw[:-1] + chr(256 + ord(raw[-1])))
 
-    def piece(self, text: str) -> Piece:
+    def piece(self, text: str) -> list[int]:
+        """Ids of one of the texts that ``cut`` gives."""
         found = self._new.get(text)
         if found is None:
             found = self._old.get(text) or self._encode_piece(text)
@@ -290,20 +286,53 @@ class Codec:
             self._new[text] = found
         return found
 
-    def pieces(self, text: str) -> list[Piece]:
-        """Encoded pieces of a whole text in order."""
-        bare = text.strip(_ASCII_WHITE)
-        if bare.isascii() and bare.isalpha():
-            return [self.piece(bare.lower())]
+    def cut(self, text: str) -> list[str]:
+        """Pieces of a whole text in order, special tokens with a space before them."""
         if "<" not in text:
-            return list(map(self.piece, self._cut_text(text)))
+            return self._cut_text(text)
         at, out = 0, []
         for special in self._cut.finditer(text):
-            out += map(self.piece, self._cut_text(text[at:special.start()]))
-            token = self._specials[special.group()]
-            out.append(Piece((token,), f"{token} ", f"{special.group()} "))
+            out += self._cut_text(text[at:special.start()])
+            out.append(f" {special.group()}")
             at = special.end()
-        return out + list(map(self.piece, self._cut_text(text[at:])))
+        return out + self._cut_text(text[at:])
+
+    def encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each part of a text, and the ids of all; sorted parts go faster."""
+        plain, owners, others = cut_plain(pa.array(parts, pa.large_string()))
+        first, more = ranges(map(self.cut, map(parts.__getitem__, others.tolist())))
+        found = pa.concat_arrays([plain, pa.array(more, pa.large_string())]).dictionary_encode()
+        owners = np.append(owners, np.repeat(others, np.diff(first)))
+        order = np.argsort(owners, kind="stable")
+        sizes, flat = self._encode_pieces(found.dictionary)
+        ids, n = gathered(flat, sizes, found.indices.to_numpy()[order])
+        return np.bincount(owners[order], n, len(parts)).astype(np.int64), ids
+
+    def _encode_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        data, offsets = text_bytes(pieces)
+        starts, lengths = offsets[:-1], np.diff(offsets)
+        alone = lengths > MOST_SYMBOLS
+        alone[~alone] = data[starts[~alone]] == 32
+        sizes, flat = np.zeros(len(pieces), np.int64), []
+        together = np.flatnonzero(~alone)
+        for low in range(0, len(together), BLOCK_WORDS):
+            own = together[low:low + BLOCK_WORDS]
+            sizes[own], ids = self._columns.encode(data, starts[own], lengths[own])
+            flat.append(ids)
+        rest = np.flatnonzero(alone)
+        found = [self.piece(text) for text in pieces.take(pa.array(rest)).to_pylist()]
+        sizes[rest] = list(map(len, found))
+        flat.append(np.fromiter(chain.from_iterable(found), np.int32, sizes[rest].sum()))
+        # back from the order in which they were encoded
+        done = np.append(together, rest)
+        back = np.empty(len(done), np.int64)
+        back[done] = np.arange(len(done))
+        return sizes, gathered(np.concatenate(flat), sizes[done], back)[0]
+
+    def texts(self, sizes: np.ndarray, ids: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """Texts of the ids and of the tokens of each part, each with a space after it."""
+        first = np.append(0, np.cumsum(sizes))
+        return joined(self._id_texts, ids, first), joined(self._spaced, ids, first)
 
     def _cut_text(self, text: str) -> list[str]:
         if text.isascii():
@@ -318,11 +347,12 @@ class Codec:
     def forget(self) -> None:
         """Empty the caches."""
         self._tests.clear()
+        self._columns.forget()
         self._new, self._old = {}, {}
         self._word, self._states, self._last = "", [], []
 
     def encode(self, text: str) -> list[int]:
-        return [i for piece in self.pieces(text) for i in piece.ids]
+        return [i for piece in self.cut(text) for i in self.piece(piece)]
 
     def decode(self, ids) -> str:
         """Token texts joined by a space, as the vocabulary has no decoder; unknown ids vanish."""
@@ -347,6 +377,14 @@ def _per_text(values: np.ndarray, codes: np.ndarray, first: np.ndarray) -> np.nd
     return sums[first[1:]] - sums[first[:-1]]
 
 
+def _sha256(texts: pa.Array) -> list[str]:
+    """Digests of the texts without their last byte, a space; an empty one has none."""
+    _, offsets, data = texts.buffers()
+    data = memoryview(data)
+    ends = np.frombuffer(offsets, np.int64).tolist()
+    return [hashlib.sha256(data[a:max(b - 1, a)]).hexdigest() for a, b in zip(ends, ends[1:])]
+
+
 def encode_documents(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """doc_id, ids: token ids of each whole text; a null text is empty.
 
@@ -357,14 +395,11 @@ def encode_documents(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     def encoded(batches, codec):
         for batch in slices(batches, "text"):
             codes, first, parts = _parts(batch.column(1))
-            found = [codec.encode(part) for part in parts]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter(chain.from_iterable(found), np.int32, sizes.sum())
-            n = sizes[codes]
-            at = np.repeat((np.cumsum(sizes) - sizes)[codes] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            sizes, flat = codec.encode_parts(parts)
             ends = np.append(0, np.cumsum(_per_text(sizes, codes, first)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), lists(flat[at], ends, pa.int32())], names=["doc_id", "ids"])
+                [batch.column(0), lists(gathered(flat, sizes, codes)[0], ends, pa.int32())],
+                names=["doc_id", "ids"])
 
     def encode(batches):
         codec = _codec(shared)
@@ -395,32 +430,19 @@ def token_digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
 
-    def digest(batches):
-        codec = _codec(shared)
+    def digest(batches, codec):
         for batch in slices(batches, "text", DIGEST_BYTES):
             codes, first, parts = _parts(batch.column(1))
-            sizes, ids, decoded = [], [], []
-            for part in parts:
-                pieces = codec.pieces(part)
-                if len(pieces) == 1:
-                    (own, ids_text, text), = pieces
-                    sizes.append(len(own))
-                    ids.append(ids_text)
-                    decoded.append(text)
-                else:
-                    sizes.append(sum([len(p.ids) for p in pieces]))
-                    ids.append("".join([p.ids_text for p in pieces]))
-                    decoded.append("".join([p.decoded for p in pieces]))
-            digests = [[], []]
-            for low, high in zip(first.tolist(), first[1:].tolist()):
-                own = codes[low:high].tolist()
-                for texts, out in zip((ids, decoded), digests):
-                    whole = "".join(map(texts.__getitem__, own))[:-1]
-                    out.append(hashlib.sha256(whole.encode()).hexdigest())
+            sizes, ids = codec.encode_parts(parts)
+            digests = [_sha256(joined(texts, codes, first)) for texts in codec.texts(sizes, ids)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(_per_text(np.array(sizes, np.int64), codes, first), pa.int64()),
+                [batch.column(0), pa.array(_per_text(sizes, codes, first), pa.int64()),
                  *(pa.array(x, pa.string()) for x in digests)],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    def digest_all(batches):
+        codec = _codec(shared)
+        return released(digest(batches, codec), codec.forget)
+
     return docs.select("doc_id", "text").mapInArrow(
-        digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        digest_all, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -9,6 +10,7 @@ from conftest import SMALL
 from corpus import awkward, base_counts, cut_repeats, near_components, words
 from tokenizers import Tokenizer
 
+from lodeworks.llm import bpe
 from lodeworks.llm import words as scanner
 from lodeworks.llm.bpe import Codec, _parts, decode_documents, encode_documents, read_vocabulary, token_digests
 from lodeworks.llm.neardup import near_duplicates, signatures
@@ -227,6 +229,24 @@ def test_bpe_keeps_what_a_word_shares_with_the_one_before(library):
     assert not codec._states and not codec._last and not codec._word
 
 
+def test_bpe_words_of_a_slice_are_encoded_together(library, monkeypatch):
+    rng = random.Random(7)
+    words = ["".join(rng.choices("aeinrstlou\u00e9\u00f1\u00c0", k=rng.randint(1, 14))) for _ in range(4000)]
+    words += ["x1y22", "a--b!?", "\u00dcBER\u00d7\u00f7\u00df", "\u00c3\u0083", "z" * 48, "b" * 24 + "\u00e9" * 12, "\x1c\x7f0", "_A_"]
+    odd = ["it's", "WE'LL", "!'s", "<|endoftext|>", "a<|ENDOFTEXT|>b<|startoftext|>", "<b>", "H\u0331", "\u212a", "\u03a3\u03a3", "q" * 49, "  x "]
+    codec = Codec(read_vocabulary(VOCABULARY))
+    one_by_one = []
+    plain = codec.encode_symbols
+    monkeypatch.setattr(codec, "encode_symbols", lambda s: one_by_one.append(s) or plain(s))
+    monkeypatch.setattr(bpe, "BLOCK_WORDS", 1000)
+    for parts in (sorted(words), words + odd, odd, [""], []):
+        sizes, ids = codec.encode_parts(parts)
+        known = [x.ids for x in library.encode_batch(parts, add_special_tokens=False)]
+        ends = [0, *sizes.cumsum().tolist()]
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == known
+    assert {len(x) for x in one_by_one} == {49}
+
+
 def test_bpe_parts_come_sorted():
     texts = pa.array(["b a, b", None, "ü a  c", ""])
     codes, first, parts = _parts(texts)
