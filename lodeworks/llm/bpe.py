@@ -242,7 +242,7 @@ class Codec:
         del last[same:], states[same:]
         if same:
             state = states[-1]
-        self._word = symbols
+        self._word, self._states, self._last = symbols, states, last
         tests, compatible = self._tests, self.compatible
         for end in range(same, len(symbols)):
             symbol = symbols[end]

@@ -150,16 +150,17 @@ class Columns:
 
     def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether the text of both tokens of each pair is encoded as these two."""
-        if self._known is None:
-            self._known = np.full(1 << PAIR_BITS, -1, np.int64)
+        known = self._known  # held here: caches may be emptied while pairs are tested
+        if known is None:
+            known = self._known = np.full(1 << PAIR_BITS, -1, np.int64)
         key = left << _ID_BITS - 1 | right
         place = (key.astype(np.uint64) * _MIX) >> np.uint64(64 - PAIR_BITS)
-        held = self._known[place]
+        held = known[place]
         out = (held & 1).astype(bool)
         new = np.flatnonzero(held >> 1 != key)
         if len(new):
             out[new] = self._test(left[new], right[new])
-            self._known[place[new]] = key[new] << 1 | out[new]
+            known[place[new]] = key[new] << 1 | out[new]
         return out
 
     def encode(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
