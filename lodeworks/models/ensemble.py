@@ -78,6 +78,14 @@ def _predict(preparation, models: dict, df: DataFrame, keep: list[str]) -> DataF
     return out.select(*keep, *[F.col(f"raw_{n}").alias(n) for n in sorted(models)])
 
 
+def _side_by_side(spark: SparkSession, tasks: list[Callable], parallel: int | None = None) -> list:
+    """What the tasks return; up to ``parallel`` of them (all, if not given) run at a time."""
+    # Each task gets its own copy of the job properties.
+    held = [inheritable_thread_target(spark)(task) for task in tasks]
+    with ThreadPool(max(1, min(parallel or len(held), len(held)))) as pool:
+        return pool.map(lambda task: task(), held, chunksize=1)
+
+
 def _fit_all(train: DataFrame, features, label, learners, prepare: Callable, quartiles: dict):
     rows = train.count()
     preparation = prepare(train, features, label, rows, quartiles)
@@ -89,10 +97,9 @@ def _fit_all(train: DataFrame, features, label, learners, prepare: Callable, qua
     used = [label, FEATURES, *[c for c in prepared.columns if c.startswith("sc_")]]
     prepared = prepared.select(*[F.col(f"`{c}`") for c in used]).coalesce(tasks).persist()
     try:
-        models = {
-            name: fitted_learner(prepared, name, learner, label, features)
-            for name, learner in sorted(learners.items())
-        }
+        names = sorted(learners)
+        models = dict(zip(names, _side_by_side(train.sparkSession, [
+            partial(fitted_learner, prepared, name, learners[name], label, features) for name in names])))
     finally:
         prepared.unpersist()
     return preparation, models
@@ -119,10 +126,7 @@ def out_of_fold(
         preparation, models = _fit_all(train, features, label, learners, prepare, quartiles[number])
         return _predict(preparation, models, df.filter(F.col(fold) == number), keep)
 
-    # Each task gets its own copy of the job properties.
-    tasks = [inheritable_thread_target(df.sparkSession)(partial(one, n)) for n in folds]
-    with ThreadPool(min(parallel, len(folds))) as pool:
-        parts = pool.map(lambda task: task(), tasks)
+    parts = _side_by_side(df.sparkSession, [partial(one, n) for n in folds], parallel)
     return stage_table(reduce(DataFrame.unionByName, parts), "out-of-fold")
 
 
@@ -164,17 +168,22 @@ def train_ensemble(
     df: DataFrame, features: list[str], label: str, learners: dict, key: str = "hole_id",
     fold: str = "fold", prepare: Callable = selected_preparation,
 ) -> tuple[Ensemble, DataFrame]:
-    """Fit the ensemble; returns it with the staged out-of-fold table."""
+    """Fit the ensemble; returns it with the staged out-of-fold table.
+
+    The models of all rows are fitted beside those of the folds: much of a fit is waiting for
+    one short job after another. Those that don't pass the quality gate are left out.
+    """
     quartiles = training_quartiles(df, features, fold)
-    oof = out_of_fold(df, features, label, learners, key, fold, prepare, quartiles=quartiles)
+    oof, (preparation, models) = _side_by_side(df.sparkSession, [
+        partial(out_of_fold, df, features, label, learners, key, fold, prepare, quartiles=quartiles),
+        partial(_fit_all, df, features, label, learners, prepare, quartiles[None])])
     scores = {
         r["model"]: r["r2"] if r["r2"] is not None else float("-inf")
         for r in regression_metrics(oof, label, sorted(learners)).collect()
     }
     names = qualified(scores)
     stacked = stage_table(stacked_out_of_fold(oof, names, label, fold), "stacked")
-    preparation, models = _fit_all(
-        df, features, label, {n: learners[n] for n in names}, prepare, quartiles[None])
+    models = {n: models[n] for n in names}
     stacker = ridge(oof, names, label)
     metrics = evaluate(stacked, names, label)
     metrics["model_scores"] = scores

@@ -176,20 +176,20 @@ def _fourier_stages(prepared: DataFrame, features: list[str], components: int) -
     variance = sum(squares[f"s{i}"] for i in range(width)) / width - mean * mean
     spread = (2.0 / (width * (variance or 1.0))) ** 0.5
     draw = random.Random(SEED)
-    rows = ", ".join(
-        "array(" + ", ".join(f"{draw.gauss(0.0, spread)!r}D" for _ in features) + ")"
-        for _ in range(components)
-    )
-    shifts = ", ".join(f"{draw.uniform(0.0, 2 * math.pi)!r}D" for _ in range(components))
-    inputs = ", ".join(_quoted("sc_" + c) for c in features)
+    rows = [[draw.gauss(0.0, spread) for _ in features] for _ in range(components)]
+    shifts = [draw.uniform(0.0, 2 * math.pi) for _ in range(components)]
     root = (2.0 / components) ** 0.5
+
+    def turn(row: list[float], shift: float) -> str:
+        dot = " + ".join(f"{w!r}D * {_quoted('sc_' + c)}" for w, c in zip(row, features, strict=True))
+        return f"0D + {dot} + {shift!r}D"
+
+    # Terms are written out, as nested functions over arrays take twice as long. Without any such
+    # function all terms would be one method, too long for the JVM to compile, and no faster.
+    turns = ", ".join(turn(row, shift) for row, shift in zip(rows, shifts, strict=True))
     named = ", ".join(f"_waves[{j}] AS wave_{j}" for j in range(components))
-    dot = "aggregate(zip_with(w, _inputs, (a, b) -> a * b), 0D, (s, t) -> s + t)"
     return [
-        SQLTransformer(statement=f"SELECT *, array({inputs}) AS _inputs FROM __THIS__"),
-        SQLTransformer(statement=(
-            f"SELECT *, zip_with(array({rows}), array({shifts}), "
-            f"(w, shift) -> {root!r}D * cos({dot} + shift)) AS _waves FROM __THIS__")),
+        SQLTransformer(statement=f"SELECT *, transform(array({turns}), x -> {root!r}D * cos(x)) AS _waves FROM __THIS__"),
         SQLTransformer(statement=f"SELECT *, {named} FROM __THIS__"),
         VectorAssembler(
             inputCols=[f"wave_{j}" for j in range(components)], outputCol="fourier"),
@@ -205,8 +205,7 @@ def fitted_learner(
     regressor = learner.regressor().setLabelCol(label).setPredictionCol(f"raw_{name}")
     if not isinstance(learner, RandomFourier):
         return Pipeline(stages=[regressor.setFeaturesCol(FEATURES)]).fit(prepared)
-    waves = ", ".join(["_inputs", "_waves", "fourier", *[
-        f"wave_{j}" for j in range(learner.components)]])
+    waves = ", ".join(["_waves", "fourier", *[f"wave_{j}" for j in range(learner.components)]])
     return Pipeline(stages=[
         *_fourier_stages(prepared, features, learner.components),
         regressor.setFeaturesCol("fourier"),

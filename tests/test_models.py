@@ -1,5 +1,9 @@
 """Folds, stacker, leakage rules and the end-to-end run with its store."""
 
+import math
+import random
+import threading
+
 import numpy as np
 import pytest
 from conftest import SMALL
@@ -257,3 +261,36 @@ def test_permutation_impacts_score_all_features_in_one_pass(spark, monkeypatch):
         assert got[name] == pytest.approx(np.mean(changes))
     empty = ensemble.permutation_impact(fitted, df.limit(0), "y", features).collect()
     assert [(r["feature"], r["impact"]) for r in empty] == [(c, None) for c in features]
+
+
+def test_all_models_are_fitted_side_by_side(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(f"h{i}", float(a), float(np.clip(a, 0, 1)), i % 2) for i, a in enumerate(rng.random(40))]
+    frame = spark.createDataFrame(rows, "hole_id string, a double, y double, fold int")
+    # two learners of two folds and of all rows meet here, or the wait ends in an error
+    meeting, fit = threading.Barrier(6, timeout=60), ensemble.fitted_learner
+
+    def met(*args):
+        meeting.wait()
+        return fit(*args)
+
+    monkeypatch.setattr(ensemble, "fitted_learner", met)
+    models = {"rf": learners.Forest(3, 3, 1), "sgd": learners.RobustLinear(iterations=20)}
+    fitted, stacked = ensemble.train_ensemble(frame, ["a"], "y", models)
+    assert fitted.names == ["rf", "sgd"] and stacked.count() == 40
+
+
+def test_waves_are_cosines_of_drawn_directions(spark):
+    rows = [(0.25, -1.5), (-2.0, 0.5), (3.0, 4.0)]
+    df = spark.createDataFrame(rows, "sc_a double, sc_b double")
+    out = df
+    for stage in learners._fourier_stages(df, ["a", "b"], 7):
+        out = stage.transform(out)
+    spread = (2.0 / (2 * np.var(rows))) ** 0.5
+    draw = random.Random(learners.SEED)
+    directions = np.array([[draw.gauss(0.0, spread) for _ in range(2)] for _ in range(7)])
+    shifts = np.array([draw.uniform(0.0, 2 * math.pi) for _ in range(7)])
+    wanted = (2 / 7) ** 0.5 * np.cos(np.array(rows) @ directions.T + shifts)
+    assert np.allclose([r["fourier"].toArray() for r in out.collect()], wanted, rtol=0, atol=1e-12)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "zip_with(" not in plan
